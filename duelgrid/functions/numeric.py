@@ -64,3 +64,8 @@ def model_age_status(age_days: Column) -> Column:
         .when(age_days >= RECALIBRATE_AFTER_DAYS, "recalibrate")
         .otherwise("ok")
     )
+
+
+def rating_range(rating: Column, rd: Column) -> tuple[Column, Column]:
+    """95 % range of a rating."""
+    return rating - F.lit(1.96) * rd, rating + F.lit(1.96) * rd

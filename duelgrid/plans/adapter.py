@@ -207,3 +207,151 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def letters_norm(key):
     return F.concat(F.lit("sup"), letters(key))
+
+
+# ------------------------------------------------------------------------------ raw text files
+def _clock(seconds):
+    return F.concat(
+        F.floor(seconds / 60).cast("string"), F.lit(":"), F.lpad((seconds % 60).cast("int").cast("string"), 2, "0")
+    )
+
+
+def raw_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bouts as listed text. Urgent orders are listed a second time under an unknown event."""
+    key = F.col("bout_id").cast("long")
+    kind, winner, method = F.col("result_type"), F.col("winner_side"), F.col("method")
+    listed = bouts(spark, sf_dir).select(
+        F.col("event").alias("EVENT"),
+        F.col("bout").alias("BOUT"),
+        F.when(winner == 1, "W/L").when(winner == 2, "L/W").when(kind == "draw", "D/D").otherwise("NC/NC").alias("OUTCOME"),
+        class_text(key).alias("WEIGHTCLASS"),
+        F.when(method == "SUB", "Submission").when(method == "DEC", "Decision - Unanimous")
+        .when(method == "OTHER", "Overturned").otherwise(method).alias("METHOD"),
+        F.col("end_round").cast("string").alias("ROUND"),
+        _clock(1 + (key * 37) % 300).alias("TIME"),
+        F.when(F.col("scheduled_rounds") == 5, "5 Rnd (5-5-5-5-5)").otherwise("3 Rnd (5-5-5)").alias("TIME FORMAT"),
+        F.lit("--").alias("REFEREE"),
+        F.lit("---").alias("DETAILS"),
+        F.concat(F.lit("http://bouts/"), F.col("bout_id")).alias("URL"),
+    )
+    copies = listed.filter(F.col("EVENT").endswith("1-URGENT")).withColumn(
+        "EVENT", F.concat(F.lit("Renamed "), F.col("EVENT"))
+    )
+    return listed.unionByName(copies)
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that had an order that is not pending; the others stay undated."""
+    day = F.col("o_orderdate").cast("date")
+    return (
+        table(spark, sf_dir, "orders")
+        .filter("o_orderstatus <> 'P'")
+        .select(day.alias("day"), "o_orderpriority")
+        .distinct()
+        .select(
+            F.concat(F.lit("Card "), F.date_format("day", "yyyy-MM-dd"), F.lit(" "), F.col("o_orderpriority")).alias("EVENT"),
+            F.concat(F.lit("http://events/"), F.date_format("day", "yyyyMMdd")).alias("URL"),
+            F.date_format("day", "MMMM d, yyyy").alias("DATE"),
+            F.concat(F.lit("Hall "), F.col("o_orderpriority")).alias("LOCATION"),
+        )
+    )
+
+
+def raw_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text row per line number of an end supplier, plus an empty row per pending bout."""
+    rounds = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey", "l_linenumber").agg(*_stat_aggregates())
+    listed = bouts(spark, sf_dir).select(
+        F.col("bout_id").cast("long").alias("l_orderkey"), "event", "bout", "result_type",
+        F.col("entity_1_id").cast("long").alias("s1"), F.col("entity_2_id").cast("long").alias("s2"),
+    )
+    joined = rounds.join(listed, "l_orderkey").filter("l_suppkey = s1 OR l_suppkey = s2")
+
+    def number(c: str):
+        return F.col(c).cast("int").cast("string")
+
+    def pair(name: str):
+        return F.concat(number(f"{name}_landed"), F.lit(" of "), number(f"{name}_att"))
+
+    from duelgrid.constants import PAIR_HEADERS, RAW_STATS
+
+    values = {
+        "EVENT": F.col("event"),
+        "BOUT": F.col("bout"),
+        "ROUND": F.concat(F.lit("Round "), F.col("l_linenumber").cast("string")),
+        "FIGHTER": entity_name(F.col("l_suppkey")),
+        "KD": number("kd"),
+        "SIG.STR. %": F.lit("---"),
+        "TD %": F.lit("---"),
+        "SUB.ATT": number("sub_att"),
+        "REV.": number("rev"),
+        "CTRL": F.coalesce(_clock(F.col("ctrl_s")), F.lit("--")),
+        **{header: pair(name) for name, header in PAIR_HEADERS.items()},
+    }
+    empty = listed.filter("result_type = 'no_contest'").select(
+        F.col("event").alias("EVENT"), F.col("bout").alias("BOUT"),
+        *[F.lit("").alias(c) for c in RAW_STATS if c not in ("EVENT", "BOUT")],
+    )
+    return joined.select(*[values[c].alias(c) for c in RAW_STATS]).unionByName(empty)
+
+
+def raw_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = entities(spark, sf_dir)
+    inches = F.col("height_in").cast("int")
+    return e.select(
+        F.col("name").alias("FIGHTER"),
+        F.concat((F.floor(inches / 12)).cast("string"), F.lit("' "), (inches % 12).cast("string"), F.lit('"')).alias("HEIGHT"),
+        F.concat(F.col("listed_weight_lbs").cast("int").cast("string"), F.lit(" lbs.")).alias("WEIGHT"),
+        F.coalesce(F.concat(F.col("reach_in").cast("int").cast("string"), F.lit('"')), F.lit("--")).alias("REACH"),
+        F.coalesce("stance", F.lit("")).alias("STANCE"),
+        F.coalesce(F.date_format("dob", "MMM dd, yyyy"), F.lit("not recorded")).alias("DOB"),
+        F.col("entity_url").alias("URL"),
+    )
+
+
+# ------------------------------------------------------------------------------------ mentions
+CLASS_NAMES = ["Lightweight", "Welterweight", "Women's Flyweight", "Heavyweight", "Light Heavyweight",
+               "Catch Weight", "Women's Strawweight", "Super Heavyweight"]
+ALIASES = {"red widget": "blue bolt", "small ring": "nobody at all"}
+
+
+def class_name(key):
+    return F.element_at(F.array(*[F.lit(c) for c in CLASS_NAMES]), (key % 8 + 1).cast("int"))
+
+
+def named_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts (64 names, so all are shared) and suppliers (unique names) in one entity table."""
+    from duelgrid.functions.text import normalize_name
+
+    key = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), key.cast("string")).alias("entity_id"),
+        F.col("p_name").alias("name"),
+        F.when(F.col("p_type") != "ECONOMY", F.col("p_size").cast("double")).alias("listed_weight_lbs"),
+        F.when(
+            F.col("p_brand") != "Brand#1", F.date_add(F.lit("1950-01-01").cast("date"), ((key * 7919) % 18000).cast("int"))
+        ).alias("dob"),
+        normalize_name(F.col("p_name")).alias("name_norm"),
+        class_name(F.col("p_size")).alias("last_weight_class"),
+    )
+    suppliers = entities(spark, sf_dir).select(
+        F.concat(F.lit("s"), F.col("entity_id")).alias("entity_id"), "name", "listed_weight_lbs", "dob", "name_norm",
+        F.lit(None).cast("string").alias("last_weight_class"),
+    )
+    return parts.unionByName(suppliers)
+
+
+def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One mention per line: a supplier's name, a part's name, or a part's name with a suffix."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    flag = F.col("l_returnflag")
+    return table(spark, sf_dir, "lineitem").join(parts, "l_partkey").select(
+        F.col("l_orderkey").cast("string").alias("bout_id"),
+        "l_linenumber",
+        F.when(flag == "A", entity_name(F.col("l_suppkey")))
+        .when(flag == "R", F.concat(F.col("p_name"), F.lit(" Jr.")))
+        .otherwise(F.col("p_name"))
+        .alias("name"),
+        F.col("l_shipdate").cast("date").alias("event_date"),
+        F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).alias("weight_lbs"),
+        class_name(F.col("l_orderkey")).alias("weight_class"),
+    )

@@ -1,50 +1,4 @@
-"""Registered queries: each library operator on the contract tables."""
+"""All registered queries."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from duelgrid.constants import PROFILE_FEATURES, RATING_FEATURES
-from duelgrid.operators import canonical, history, matchup
-from duelgrid.plans import adapter
-from duelgrid.plans.workspace import stage
-
-NUDGE = 1e-9
-PLAIN_FEATURES = [f for f in PROFILE_FEATURES if f not in RATING_FEATURES]
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that engines that sum in another order agree.
-
-    The nudge keeps values that lie on a rounding boundary on one side of it.
-    """
-    return df.select(
-        *[
-            F.round(F.col(c) + NUDGE, digits).alias(c) if t == "double" else F.col(c)
-            for c, t in df.dtypes
-        ]
-    )
-
-
-def bouts(spark: SparkSession, sf: str) -> DataFrame:
-    return stage(spark, sf, "bouts", lambda: adapter.bouts(spark, sf))
-
-
-def appearances(spark: SparkSession, sf: str) -> DataFrame:
-    def build():
-        return canonical.build_appearances(bouts(spark, sf), adapter.side_stats(spark, sf))
-
-    return stage(spark, sf, "appearances", build)
-
-
-def day_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    return history.day_profiles(appearances(spark, sf), adapter.entities(spark, sf))
-
-
-def prefight_features(spark, sf):
-    out = history.prefight_features(appearances(spark, sf), adapter.entities(spark, sf))
-    return rounded(out.select("bout_id", "entity_id", "wins", "losses", "draws_nc", *PLAIN_FEATURES))
-
-
-QUERIES = {"prefight_features": prefight_features}
+from duelgrid.plans import queries_history, queries_ingest  # noqa: F401
+from duelgrid.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -1,4 +1,4 @@
-"""DuckDB SQL of the registered queries, written from the operator definitions."""
+"""DuckDB building blocks: the contract tables as bouts, written apart from the Spark code."""
 
 from __future__ import annotations
 
@@ -189,8 +189,64 @@ def r6(columns: list[str], prefix: str = "") -> str:
     return ", ".join(f"round({prefix}{c} + 1e-9, 6) AS {c}" for c in columns)
 
 
-ORACLES = {
-    "prefight_features": f"""WITH {PROFILES}
-SELECT a.bout_id, a.entity_id, {r6(['wins', 'losses', 'draws_nc', *PLAIN], 'p.')}
-FROM appearances a JOIN profiles p USING (entity_id, event_date)""",
-}
+
+def norm(x: str) -> str:
+    return f"regexp_replace(lower(strip_accents({x})), '[^a-z]', '', 'g')"
+
+
+CLASS_AT = ("['Lightweight', 'Welterweight', 'Women''s Flyweight', 'Heavyweight', 'Light Heavyweight', 'Catch Weight', "
+            "'Women''s Strawweight', 'Super Heavyweight'][{} % 8 + 1]")
+
+CLASS_TEXT = ("['Lightweight Bout', 'UNKNOWN Welterweight Title Bout', 'Women''s Flyweight Bout', 'Heavyweight Bout', "
+              "'Light Heavyweight Bout', 'Catch Weight Bout', 'Women''s Strawweight Championship', "
+              "'Super Heavyweight Bout'][{} % 8 + 1]")
+
+KNOWN = """known_events AS (
+  SELECT DISTINCT 'Card ' || strftime(o_orderdate, '%Y-%m-%d') || ' ' || o_orderpriority AS event,
+    CAST(o_orderdate AS DATE) AS event_date FROM orders WHERE o_orderstatus <> 'P')"""
+
+ROUNDS = """rounds AS (
+  SELECT b.bout_id, b.event, b.bout, b.entity_1_name, b.entity_2_name, l_linenumber AS round,
+    """ + NAME.format("l_suppkey") + """ AS entity_name,
+    CAST(count(*) FILTER (l_discount >= 0.08) AS DOUBLE) AS kd,
+    CAST(count(*) FILTER (l_linestatus = 'F') AS DOUBLE) AS sub_att,
+    CAST(count(*) FILTER (l_linestatus = 'O') AS DOUBLE) AS rev,
+    CASE WHEN bool_or(l_tax = 0) THEN NULL ELSE round(sum(l_tax) * 1000, 0) END AS ctrl_s,
+    sum(l_quantity) AS sig_landed, sum(l_quantity) + 10 * count(*) AS sig_att,
+    sum(l_quantity) + count(*) AS tot_landed, 2 * sum(l_quantity) + 10 * count(*) AS tot_att,
+    CAST(count(*) FILTER (l_returnflag = 'R') AS DOUBLE) AS td_landed, CAST(count(*) AS DOUBLE) AS td_att,
+    """ + ", ".join(
+    f"coalesce(sum(l_quantity) FILTER ({m}), 0) AS {n}_landed, coalesce(sum(l_quantity + 5) FILTER ({m}), 0) AS {n}_att"
+    for n, m in {"head": "l_returnflag = 'A'", "body": "l_returnflag = 'N'", "leg": "l_returnflag = 'R'",
+                 "dist": "l_discount < 0.04", "clinch": "l_discount >= 0.04 AND l_discount < 0.07",
+                 "ground": "l_discount >= 0.07"}.items()) + """
+  FROM lineitem JOIN bouts b ON b.bout_id = CAST(l_orderkey AS VARCHAR)
+    AND CAST(l_suppkey AS VARCHAR) IN (b.entity_1_id, b.entity_2_id)
+  GROUP BY b.bout_id, b.event, b.bout, b.entity_1_name, b.entity_2_name, l_linenumber, l_suppkey)"""
+
+CANON = BOUTS + ",\n" + KNOWN + """,
+canon AS (SELECT b.* FROM bouts b JOIN known_events k USING (event))"""
+
+ATTACHED = CANON + ",\n" + ROUNDS + """,
+single AS (SELECT event, bout FROM canon GROUP BY event, bout HAVING count(*) = 1),
+attached AS (SELECT r.bout_id, CASE WHEN entity_name = entity_1_name THEN 1 WHEN entity_name = entity_2_name THEN 2 ELSE 0 END AS side,
+    round, entity_name, """ + ", ".join(STATS) + """
+  FROM rounds r JOIN single s USING (event, bout))"""
+
+NAMED = """named AS (
+  SELECT 'p' || p_partkey AS entity_id, p_name AS name,
+    CASE WHEN p_type <> 'ECONOMY' THEN CAST(p_size AS DOUBLE) END AS listed,
+    CASE WHEN p_brand <> 'Brand#1' THEN DATE '1950-01-01' + CAST((p_partkey * 7919) % 18000 AS INTEGER) END AS dob,
+    """ + norm("p_name") + " AS key, " + CLASS_AT.format("p_size") + """ AS last_class FROM part
+  UNION ALL
+  SELECT 's' || s_suppkey, """ + NAME.format("s_suppkey") + """, CAST(115 + 10 * (s_suppkey % 16) AS DOUBLE),
+    CASE WHEN s_acctbal >= 0 THEN DATE '1960-01-01' + CAST((s_suppkey * 30) % 5000 AS INTEGER) END,
+    """ + norm(NAME.format("s_suppkey")) + """, NULL FROM supplier),
+mentions AS (
+  SELECT row_number() OVER () AS mid, CAST(l_orderkey AS VARCHAR) AS bout_id, l_linenumber,
+    CASE l_returnflag WHEN 'A' THEN """ + NAME.format("l_suppkey") + """ WHEN 'R' THEN p_name || ' Jr.' ELSE p_name END AS name,
+    CAST(l_shipdate AS DATE) AS event_date, CASE WHEN l_linestatus = 'F' THEN l_quantity END AS weight_lbs,
+    """ + CLASS_AT.format("l_orderkey") + """ AS weight_class
+  FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+
+ALIAS = "CASE {} WHEN 'red widget' THEN 'blue bolt' WHEN 'small ring' THEN 'nobody at all' ELSE {} END"
