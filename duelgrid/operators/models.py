@@ -371,7 +371,7 @@ def fit_finish_model(train: DataFrame, C: float, features: list[str] = FINISH_FE
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitted = LogisticRegression(
-            family="multinomial", regParam=1.0 / (C * rows.count()), standardization=True, maxIter=3000, tol=1e-8
+            family="multinomial", regParam=1.0 / (C * rows.count()), standardization=True, maxIter=3000
         ).fit(rows)
     finally:
         rows.unpersist()
