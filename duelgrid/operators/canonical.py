@@ -131,32 +131,25 @@ def build_appearances(bouts: DataFrame, side_stats: DataFrame, stats: list[str]
     and the two output rows come from one pass.
     """
     wide = side_stats.groupBy("bout_id").agg(
-        *[
-            F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}")
-            for s in (1, 2)
-            for c in stats
-        ]
+        *[F.expr(f"max(IF(side = {s}, {c}, NULL)) AS {c}_{s}") for s in (1, 2) for c in stats]
     )
-    joined = bouts.join(wide, "bout_id", "left")
-
-    def row(side: int):
-        other = 3 - side
-        return F.struct(
-            F.lit(side).alias("side"),
-            F.col(f"entity_{side}_id").alias("entity_id"),
-            F.col(f"entity_{side}_name").alias("entity_name"),
-            F.col(f"entity_{other}_id").alias("opponent_id"),
-            X.side_result(F.lit(side), F.col("winner_side"), F.col("result_type")).alias("result"),
-            *[F.col(f"{c}_{side}").alias(c) for c in stats],
-            *[F.col(f"{c}_{other}").alias(f"opp_{c}") for c in stats],
-            (
-                F.col(f"sig_att_{side}").isNotNull()
-                & F.col(f"sig_att_{other}").isNotNull()
-                & F.col("duration_s").isNotNull()
-            ).alias("has_stats"),
-        )
-
-    return joined.select(*BOUT_COLS, F.explode(F.array(row(1), row(2))).alias("s")).select(*BOUT_COLS, "s.*")
+    both = bouts.join(wide, "bout_id", "left").selectExpr("*", "explode(array(1, 2)) AS side")
+
+    def of(own: str, other: str, name: str) -> str:
+        return f"IF(side = 1, {own}, {other}) AS {name}"
+
+    sides = both.selectExpr(
+        *BOUT_COLS,
+        "side",
+        of("entity_1_id", "entity_2_id", "entity_id"),
+        of("entity_1_name", "entity_2_name", "entity_name"),
+        of("entity_2_id", "entity_1_id", "opponent_id"),
+        "CASE WHEN winner_side = side THEN 'W' WHEN winner_side = 3 - side THEN 'L' "
+        "WHEN result_type = 'draw' THEN 'D' ELSE 'NC' END AS result",
+        *[of(f"{c}_1", f"{c}_2", c) for c in stats],
+        *[of(f"{c}_2", f"{c}_1", f"opp_{c}") for c in stats],
+    )
+    return sides.selectExpr("*", "sig_att IS NOT NULL AND opp_sig_att IS NOT NULL AND duration_s IS NOT NULL AS has_stats")
 
 
 def stats_coverage(appearances: DataFrame) -> DataFrame:

@@ -24,52 +24,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def line_stats(prefix: str = "") -> dict[str, object]:
-    """Which lines a statistic counts; the pair statistics weigh them by quantity."""
-    flag, status, discount = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_discount")
-    return {
-        "sig": F.lit(True),
-        "tot": F.lit(True),
-        "td": flag == "R",
-        "head": flag == "A",
-        "body": flag == "N",
-        "leg": flag == "R",
-        "dist": discount < 0.04,
-        "clinch": (discount >= 0.04) & (discount < 0.07),
-        "ground": discount >= 0.07,
-    }
+# Which lines a pair statistic counts.
+LINE_MASKS = {
+    "head": "l_returnflag = 'A'",
+    "body": "l_returnflag = 'N'",
+    "leg": "l_returnflag = 'R'",
+    "dist": "l_discount < 0.04D",
+    "clinch": "l_discount >= 0.04D AND l_discount < 0.07D",
+    "ground": "l_discount >= 0.07D",
+}
 
 
 def _stat_aggregates() -> list:
-    quantity, one = F.col("l_quantity"), F.lit(1.0)
-    marks = line_stats()
-
-    def total(mask, value):
-        return F.sum(F.when(mask, value).otherwise(0.0))
+    def total(mask: str, value: str) -> str:
+        return f"sum(IF({mask}, {value}, 0D))"
 
     out = {
-        "kd": total(F.col("l_discount") >= 0.08, one),
-        "sub_att": total(F.col("l_linestatus") == "F", one),
-        "rev": total(F.col("l_linestatus") == "O", one),
-        "ctrl_s": F.when(F.max((F.col("l_tax") == 0).cast("int")) == 0, F.round(F.sum("l_tax") * 1000, 0)),
-        "sig_landed": F.sum("l_quantity"),
-        "sig_att": F.sum(quantity + 10.0),
-        "tot_landed": F.sum(quantity + 1.0),
-        "tot_att": F.sum(quantity * 2 + 10.0),
-        "td_landed": total(marks["td"], one),
-        "td_att": F.sum(one),
+        "kd": total("l_discount >= 0.08D", "1D"),
+        "sub_att": total("l_linestatus = 'F'", "1D"),
+        "rev": total("l_linestatus = 'O'", "1D"),
+        "ctrl_s": "IF(max(int(l_tax = 0D)) = 0, round(sum(l_tax) * 1000, 0), NULL)",
+        "sig_landed": "sum(l_quantity)",
+        "sig_att": "sum(l_quantity + 10D)",
+        "tot_landed": "sum(l_quantity + 1D)",
+        "tot_att": "sum(l_quantity * 2 + 10D)",
+        "td_landed": total("l_returnflag = 'R'", "1D"),
+        "td_att": "sum(1D)",
     }
-    for p in PAIR_STATS[3:]:
-        out[f"{p}_landed"] = total(marks[p], quantity)
-        out[f"{p}_att"] = total(marks[p], quantity + 5.0)
-    return [out[c].alias(c) for c in STAT_COLS]
+    for name in PAIR_STATS[3:]:
+        out[f"{name}_landed"] = total(LINE_MASKS[name], "l_quantity")
+        out[f"{name}_att"] = total(LINE_MASKS[name], "l_quantity + 5D")
+    return [F.expr(f"{out[c]} AS {c}") for c in STAT_COLS]
 
 
 def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines summed to (order, supplier)."""
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(
         F.round(F.sum("l_extendedprice"), 2).alias("price"),
-        F.min("l_returnflag").alias("flag"),
+        F.expr("chr(min(ascii(l_returnflag))) AS flag"),
         *_stat_aggregates(),
     )
 
@@ -134,11 +126,8 @@ def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.min("s1").alias("s1"),
             F.min("s2").alias("s2"),
-            *[
-                F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}")
-                for s in (1, 2)
-                for c in ("price", "flag")
-            ],
+            *[F.expr(f"max(IF(side = {s}, price, NULL)) AS price_{s}") for s in (1, 2)],
+            *[F.expr(f"chr(max(IF(side = {s}, ascii(flag), NULL))) AS flag_{s}") for s in (1, 2)],
         )
     )
     orders = table(spark, sf_dir, "orders").select(
