@@ -101,7 +101,7 @@ def fit_calibrator(method: str, scored: DataFrame, p: str = "p_raw", y: str = "l
         )
         n = rows.count()
         fitted = LogisticRegression(
-            featuresCol="zv", labelCol="y", regParam=1.0 / (PLATT_C * n), standardization=False, maxIter=1000, tol=1e-8
+            featuresCol="zv", labelCol="y", regParam=1.0 / (PLATT_C * n), standardization=False, maxIter=1000
         ).fit(rows)
         return Calibrator("sigmoid", float(fitted.coefficients[0]), float(fitted.intercept))
     if method == "isotonic":
@@ -128,7 +128,7 @@ def make_classifier(kind: str, params: dict, n_rows: int):
     if kind == "logistic_regression":
         return LogisticRegression(
             regParam=1.0 / (params["C"] * n_rows), elasticNetParam=0.0, standardization=True, maxIter=2000,
-            tol=1e-8, **columns,
+            **columns,
         )
     if kind == "random_forest":
         return RandomForestClassifier(featureSubsetStrategy="sqrt", seed=SEED, **columns, **params)
@@ -253,7 +253,7 @@ def fit_baselines(train: DataFrame) -> dict[str, Column]:
         )
         n = rows.count()
         fitted = LogisticRegression(
-            fitIntercept=False, standardization=False, regParam=1.0 / n, maxIter=1000, tol=1e-8
+            fitIntercept=False, standardization=False, regParam=1.0 / n, maxIter=1000
         ).fit(rows)
         z = sum((F.lit(float(w)) * F.col(c) for w, c in zip(fitted.coefficients, columns)), F.lit(0.0))
         out[name] = 1 / (1 + F.exp(-z))

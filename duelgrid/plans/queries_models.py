@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from duelgrid.constants import FINISH_TYPES, MODEL_GRIDS
 from duelgrid.operators import metrics, models, monitor, outcomes, resolve, roster, scoring
-from duelgrid.plans import adapter, derived
+from duelgrid.plans import adapter, derived, pipeline
 from duelgrid.plans.derived import PLAIN_INPUT
 from duelgrid.plans.registry import query
 from duelgrid.session import run_dir
-from duelgrid.sources import pages
+from duelgrid.sources import pages, raw
 
 P = adapter.PERIODS
 LOGISTIC = MODEL_GRIDS["logistic_regression"][0]
@@ -227,6 +227,20 @@ def schema_guard(spark, sf):
     return problems.withColumn("n_rows", table.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
+@query()
+def training_run(spark, sf):
+    """Raw text to gate: ingest, yearly ratings, all 40 inputs, search, calibration, test, refit, gate."""
+    data = pipeline.ingest(*[
+        raw.clean_cells(t(spark, sf))
+        for t in (adapter.raw_events, adapter.raw_results, adapter.raw_stats, adapter.raw_entities)
+    ])
+    yearly = replace(data, appearances=data.appearances.withColumn("period", F.trunc("event_date", "year")))
+    grids = {"logistic_regression": MODEL_GRIDS["logistic_regression"]}
+    run = pipeline.training_run(data.bouts, pipeline.rated_profiles(yearly, "period"), P, grids)
+    row = pipeline.gate_row(run, 1, spark)
+    return monitor.quality_gate(row)
+
+
 @query()
 def run_report(spark, sf):
     """One run with nested periods and test metrics, appended to the runs table and read back as JSON."""
