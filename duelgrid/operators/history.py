@@ -87,8 +87,10 @@ def _over(start: int | None, upto: int) -> str:
 def _mixed_day_runs(appearances: DataFrame, days: DataFrame) -> DataFrame:
     """Trailing run of equal results on days that hold more than one kind of result.
 
-    The bout id orders bouts within a day. Two aggregations, no window: a day with very many
-    bouts is combined map-side.
+    The bout id orders bouts within a day: the kind with the highest id ends the day, and its run
+    starts after the highest id of any other kind. Plain aggregations, so a day with very many
+    bouts is combined map-side; mixed days are few, so the join usually turns into a broadcast at
+    run time.
     """
     mixed = days.filter("int(w > 0) + int(l > 0) + int(resets > 0) > 1").select(*DAY)
     kind = "CASE WHEN result = 'W' THEN 1 WHEN result = 'L' THEN -1 WHEN result IN ('D', 'NC') THEN 0 END AS kind"
@@ -97,21 +99,20 @@ def _mixed_day_runs(appearances: DataFrame, days: DataFrame) -> DataFrame:
         .filter("kind IS NOT NULL")
         .join(mixed, DAY, "left_semi")
     )
-    ends = rows.groupBy(*DAY, "kind").agg(F.max("bout_id").alias("last_id"))
-    last = ends.groupBy(*DAY).agg(
-        F.max_by("kind", "last_id").alias("run_sign"), F.max("last_id").alias("last_id")
+    kinds = {"won_id": 1, "lost_id": -1, "reset_id": 0}
+    ends = rows.groupBy(*DAY).agg(
+        *[F.expr(f"max(IF(kind = {k}, bout_id, NULL)) AS {name}") for name, k in kinds.items()]
     )
-    broken = (
-        ends.join(last.select(*DAY, "run_sign"), DAY)
-        .filter(F.col("kind") != F.col("run_sign"))
-        .groupBy(*DAY)
-        .agg(F.first("run_sign").alias("run_sign"), F.max("last_id").alias("break_id"))
+    broken = ends.selectExpr(
+        *DAY,
+        "CASE greatest(won_id, lost_id, reset_id) WHEN won_id THEN 1 WHEN lost_id THEN -1 ELSE 0 END AS run_sign",
+        "sort_array(array(won_id, lost_id, reset_id), false)[1] AS break_id",
     )
     return (
         rows.join(broken, DAY)
-        .filter(F.col("bout_id") > F.col("break_id"))
-        .groupBy(*DAY)
-        .agg(F.first("run_sign").alias("mixed_sign"), F.count(F.lit(1)).cast("double").alias("mixed_len"))
+        .filter("bout_id > break_id")
+        .groupBy(*DAY, F.col("run_sign").alias("mixed_sign"))
+        .agg(F.count(F.lit(1)).cast("double").alias("mixed_len"))
     )
 
 

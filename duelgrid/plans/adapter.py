@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelgrid.constants import PAIR_STATS, STAT_COLS, Periods
+from duelgrid.constants import PAIR_HEADERS, PAIR_STATS, RAW_STATS, STAT_COLS, Periods
 
 PERIODS = Periods(
     min_train="1995-07-01",
@@ -20,8 +20,15 @@ PERIODS = Periods(
 )
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A contract table; the footer is read once per path and process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 # Which lines a pair statistic counts.
@@ -92,28 +99,28 @@ def side_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def class_text(key):
-    """A raw class text out of the order key: titles, women's and limitless classes included."""
-    k = key % 8
-    return (
-        F.when(k == 0, "Lightweight Bout")
-        .when(k == 1, "UNKNOWN Welterweight Title Bout")
-        .when(k == 2, "Women's Flyweight Bout")
-        .when(k == 3, "Heavyweight Bout")
-        .when(k == 4, "Light Heavyweight Bout")
-        .when(k == 5, "Catch Weight Bout")
-        .when(k == 6, "Women's Strawweight Championship")
-        .otherwise("Super Heavyweight Bout")
-    )
+# Raw class texts by order key: titles, women's and limitless classes included.
+CLASS_TEXTS = ["Lightweight Bout", "UNKNOWN Welterweight Title Bout", "Women's Flyweight Bout", "Heavyweight Bout",
+               "Light Heavyweight Bout", "Catch Weight Bout", "Women's Strawweight Championship", "Super Heavyweight Bout"]
+
+
+def _pick(values: list[str], key: str) -> str:
+    quoted = ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
+    return f"array({quoted})[int({key} % {len(values)})]"
 
 
-def letters(key):
-    """A key spelled in letters, so that names survive normalisation."""
-    return F.translate(key.cast("string"), "0123456789", "abcdefghij")
+def class_text(key: str) -> str:
+    """SQL of a raw class text."""
+    return _pick(CLASS_TEXTS, key)
 
 
-def entity_name(key):
-    return F.concat(F.lit("Sup "), letters(key))
+def letters(key: str) -> str:
+    """SQL of a key spelled in letters, so that names survive normalisation."""
+    return f"translate(string({key}), '0123456789', 'abcdefghij')"
+
+
+def entity_name(key: str) -> str:
+    return f"concat('Sup ', {letters(key)})"
 
 
 def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,170 +137,129 @@ def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
             *[F.expr(f"chr(max(IF(side = {s}, ascii(flag), NULL))) AS flag_{s}") for s in (1, 2)],
         )
     )
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus", "o_orderdate", "o_orderpriority"
-    )
-    scheduled = F.when(F.col("o_orderpriority") == "1-URGENT", 5).otherwise(3)
-    winner = F.when(F.col("o_orderstatus") == "P", None).when(F.col("price_1") > F.col("price_2"), 1).when(
-        F.col("price_1") < F.col("price_2"), 2
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS l_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority",
+        "IF(o_orderpriority = '1-URGENT', 5, 3) AS scheduled_rounds",
     )
-    flag = F.when(F.col("winner_side") == 1, F.col("flag_1")).when(F.col("winner_side") == 2, F.col("flag_2"))
-    base = (
-        ends.join(orders, "l_orderkey")
-        .withColumn("winner_side", winner)
-        .withColumn("scheduled_rounds", scheduled)
-        .withColumn("end_round", (F.lit(1) + F.col("l_orderkey") % F.col("scheduled_rounds")).cast("int"))
-        .withColumn("klass", X.weight_class(class_text(F.col("l_orderkey"))))
-    )
-    return base.select(
-        F.col("l_orderkey").cast("string").alias("bout_id"),
-        F.concat(
-            F.lit("Card "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" "), F.col("o_orderpriority")
-        ).alias("event"),
-        F.concat(entity_name(F.col("s1")), F.lit(" vs. "), entity_name(F.col("s2"))).alias("bout"),
-        F.col("o_orderdate").cast("date").alias("event_date"),
-        F.col("klass.name").alias("weight_class"),
-        F.col("klass.lbs").alias("weight_lbs"),
-        F.col("klass.is_female").alias("is_female"),
-        F.col("klass.is_title").alias("is_title"),
-        F.when(flag == "R", "KO/TKO").when(flag == "A", "SUB").when(flag == "N", "DEC").otherwise("OTHER").alias("method"),
+    base = ends.join(orders, "l_orderkey").selectExpr(
+        "*",
+        "CASE WHEN o_orderstatus = 'P' THEN NULL WHEN price_1 > price_2 THEN 1 WHEN price_1 < price_2 THEN 2 END AS winner_side",
+        "int(1 + l_orderkey % scheduled_rounds) AS end_round",
+        f"{class_text('l_orderkey')} AS class_raw",
+    ).withColumn("klass", X.weight_class(F.col("class_raw")))
+    return base.selectExpr(
+        "string(l_orderkey) AS bout_id",
+        "concat('Card ', date_format(o_orderdate, 'yyyy-MM-dd'), ' ', o_orderpriority) AS event",
+        f"concat({entity_name('s1')}, ' vs. ', {entity_name('s2')}) AS bout",
+        "date(o_orderdate) AS event_date",
+        "klass.name AS weight_class",
+        "klass.lbs AS weight_lbs",
+        "klass.is_female AS is_female",
+        "klass.is_title AS is_title",
+        "CASE IF(winner_side = 1, flag_1, IF(winner_side = 2, flag_2, NULL)) "
+        "WHEN 'R' THEN 'KO/TKO' WHEN 'A' THEN 'SUB' WHEN 'N' THEN 'DEC' ELSE 'OTHER' END AS method",
         "end_round",
         "scheduled_rounds",
-        ((F.col("end_round") - 1) * 300 + 1 + (F.col("l_orderkey") * 37) % 300).cast("double").alias("duration_s"),
+        "double((end_round - 1) * 300 + 1 + (l_orderkey * 37) % 300) AS duration_s",
         "winner_side",
-        F.when(F.col("o_orderstatus") == "P", "no_contest")
-        .when(F.col("winner_side").isNotNull(), "win")
-        .otherwise("draw")
-        .alias("result_type"),
-        F.col("s1").cast("string").alias("entity_1_id"),
-        F.col("s2").cast("string").alias("entity_2_id"),
-        entity_name(F.col("s1")).alias("entity_1_name"),
-        entity_name(F.col("s2")).alias("entity_2_name"),
+        "CASE WHEN o_orderstatus = 'P' THEN 'no_contest' WHEN winner_side IS NOT NULL THEN 'win' ELSE 'draw' END AS result_type",
+        "string(s1) AS entity_1_id",
+        "string(s2) AS entity_2_id",
+        f"{entity_name('s1')} AS entity_1_name",
+        f"{entity_name('s2')} AS entity_2_name",
     )
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as entities, with unknown reach and birth dates."""
-    key = F.col("s_suppkey")
-    height = (60 + key % 20).cast("double")
-    stance = (
-        F.when(key % 4 == 0, "Orthodox").when(key % 4 == 1, "Southpaw").when(key % 4 == 2, "Switch")
-    )
-    return table(spark, sf_dir, "supplier").select(
-        key.cast("string").alias("entity_id"),
-        entity_name(key).alias("name"),
-        height.alias("height_in"),
-        F.when(key % 7 != 0, height + key % 5).alias("reach_in"),
-        (F.lit(115) + 10 * (key % 16)).cast("double").alias("listed_weight_lbs"),
-        stance.alias("stance"),
-        F.when(
-            F.col("s_acctbal") >= 0, F.date_add(F.lit("1960-01-01").cast("date"), ((key * 30) % 5000).cast("int"))
-        ).alias("dob"),
-        F.concat(F.lit("http://entities/"), key.cast("string")).alias("entity_url"),
-        letters_norm(key).alias("name_norm"),
+    key = "s_suppkey"
+    return table(spark, sf_dir, "supplier").selectExpr(
+        f"string({key}) AS entity_id",
+        f"{entity_name(key)} AS name",
+        f"double(60 + {key} % 20) AS height_in",
+        f"IF({key} % 7 <> 0, double(60 + {key} % 20 + {key} % 5), NULL) AS reach_in",
+        f"double(115 + 10 * ({key} % 16)) AS listed_weight_lbs",
+        f"CASE {key} % 4 WHEN 0 THEN 'Orthodox' WHEN 1 THEN 'Southpaw' WHEN 2 THEN 'Switch' END AS stance",
+        f"IF(s_acctbal >= 0, date_add(DATE'1960-01-01', int(({key} * 30) % 5000)), NULL) AS dob",
+        f"concat('http://entities/', string({key})) AS entity_url",
+        f"concat('sup', {letters(key)}) AS name_norm",
     )
 
 
-def letters_norm(key):
-    return F.concat(F.lit("sup"), letters(key))
-
-
 # ------------------------------------------------------------------------------ raw text files
-def _clock(seconds):
-    return F.concat(
-        F.floor(seconds / 60).cast("string"), F.lit(":"), F.lpad((seconds % 60).cast("int").cast("string"), 2, "0")
-    )
+def _clock(seconds: str) -> str:
+    return f"concat(string(int(floor(({seconds}) / 60))), ':', lpad(string(int(({seconds}) % 60)), 2, '0'))"
 
 
 def raw_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bouts as listed text. Urgent orders are listed a second time under an unknown event."""
-    key = F.col("bout_id").cast("long")
-    kind, winner, method = F.col("result_type"), F.col("winner_side"), F.col("method")
-    listed = bouts(spark, sf_dir).select(
-        F.col("event").alias("EVENT"),
-        F.col("bout").alias("BOUT"),
-        F.when(winner == 1, "W/L").when(winner == 2, "L/W").when(kind == "draw", "D/D").otherwise("NC/NC").alias("OUTCOME"),
-        class_text(key).alias("WEIGHTCLASS"),
-        F.when(method == "SUB", "Submission").when(method == "DEC", "Decision - Unanimous")
-        .when(method == "OTHER", "Overturned").otherwise(method).alias("METHOD"),
-        F.col("end_round").cast("string").alias("ROUND"),
-        _clock(1 + (key * 37) % 300).alias("TIME"),
-        F.when(F.col("scheduled_rounds") == 5, "5 Rnd (5-5-5-5-5)").otherwise("3 Rnd (5-5-5)").alias("TIME FORMAT"),
-        F.lit("--").alias("REFEREE"),
-        F.lit("---").alias("DETAILS"),
-        F.concat(F.lit("http://bouts/"), F.col("bout_id")).alias("URL"),
+    key = "bigint(bout_id)"
+    listed = bouts(spark, sf_dir).selectExpr(
+        "inline(IF(scheduled_rounds = 5, array(struct(event AS EVENT), struct(concat('Renamed ', event) AS EVENT)), "
+        "array(struct(event AS EVENT))))",
+        "bout AS BOUT",
+        "CASE WHEN winner_side = 1 THEN 'W/L' WHEN winner_side = 2 THEN 'L/W' WHEN result_type = 'draw' THEN 'D/D' ELSE 'NC/NC' END AS OUTCOME",
+        f"{class_text(key)} AS WEIGHTCLASS",
+        "CASE method WHEN 'SUB' THEN 'Submission' WHEN 'DEC' THEN 'Decision - Unanimous' WHEN 'OTHER' THEN 'Overturned' ELSE method END AS METHOD",
+        "string(end_round) AS ROUND",
+        f"{_clock(f'1 + ({key} * 37) % 300')} AS TIME",
+        "IF(scheduled_rounds = 5, '5 Rnd (5-5-5-5-5)', '3 Rnd (5-5-5)') AS `TIME FORMAT`",
+        "'--' AS REFEREE",
+        "'---' AS DETAILS",
+        "concat('http://bouts/', bout_id) AS URL",
     )
-    copies = listed.filter(F.col("EVENT").endswith("1-URGENT")).withColumn(
-        "EVENT", F.concat(F.lit("Renamed "), F.col("EVENT"))
-    )
-    return listed.unionByName(copies)
+    return listed
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that had an order that is not pending; the others stay undated."""
-    day = F.col("o_orderdate").cast("date")
-    return (
-        table(spark, sf_dir, "orders")
-        .filter("o_orderstatus <> 'P'")
-        .select(day.alias("day"), "o_orderpriority")
-        .distinct()
-        .select(
-            F.concat(F.lit("Card "), F.date_format("day", "yyyy-MM-dd"), F.lit(" "), F.col("o_orderpriority")).alias("EVENT"),
-            F.concat(F.lit("http://events/"), F.date_format("day", "yyyyMMdd")).alias("URL"),
-            F.date_format("day", "MMMM d, yyyy").alias("DATE"),
-            F.concat(F.lit("Hall "), F.col("o_orderpriority")).alias("LOCATION"),
-        )
+    days = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").selectExpr("date(o_orderdate) AS day", "o_orderpriority")
+    return days.distinct().selectExpr(
+        "concat('Card ', date_format(day, 'yyyy-MM-dd'), ' ', o_orderpriority) AS EVENT",
+        "concat('http://events/', date_format(day, 'yyyyMMdd')) AS URL",
+        "date_format(day, 'MMMM d, yyyy') AS DATE",
+        "concat('Hall ', o_orderpriority) AS LOCATION",
     )
 
 
 def raw_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text row per line number of an end supplier, plus an empty row per pending bout."""
     rounds = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey", "l_linenumber").agg(*_stat_aggregates())
-    listed = bouts(spark, sf_dir).select(
-        F.col("bout_id").cast("long").alias("l_orderkey"), "event", "bout", "result_type",
-        F.col("entity_1_id").cast("long").alias("s1"), F.col("entity_2_id").cast("long").alias("s2"),
+    listed = bouts(spark, sf_dir).selectExpr(
+        "bigint(bout_id) AS l_orderkey", "event", "bout", "result_type", "bigint(entity_1_id) AS s1", "bigint(entity_2_id) AS s2"
     )
     joined = rounds.join(listed, "l_orderkey").filter("l_suppkey = s1 OR l_suppkey = s2")
-
-    def number(c: str):
-        return F.col(c).cast("int").cast("string")
-
-    def pair(name: str):
-        return F.concat(number(f"{name}_landed"), F.lit(" of "), number(f"{name}_att"))
-
-    from duelgrid.constants import PAIR_HEADERS, RAW_STATS
-
     values = {
-        "EVENT": F.col("event"),
-        "BOUT": F.col("bout"),
-        "ROUND": F.concat(F.lit("Round "), F.col("l_linenumber").cast("string")),
-        "FIGHTER": entity_name(F.col("l_suppkey")),
-        "KD": number("kd"),
-        "SIG.STR. %": F.lit("---"),
-        "TD %": F.lit("---"),
-        "SUB.ATT": number("sub_att"),
-        "REV.": number("rev"),
-        "CTRL": F.coalesce(_clock(F.col("ctrl_s")), F.lit("--")),
-        **{header: pair(name) for name, header in PAIR_HEADERS.items()},
+        "EVENT": "event",
+        "BOUT": "bout",
+        "ROUND": "concat('Round ', string(l_linenumber))",
+        "FIGHTER": entity_name("l_suppkey"),
+        "KD": "string(int(kd))",
+        "SIG.STR. %": "'---'",
+        "TD %": "'---'",
+        "SUB.ATT": "string(int(sub_att))",
+        "REV.": "string(int(rev))",
+        "CTRL": f"coalesce({_clock('ctrl_s')}, '--')",
+        **{
+            header: f"concat(string(int({name}_landed)), ' of ', string(int({name}_att)))"
+            for name, header in PAIR_HEADERS.items()
+        },
     }
-    empty = listed.filter("result_type = 'no_contest'").select(
-        F.col("event").alias("EVENT"), F.col("bout").alias("BOUT"),
-        *[F.lit("").alias(c) for c in RAW_STATS if c not in ("EVENT", "BOUT")],
+    empty = listed.filter("result_type = 'no_contest'").selectExpr(
+        "event AS EVENT", "bout AS BOUT", *[f"'' AS `{c}`" for c in RAW_STATS if c not in ("EVENT", "BOUT")]
     )
-    return joined.select(*[values[c].alias(c) for c in RAW_STATS]).unionByName(empty)
+    return joined.selectExpr(*[f"{values[c]} AS `{c}`" for c in RAW_STATS]).unionByName(empty)
 
 
 def raw_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = entities(spark, sf_dir)
-    inches = F.col("height_in").cast("int")
-    return e.select(
-        F.col("name").alias("FIGHTER"),
-        F.concat((F.floor(inches / 12)).cast("string"), F.lit("' "), (inches % 12).cast("string"), F.lit('"')).alias("HEIGHT"),
-        F.concat(F.col("listed_weight_lbs").cast("int").cast("string"), F.lit(" lbs.")).alias("WEIGHT"),
-        F.coalesce(F.concat(F.col("reach_in").cast("int").cast("string"), F.lit('"')), F.lit("--")).alias("REACH"),
-        F.coalesce("stance", F.lit("")).alias("STANCE"),
-        F.coalesce(F.date_format("dob", "MMM dd, yyyy"), F.lit("not recorded")).alias("DOB"),
-        F.col("entity_url").alias("URL"),
+    return entities(spark, sf_dir).selectExpr(
+        "name AS FIGHTER",
+        "concat(string(int(floor(height_in / 12))), '\\' ', string(int(height_in % 12)), '\"') AS HEIGHT",
+        "concat(string(int(listed_weight_lbs)), ' lbs.') AS WEIGHT",
+        "coalesce(concat(string(int(reach_in)), '\"'), '--') AS REACH",
+        "coalesce(stance, '') AS STANCE",
+        "coalesce(date_format(dob, 'MMM dd, yyyy'), 'not recorded') AS DOB",
+        "entity_url AS URL",
     )
 
 
@@ -303,44 +269,35 @@ CLASS_NAMES = ["Lightweight", "Welterweight", "Women's Flyweight", "Heavyweight"
 ALIASES = {"red widget": "blue bolt", "small ring": "nobody at all"}
 
 
-def class_name(key):
-    return F.element_at(F.array(*[F.lit(c) for c in CLASS_NAMES]), (key % 8 + 1).cast("int"))
+def class_name(key: str) -> str:
+    return _pick(CLASS_NAMES, key)
 
 
 def named_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts (64 names, so all are shared) and suppliers (unique names) in one entity table."""
     from duelgrid.functions.text import normalize_name
 
-    key = F.col("p_partkey")
-    parts = table(spark, sf_dir, "part").select(
-        F.concat(F.lit("p"), key.cast("string")).alias("entity_id"),
-        F.col("p_name").alias("name"),
-        F.when(F.col("p_type") != "ECONOMY", F.col("p_size").cast("double")).alias("listed_weight_lbs"),
-        F.when(
-            F.col("p_brand") != "Brand#1", F.date_add(F.lit("1950-01-01").cast("date"), ((key * 7919) % 18000).cast("int"))
-        ).alias("dob"),
-        normalize_name(F.col("p_name")).alias("name_norm"),
-        class_name(F.col("p_size")).alias("last_weight_class"),
+    parts = table(spark, sf_dir, "part").selectExpr(
+        "concat('p', string(p_partkey)) AS entity_id",
+        "p_name AS name",
+        "IF(p_type <> 'ECONOMY', double(p_size), NULL) AS listed_weight_lbs",
+        "IF(p_brand <> 'Brand#1', date_add(DATE'1950-01-01', int((p_partkey * 7919) % 18000)), NULL) AS dob",
+        f"{class_name('p_size')} AS last_weight_class",
     )
-    suppliers = entities(spark, sf_dir).select(
-        F.concat(F.lit("s"), F.col("entity_id")).alias("entity_id"), "name", "listed_weight_lbs", "dob", "name_norm",
-        F.lit(None).cast("string").alias("last_weight_class"),
+    suppliers = entities(spark, sf_dir).selectExpr(
+        "concat('s', entity_id) AS entity_id", "name", "listed_weight_lbs", "dob", "CAST(NULL AS STRING) AS last_weight_class"
     )
-    return parts.unionByName(suppliers)
+    return parts.unionByName(suppliers).withColumn("name_norm", normalize_name(F.col("name")))
 
 
 def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One mention per line: a supplier's name, a part's name, or a part's name with a suffix."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    flag = F.col("l_returnflag")
-    return table(spark, sf_dir, "lineitem").join(parts, "l_partkey").select(
-        F.col("l_orderkey").cast("string").alias("bout_id"),
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey AS l_partkey", "p_name")
+    return table(spark, sf_dir, "lineitem").join(parts, "l_partkey").selectExpr(
+        "string(l_orderkey) AS bout_id",
         "l_linenumber",
-        F.when(flag == "A", entity_name(F.col("l_suppkey")))
-        .when(flag == "R", F.concat(F.col("p_name"), F.lit(" Jr.")))
-        .otherwise(F.col("p_name"))
-        .alias("name"),
-        F.col("l_shipdate").cast("date").alias("event_date"),
-        F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).alias("weight_lbs"),
-        class_name(F.col("l_orderkey")).alias("weight_class"),
+        f"CASE l_returnflag WHEN 'A' THEN {entity_name('l_suppkey')} WHEN 'R' THEN concat(p_name, ' Jr.') ELSE p_name END AS name",
+        "date(l_shipdate) AS event_date",
+        "IF(l_linestatus = 'F', l_quantity, NULL) AS weight_lbs",
+        f"{class_name('l_orderkey')} AS weight_class",
     )

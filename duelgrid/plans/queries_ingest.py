@@ -266,7 +266,7 @@ def bout_duration(spark, sf):
   CASE WHEN l_returnflag <> 'R' THEN CAST([155, 170, 125, 265, 205, NULL, 115, NULL][l_partkey % 8 + 1] AS DOUBLE) END AS lbs,
   l_returnflag <> 'R' AND l_partkey % 8 IN (2, 6) AS is_female, l_returnflag <> 'R' AND l_partkey % 8 IN (1, 6) AS is_title FROM lineitem""")
 def classify_ordered_contains(spark, sf):
-    raw_text = F.when(F.col("l_returnflag") != "R", F.upper(adapter.class_text(F.col("l_partkey"))))
+    raw_text = F.expr(f"IF(l_returnflag <> 'R', upper({adapter.class_text('l_partkey')}), NULL)")
     return adapter.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", X.weight_class(raw_text).alias("k")
     ).select("l_orderkey", "l_linenumber", "l_partkey", "k.*")
