@@ -79,6 +79,10 @@ def canonical_bouts(results: DataFrame, events: DataFrame) -> DataFrame:
     return type_bouts(with_event_date(dedupe_prefer_known(results, events), events))
 
 
+def result_counts(bouts: DataFrame) -> DataFrame:
+    return bouts.groupBy("result_type").agg(F.count(F.lit(1)).alias("n_bouts"))
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
 

@@ -20,6 +20,16 @@ def _log_loss(y: Column, p: Column) -> Column:
     return -F.when(y == 1, F.log(q)).otherwise(F.log(1 - q))
 
 
+def _bucket(df: DataFrame, value: str, buckets: int) -> Column:
+    """Balanced bucket number of `value`: how many approximate quantiles lie below it."""
+    cuts = [i / buckets for i in range(1, buckets)]
+    edges = sorted(set(df.approxQuantile(value, cuts, 1 / (4 * buckets))))
+    if not edges:
+        return F.lit(0)
+    literal = ", ".join(f"{e!r}D" for e in edges)
+    return F.expr(f"size(filter(array({literal}), e -> e < `{value}`))")
+
+
 def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], buckets: int = 64) -> DataFrame:
     """Distinct values with `sums` and, as `<name>_before`, the totals of all smaller values.
 
@@ -29,10 +39,7 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], buck
     whatever the edges are.
     """
     cells = df.groupBy(value).agg(*[column.alias(name) for name, column in sums.items()])
-    cuts = [i / buckets for i in range(1, buckets)]
-    edges = sorted(set(df.approxQuantile(value, cuts, 1 / (4 * buckets))))
-    bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(value))) if edges else F.lit(0)
-    placed = cells.withColumn("bucket", bucket)
+    placed = cells.withColumn("bucket", _bucket(df, value, buckets))
     inside = Window.partitionBy("bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     over_buckets = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -129,8 +136,7 @@ def probability_histogram(df: DataFrame, p: str = "p", bins: int = 20) -> DataFr
 def grouped_metrics(df: DataFrame, model: str = "model", y: str = "y", p: str = "p") -> DataFrame:
     """`binary_metrics` per model, rounded to 4 digits, in one aggregation for all models but the AUC.
 
-    The AUC folds equal probabilities per model; its prefix sums run inside buckets of the
-    probability range per model.
+    The AUC folds equal probabilities per model; its prefix sums run inside balanced buckets.
     """
     q = clip_probability(F.col(p))
     rows = df.select(F.col(model).alias("model"), F.col(y).alias("y"), q.alias("p"))
@@ -143,7 +149,7 @@ def grouped_metrics(df: DataFrame, model: str = "model", y: str = "y", p: str =
     )
     cells = rows.groupBy("model", "p").agg(
         F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.sum((F.col("y") != 1).cast("long")).alias("neg")
-    ).withColumn("bucket", F.floor(F.col("p") * 4096))
+    ).withColumn("bucket", _bucket(rows, "p", 64))
     inside = Window.partitionBy("model", "bucket").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("model").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.groupBy("model", "bucket").agg(F.sum("neg").alias("neg")).select(

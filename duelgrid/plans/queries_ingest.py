@@ -354,6 +354,11 @@ def canonical_bouts(spark, sf):
     return _canonical(spark, sf).select(*_CANON)
 
 
+@query(f"WITH {S.CANON} SELECT result_type, count(*) AS n_bouts FROM canon GROUP BY result_type")
+def result_counts(spark, sf):
+    return canonical.result_counts(_canonical(spark, sf))
+
+
 @query(f"WITH {S.CANON} SELECT event, bout, count(*) AS n_rows FROM canon GROUP BY event, bout HAVING count(*) > 1 "
        "UNION ALL SELECT '', l_orderkey || '/' || l_linenumber, count(*) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
 def duplicate_keys(spark, sf):

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from duelgrid.constants import FINISH_TYPES, MODEL_GRIDS
-from duelgrid.operators import metrics, models, monitor, outcomes, resolve, roster, scoring
+from duelgrid.operators import matchup, metrics, models, monitor, outcomes, resolve, roster, scoring
 from duelgrid.plans import adapter, derived, pipeline
 from duelgrid.plans.derived import PLAIN_INPUT
 from duelgrid.plans.registry import query
@@ -218,6 +218,24 @@ def score_card(spark, sf):
     )
 
 
+@query()
+def prediction_record(spark, sf):
+    """Every pair that has met, predicted for the day after the newest bout in its default class."""
+    b = derived.bouts(spark, sf)
+    pairs = b.groupBy(F.col("entity_1_id").alias("a_id"), F.col("entity_2_id").alias("b_id")).agg(
+        F.min("entity_1_name").alias("a_name"), F.min("entity_2_name").alias("b_name")
+    )
+    context = matchup.bout_context(pairs, matchup.latest_division(derived.appearances(spark, sf)))
+    asked = context.select(
+        "*", derived.next_day(spark, sf).alias("as_of"), F.lit(3).alias("scheduled_rounds"), F.lit(False).alias("is_title")
+    )
+    split = outcomes.round_split(b, P.finish_min_train, P.validation)
+    out = scoring.prediction_records(asked, derived.current_profiles(spark, sf), _fit(spark, sf), _finish(spark, sf), split)
+    return out.select(
+        "a_id", "b_id", "as_of", "weight_class", "p_a", "p_b", "side_a", "side_b", "warnings", "most_likely", "distance", "by_round", "factors", "model_type"
+    )
+
+
 @query()
 def schema_guard(spark, sf):
     """What is wrong with a saved input list that has a retired feature, next to the table at hand."""

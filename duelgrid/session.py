@@ -8,6 +8,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Session settings that suit these jobs. The method limit sends stages with very wide projections to
+# Spark's split code path, because the JVM does not compile methods above that size.
+RECOMMENDED_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 
