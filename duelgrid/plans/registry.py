@@ -29,6 +29,10 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
     The nudge keeps values that lie on a rounding boundary on one side of it.
     """
+    scale = f"{10.0**digits!r}D"
     return df.selectExpr(
-        *[f"round(`{c}` + {NUDGE!r}D, {digits}) AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes]
+        *[
+            f"rint((`{c}` + {NUDGE!r}D) * {scale}) / {scale} AS `{c}`" if t == "double" else f"`{c}`"
+            for c, t in df.dtypes
+        ]
     )
