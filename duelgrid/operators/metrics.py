@@ -26,8 +26,8 @@ def _bucket(df: DataFrame, value: str, buckets: int) -> Column:
     edges = sorted(set(df.approxQuantile(value, cuts, 1 / (4 * buckets))))
     if not edges:
         return F.lit(0)
-    literal = ", ".join(f"{e!r}D" for e in edges)
-    return F.expr(f"size(filter(array({literal}), e -> e < `{value}`))")
+    steps = " ".join(f"WHEN `{value}` <= {e!r}D THEN {i}" for i, e in enumerate(edges))
+    return F.expr(f"CASE {steps} ELSE {len(edges)} END")
 
 
 def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], buckets: int = 64) -> DataFrame:
