@@ -193,7 +193,7 @@ def formatted(turns: DataFrame) -> DataFrame:
 
 def read_back(chats: DataFrame) -> DataFrame:
     """conv_id, the `turns` parsed from `formatted`, and `loss_text`, all text under the mask, both unescaped."""
-    segments = F.slice(F.split("formatted", r"<\|im_start\|>", -1), 2, 2**31 - 1)
+    segments = F.slice(F.split("formatted", r"<\|im_start\|>", -1), 2, 1 << 30)
     cut = chats.select("conv_id", "formatted", "turn_starts", "loss_mask", segments.alias("segments"))
 
     def turn(segment: Column) -> Column:
