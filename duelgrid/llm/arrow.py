@@ -117,3 +117,20 @@ class Windows:
 
     def at(self, positions: np.ndarray, length: int) -> np.ndarray:
         return mixed((self.sums[positions + length] - self.sums[positions]) * self.back[positions])
+
+
+class Recent:
+    """A bounded memory: what was not asked for during the last `size` new entries or so is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that are not known; the caller adds them to `young`, which then holds all of `keys`."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        fresh = keys.difference(young)
+        for k in fresh & old.keys():
+            young[k] = old[k]
+        return list(fresh.difference(young))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelgrid.llm import chat, langid, packing, quality_crf, quality_rules, secret_scan, simhash, substring
+from duelgrid.llm import ann, bpe, chat, langid, packing, quality_crf, quality_rules, secret_scan, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"))
+
+
 @query()
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(_table(spark, sf_dir, "documents")))
@@ -117,3 +122,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents labelled as good are the trusted target."""
     trusted = _table(spark, sf_dir, "labels").where("quality = 1")
     return quality_rules.judged(_table(spark, sf_dir, "documents"), trusted)
+
+
+@query()
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the vectors whose id is divisible by 20."""
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
