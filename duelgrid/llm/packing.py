@@ -18,11 +18,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelgrid.llm.arrow import pieces
+from duelgrid.llm.arrow import Recent, pieces
 
 LENGTH = 1024
 GROUP_DOCUMENTS = 4096
-CACHE_UNITS = 300_000
+CACHE_UNITS = 1_000_000  # twice as many at most, about 200 bytes each
 LONGEST_CACHED = 48
 #: The characters with the Unicode property White_Space. Fixed values.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -41,7 +41,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.units = Recent(CACHE_UNITS)
 
     def _coded(self, units: list[str]) -> Iterator[bytes]:
         for i in range(0, len(units), 4096):
@@ -51,11 +51,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [UNIT.findall(t) for t in texts]
-        fresh = [u for u in set().union(*cut).difference(self.known)]
-        if len(self.known) + len(fresh) > CACHE_UNITS:
-            self.known.clear()
-            fresh = list(set().union(*cut))
-        known = self.known
+        fresh = self.units.missing(set().union(*cut))
+        known = self.units.young
         known.update(zip(fresh, self._coded(fresh)))
         out = [b"".join([known[u] for u in units]) for units in cut]
         for u in fresh:
