@@ -17,8 +17,16 @@ from duelgrid.session import run_dir, written
 CHUNK_BYTES = 4 << 20
 
 
-def checkpointed(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors, is computed once."""
+ROWS_PER_FILE = 250_000
+
+
+def checkpointed(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors, is computed once.
+
+    With a bound of its `rows`, a narrow table goes into as few files as that many rows need.
+    """
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_PER_FILE + 1)
     return written(df, run_dir(df.sparkSession, label))
 
 

@@ -31,7 +31,7 @@ from duelgrid.llm.packing import UNIT
 PIECE_BYTES = 1 << 20
 QUERY_WORDS = 10_000
 LONG_BYTES = 256
-REMEMBERED = 150_000
+REMEMBERED_WORDS, REMEMBERED_UNITS = 400_000, 250_000  # twice as many at most
 MEMORY = "200MB"
 
 CONTRACT = """
@@ -96,7 +96,7 @@ class Codec:
         self._fill("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.all_ids = np.array(list(ranks.values()), np.int32)
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
-        self.words, self.units = Recent(REMEMBERED), Recent(REMEMBERED)
+        self.words, self.units = Recent(REMEMBERED_WORDS), Recent(REMEMBERED_UNITS)
 
     def _fill(self, name: str, table: pa.Table) -> None:
         self.db.register("given", table)

@@ -31,6 +31,7 @@ from duelgrid.llm.components import roots
 
 HOME_LIMIT = 64
 MAX_BITS = 2
+KEYS = 21  # of a fingerprint, at most: three homes and six probes for each
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # shift and width of A, B and C
 ORDERED = ((0, 1), (2, 0), (1, 2))
 GENERATOR = 0b101011100011  # of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -130,9 +131,9 @@ def _within_one_bit(bits):
     return F.concat(F.array(bits), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
 
 
-def links(distinct: DataFrame, home_limit: int = HOME_LIMIT) -> DataFrame:
+def links(distinct: DataFrame, home_limit: int = HOME_LIMIT, rows: int | None = None) -> DataFrame:
     """Pairs (a, b) of different fingerprints that differ in two bits or fewer; of a crowded home, enough to join them."""
-    keys = checkpointed(_keys(distinct), "golay-keys")
+    keys = checkpointed(_keys(distinct), "golay-keys", None if rows is None else KEYS * rows)
     homes, probes = keys.where("home"), keys.where("NOT home")
     crowded = homes.groupBy("key").count().where(F.col("count") > home_limit).select("key")
     quiet = homes.join(crowded, "key", "left_anti").select("key", F.col("bits").alias("b"))
@@ -154,7 +155,8 @@ def components(docs: DataFrame, home_limit: int = HOME_LIMIT) -> DataFrame:
     """
     prints = checkpointed(fingerprints(docs), "fingerprints")
     firsts = prints.groupBy("bits").agg(F.min("doc_id").alias("first"))
-    found = roots(links(prints.select("bits").distinct(), home_limit))
+    rows = prints.count()
+    found = roots(links(prints.select("bits").distinct(), home_limit, rows), 4 * rows)
     placed = firsts.join(found.withColumnRenamed("node", "bits"), "bits", "left")
     root = F.coalesce("root", "bits")
     least = placed.groupBy(root.alias("root")).agg(F.min("first").alias("component_id"))
