@@ -11,14 +11,16 @@ row where it lies, with the ratios as one constant array of `BUCKETS` numbers.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
 TRUSTED_DOCUMENTS = 20_000  # documents that the target is learnt from, at most
 THRESHOLD = -0.25
-SYMBOLS = "#*$%&|<>"
-GAPS = " \t\n\x0b\x0c\r"
+SYMBOL = "[#*$%&|<>]"
+WORD = r"[^\x20\x09-\x0D]+"
 TOKEN = r"\p{L}+|\p{N}+|[^\p{L}\p{N}\x20\x09-\x0D]+"
 FEWEST_WORDS, MOST_REPEATED = 50, 50
 
@@ -28,10 +30,6 @@ def _once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-
-
 def _bucket(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
 
@@ -69,13 +67,12 @@ def _repeat_words(words: Column) -> Column:
         return F.sort_array(F.transform(F.filter(ordered, met), lambda x: x["p"]))
 
     def from_words(w: Column) -> Column:
-        return F.transform(
-            F.slice(w, 3, 1 << 30), lambda x, i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), x).alias("h"), i.alias("p"))
-        )
+        return F.transform(F.slice(w, 3, 1 << 30), lambda x, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), x))
 
     def from_windows(windows: Column) -> Column:
-        alone = F.size(F.array_distinct(F.transform(windows, lambda x: x["h"]))) == F.size(windows)
-        return F.when(alone, F.lit(0).cast("long")).otherwise(_once(F.sort_array(windows), lambda o: _once(places(o), spread)))
+        alone = F.size(F.array_distinct(windows)) == F.size(windows)  # true of most texts, which need no sorting
+        placed = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p")))
+        return F.when(alone, F.lit(0).cast("long")).otherwise(_once(F.sort_array(placed), lambda o: _once(places(o), spread)))
 
     return _once(_once(words, from_words), from_windows)
 
@@ -83,18 +80,22 @@ def _repeat_words(words: Column) -> Column:
 def base_counts(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of every whole text."""
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, GAPS, "")) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     counted = docs.select(
         "doc_id", text.alias("text"),
-        _once(_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("repeated"))).alias("words"),
-        F.length(F.translate(text, GAPS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        _once(
+            F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
+            lambda w: F.struct(
+                F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), _repeat_words(w).alias("repeated")
+            ),
+        ).alias("words"),
+        F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         _once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
     n, repeated = F.col("words.n"), F.col("words.repeated")
     failed = (n < FEWEST_WORDS) | (100 * repeated > MOST_REPEATED * n)
     return counted.select(
-        "doc_id", "text", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"), failed.alias("base_failed")
+        "doc_id", "text", n.alias("n_words"), F.col("words.chars").alias("word_chars"), "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"), failed.alias("base_failed")
     )
 
 
@@ -106,14 +107,12 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     target = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_DOCUMENTS)
     marked = docs.select("doc_id", "text").join(F.broadcast(target.withColumn("good", F.lit(1))), "doc_id", "left")
     met = marked.where("text IS NOT NULL").select("good", F.explode(buckets_of(F.col("text"))).alias("bucket"))
-    counts = met.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good"))
-    both = counts.agg(F.sum("raw"), F.sum("good")).first()
-    if not both[1]:
-        return [0.0] * BUCKETS
-    share = (F.col("good") + 1) / F.lit(float(both[1] + BUCKETS)) / ((F.col("raw") + 1) / F.lit(float(both[0] + BUCKETS)))
+    counts = met.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good")).collect()  # BUCKETS rows at most
+    raw, good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
     out = [0.0] * BUCKETS
-    for row in counts.select("bucket", F.round(F.log(share), 6)).collect():
-        out[row[0]] = row[1]
+    if good:
+        for r in counts:
+            out[r["bucket"]] = round(math.log((r["good"] + 1) / (good + BUCKETS) * (raw + BUCKETS) / (r["raw"] + 1)), 6)
     return out
 
 
