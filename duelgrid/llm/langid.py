@@ -25,6 +25,7 @@ SAMPLE_PER_LANGUAGE = 4000  # documents that a language's model is fitted on, at
 WORDS_PER_LANGUAGE = 20_000
 GRAMS_PER_ORDER = 10_000
 REMEMBERED = 200_000  # unknown words whose scores a task keeps
+SALTS = 64
 NONE = "und"
 
 
@@ -79,8 +80,10 @@ def fit(docs: DataFrame, training: Column | None = None, per_language: int = SAM
     """
     usable = F.col("lang").isNotNull() & F.col("text").isNotNull()
     rows = docs.where(usable if training is None else usable & training)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang", F.row_number().over(first).alias("nth")).where(F.col("nth") <= per_language)
+    ids = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    for groups in (("lang", "salt"), ("lang",)):  # a language of very many documents is first cut down in parts
+        first = Window.partitionBy(*groups).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language)
     chosen = ids.select("doc_id").distinct()
     sample = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
     best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")

@@ -69,7 +69,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUBSTRING_SQL = r"""
 WITH words AS (
   SELECT doc_id, row_number() OVER () AS r,
-         list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), w -> w <> '') AS w
+         [x FOR x IN string_split_regex(coalesce(text, ''), '[ \t-\r]+') IF x <> ''] AS w
   FROM documents
 ), windows AS (
   SELECT r, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h

@@ -339,10 +339,13 @@ def digests(spans: DataFrame, base: int = len(BASE_RULES), rules: tuple[Rule, ..
     def text(column):
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     own = F.filter("spans", lambda s: s["kind"].isin(kinds))
     return spans.select(
         "doc_id",
-        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds],
+        *[number(k) for k in kinds],
         F.sha2(text(own), 256).alias("base_sha256"),
         text("spans").alias("spans"),
     )
