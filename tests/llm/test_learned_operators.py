@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from compare import connect, differences
-from conftest import nasty_rows
+from awkward import nasty_rows
 from pyspark.sql import functions as F
 
 from duelgrid.llm import ann, chat, langid, quality_crf, quality_rules, queries

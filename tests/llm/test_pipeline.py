@@ -9,7 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
-from conftest import nasty_rows
+from awkward import nasty_rows
 from test_text_operators import plain_components, plain_fingerprint, plain_spans
 from tokenizers import Tokenizer
 

