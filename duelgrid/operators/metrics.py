@@ -168,6 +168,14 @@ def grouped_metrics(df: DataFrame, model: str = "model", y: str = "y", p: str =
     )
 
 
+def _loss(p: Column, floor: float | None = 1e-12) -> Column:
+    """Minus the logarithm of a probability. A missing one raises; without a floor, zero costs infinity."""
+    given = F.coalesce(p.cast("double"), F.raise_error(F.lit("a probability is missing")).cast("double"))
+    if floor is not None:
+        return -F.log(F.greatest(F.least(given, F.lit(1.0)), F.lit(floor)))
+    return F.when(given > 0, -F.log(given)).otherwise(F.lit(float("inf")))
+
+
 def multiclass_metrics(df: DataFrame, label: str = "method", probabilities: str = "probabilities") -> DataFrame:
     """Log loss in the fixed class order and accuracy of the first most likely class."""
     classes = F.array(*[F.lit(m) for m in FINISH_TYPES])
@@ -175,7 +183,7 @@ def multiclass_metrics(df: DataFrame, label: str = "method", probabilities: str
     best = F.array_position(F.col(probabilities), F.array_max(probabilities))
     return df.agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(-F.log(F.greatest(F.least(true_p, F.lit(1.0)), F.lit(1e-12)))).alias("log_loss"),
+        F.avg(_loss(true_p)).alias("log_loss"),
         F.avg((F.element_at(classes, best.cast("int")) == F.col(label)).cast("double")).alias("accuracy"),
     )
 
@@ -188,25 +196,28 @@ def joint_metrics(df: DataFrame) -> DataFrame:
     p_winner = F.when(F.col("label") == 1, F.col("p_a")).otherwise(1 - F.col("p_a"))
     return df.agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(-F.log(p_winner * F.col("p_method"))).alias("model_log_loss"),
+        F.avg(_loss(p_winner * F.col("p_method"), None)).alias("model_log_loss"),
         F.avg(F.lit(math.log(2 * len(FINISH_TYPES)))).alias("uniform_log_loss"),
-        F.avg(-F.log(p_winner * F.col("p_rate"))).alias("rates_log_loss"),
+        F.avg(_loss(p_winner * F.col("p_rate"), None)).alias("rates_log_loss"),
     )
 
 
 def round_metrics(df: DataFrame, split: DataFrame, naive: DataFrame) -> DataFrame:
     """Log loss of {round, decision} against smoothed training rates.
 
-    Rows hold scheduled_rounds, outcome (k+1: decision) and p_decision.
+    Rows hold scheduled_rounds, outcome (k+1: decision) and p_decision. Rows whose schedule length has no split or
+    whose outcome is unknown are left out, of the count too.
     """
     shares = split.select("scheduled_rounds", F.col("round").alias("outcome"), "share")
     rates = naive.select("scheduled_rounds", "outcome", F.col("share").alias("rate"))
     decided = F.col("outcome") == F.col("scheduled_rounds") + 1
-    joined = df.join(shares, ["scheduled_rounds", "outcome"], "left").join(rates, ["scheduled_rounds", "outcome"], "left")
+    lengths = split.select("scheduled_rounds").distinct()
+    known = df.where("outcome IS NOT NULL").join(lengths, "scheduled_rounds", "left_semi")
+    joined = known.join(shares, ["scheduled_rounds", "outcome"], "left").join(rates, ["scheduled_rounds", "outcome"], "left")
     p_model = F.when(decided, F.col("p_decision")).otherwise((1 - F.col("p_decision")) * F.col("share"))
     return joined.agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(-F.log(F.greatest(F.least(p_model, F.lit(1.0)), F.lit(1e-12)))).alias("model_log_loss"),
+        F.avg(_loss(p_model)).alias("model_log_loss"),
         F.avg(-F.log("rate")).alias("naive_log_loss"),
     )
 

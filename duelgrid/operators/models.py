@@ -6,6 +6,7 @@ parameters per model.
 
 from __future__ import annotations
 
+import calendar
 import datetime
 from dataclasses import dataclass, field, replace
 
@@ -391,7 +392,9 @@ def finish_c_search(
     table: DataFrame, periods: Periods, grid: tuple[float, ...] = FINISH_C_GRID, holdout_years: int = FINISH_HOLDOUT_YEARS
 ) -> list[tuple[float, float]]:
     """Holdout log loss of every C, on the last years inside the training period."""
-    cut = f"{int(periods.validation[:4]) - holdout_years}{periods.validation[4:]}"
+    start = datetime.date.fromisoformat(periods.validation)
+    last = calendar.monthrange(start.year - holdout_years, start.month)[1]  # 29 February has no match in most years
+    cut = start.replace(year=start.year - holdout_years, day=min(start.day, last)).isoformat()
     inner = between(table, periods.finish_min_train, cut)
     holdout = between(table, cut, periods.validation)
     return [

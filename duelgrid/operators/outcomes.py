@@ -63,15 +63,16 @@ def _slots(bouts: DataFrame, lengths: tuple[int, ...], extra: int, cell: str) ->
 
 def round_split(bouts: DataFrame, start: str, end: str | None, lengths: tuple[int, ...] = (3, 5)) -> DataFrame:
     """P(finish in round r | an early finish), per schedule length, add-one smoothed."""
-    early = finished(bouts, start, end, FINISH_TYPES[:2]).filter(F.col("scheduled_rounds").isin(list(lengths)))
+    early = finished(bouts, start, end, FINISH_TYPES[:2]).filter(F.col("scheduled_rounds").isin(list(lengths)) & F.col("end_round").isNotNull())
     clipped = F.greatest(F.least(F.col("end_round"), F.col("scheduled_rounds")), F.lit(1)).cast("int")
     cells = early.select(F.col("scheduled_rounds").cast("int").alias("scheduled_rounds"), clipped.alias("round"))
     return _smoothed(cells, _slots(bouts, lengths, 0, "round"), "round")
 
 
 def round_outcome(method: Column, end_round: Column, scheduled: Column) -> Column:
-    """1..k for the round of an early finish, k+1 for a decision."""
-    return F.when(method == "DEC", scheduled + 1).otherwise(F.least(end_round, scheduled)).cast("int")
+    """1..k for the round of an early finish, k+1 for a decision; NULL if an early finish has no round."""
+    inside = F.when(end_round.isNotNull(), F.greatest(F.least(end_round, scheduled), F.lit(1)))
+    return F.when(method == "DEC", scheduled + 1).otherwise(inside).cast("int")
 
 
 def round_outcome_rates(bouts: DataFrame, start: str, end: str | None, lengths: tuple[int, ...] = (3, 5)) -> DataFrame:

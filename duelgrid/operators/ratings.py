@@ -114,7 +114,8 @@ def rate_periods(
     """State history (entity_id, rating, rd, last_day): one row per entity and period it was scored in.
 
     `period_col` is the DATE of the rating period; by default every event date is one. Passing the
-    history of an earlier run as `initial_state` rates only the periods after its newest day. The
+    history of an earlier run as `initial_state` rates only the periods after its newest day; `late_bouts` lists what
+    such a run leaves out. The
     periods are dates, so their list on the driver is bounded by the calendar.
     """
     spark = appearances.sparkSession
@@ -125,8 +126,10 @@ def rate_periods(
         score(F.col("result")).alias("score"),
         F.col(period_col).alias("period"),
     ).filter("score IS NOT NULL AND opp_id IS NOT NULL")
-    if initial_state is not None:
-        newest = initial_state.agg(F.max("last_day").alias("d")).first()["d"]
+    newest = None if initial_state is None else initial_state.agg(F.max("last_day")).first()[0]
+    if newest is None:
+        initial_state = None  # an empty state is no state
+    else:
         scored = scored.filter(F.col("period") > F.lit(newest))
     scored.hint("rebalance", "period").write.partitionBy("period").parquet(f"{folder}/scored")
     scored = spark.read.schema("own_id string, opp_id string, score double, period date").parquet(f"{folder}/scored")
@@ -155,6 +158,16 @@ def rate_periods(
     return history if initial_state is None else initial_state.unionByName(history)
 
 
+def late_bouts(appearances: DataFrame, initial_state: DataFrame, rated: DataFrame, period_col: str = "event_date") -> DataFrame:
+    """Rows that resuming from `initial_state` would not rate: dated up to its newest day, and not in `rated` before.
+
+    `rated` lists the bout_ids that the earlier run has used. Rerate from the earliest of these periods.
+    """
+    newest = initial_state.agg(F.max("last_day")).first()[0]
+    old = appearances.where(F.col(period_col) <= F.lit(newest))
+    return old.join(rated.select("bout_id").distinct(), "bout_id", "left_anti")
+
+
 def ratings_before(requests: DataFrame, history: DataFrame, date_col: str = "event_date", period_col: str | None = None) -> DataFrame:
     """Rating with which each requested (entity_id, date) is entered.
 

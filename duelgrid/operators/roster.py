@@ -35,11 +35,12 @@ def ambiguous_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 def with_display_names(roster: DataFrame) -> DataFrame:
     """A label that names exactly one entity.
 
-    A shared name gets class and last year; if that is shared too, the full id.
+    A shared name gets class and last year; if that is shared too, the full id. Without a name the id is the label.
     """
     def shared(df: DataFrame, label: str) -> DataFrame:
         counts = df.groupBy(label).agg((F.count(F.lit(1)) > 1).alias("is_shared"))
-        return df.join(counts, label)
+        met = counts.withColumnRenamed(label, "__label")
+        return df.join(met, df[label].eqNullSafe(met["__label"])).drop("__label")
 
     detail = F.concat(
         F.col("name"), F.lit(" ("), F.coalesce("last_weight_class", F.lit("?")), F.lit(", last "),
@@ -50,7 +51,7 @@ def with_display_names(roster: DataFrame) -> DataFrame:
     )
     full = F.concat(F.col("label"), F.lit(" ["), F.col("entity_id"), F.lit("]"))
     return shared(once, "label").select(
-        *roster.columns, F.when(F.col("is_shared"), full).otherwise(F.col("label")).alias("display_name")
+        *roster.columns, F.coalesce(F.when(F.col("is_shared"), full).otherwise(F.col("label")), F.col("entity_id")).alias("display_name")
     )
 
 
@@ -103,8 +104,8 @@ def recent_bouts(appearances: DataFrame, entities: DataFrame, n: int = 5) -> Dat
             "result",
             "method",
             F.col("end_round").alias("round"),
-            F.concat_ws(
-                " / ", F.col("sig_landed").cast("long").cast("string"), F.col("opp_sig_landed").cast("long").cast("string")
+            F.concat(
+                F.col("sig_landed").cast("long").cast("string"), F.lit(" / "), F.col("opp_sig_landed").cast("long").cast("string")
             ).alias("sig_str"),
             F.col("td_landed").cast("long").alias("takedowns"),
         )
@@ -112,27 +113,45 @@ def recent_bouts(appearances: DataFrame, entities: DataFrame, n: int = 5) -> Dat
 
 
 def random_matchups(roster: DataFrame, seed: int) -> DataFrame:
-    """Every entity of the pool with an opponent drawn at random, in its division if it has one.
+    """(pool, a_id, b_id): every entity with an opponent drawn at random, inside its division if there is another one.
 
-    A repeatable order by hash of id and seed; neighbours in that order meet. Divisions are split
-    by the leading hash bits, so a large one is not ordered in a single task.
+    Entities are placed by the MD5 of id and seed, and places 2i and 2i + 1 of a division meet. The last of an odd
+    division meets its first. Entities that are alone in their division meet each other (pool 'rest', at most one per
+    division); if one of them is left over, it meets the first of the largest division. A lone entity of the whole
+    roster has nobody to meet. Places are counted in slices by the leading digits of the hash, so no division is
+    ordered in one task, whatever its size.
     """
-    key = F.xxhash64("entity_id", F.lit(seed))
-    pool = roster.select(
-        "entity_id",
-        F.coalesce("division", F.lit("any")).alias("pool"),
-        key.alias("draw"),
-        F.shiftrightunsigned(key, 52).alias("slice"),
+    draw = F.md5(F.concat_ws(":", "entity_id", F.lit(str(seed))).cast("binary"))
+    pool = roster.select("entity_id", F.coalesce("division", F.lit("any")).alias("pool"), draw.alias("draw"))
+    pool = pool.withColumn("slice", F.substring("draw", 1, 3))
+    slices = pool.groupBy("pool", "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("pool").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slices.select(
+        "pool", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
+        F.sum("n").over(Window.partitionBy("pool")).alias("size"),
+    )
+    inside = Window.partitionBy("pool", "slice").orderBy("draw", "entity_id")
+    placed = (
+        pool.withColumn("nth", F.row_number().over(inside) - 1)
+        .join(starts, ["pool", "slice"])
+        .select("pool", "entity_id", "draw", "size", (F.col("start") + F.col("nth")).alias("place"))
     )
-    order = Window.partitionBy("pool", "slice").orderBy("draw", "entity_id")
-    sized = pool.join(pool.groupBy("pool").agg(F.count(F.lit(1)).alias("n_pool")), "pool")
-    few = F.col("n_pool") < 100_000
-    placed = sized.withColumn("slice", F.when(few, 0).otherwise(F.col("slice")))
-    ranked = placed.withColumn("place", F.row_number().over(order) - 1)
-    pairs = ranked.withColumn("pair", F.floor(F.col("place") / 2))
-    return (
-        pairs.groupBy("pool", "slice", "pair")
+    last = (F.col("size") % 2 == 1) & (F.col("place") == F.col("size") - 1)
+    meets = F.when(last, F.array(F.lit(-1))).when(
+        (F.col("place") == 0) & (F.col("size") % 2 == 1), F.array(F.lit(0), F.lit(-1))
+    ).otherwise(F.array(F.floor(F.col("place") / 2).cast("int")))
+    paired = (
+        placed.where("size > 1")
+        .select("pool", "entity_id", F.when(last, -1).otherwise(F.col("place")).alias("place"), F.explode(meets).alias("pair"))
+        .groupBy("pool", "pair")
         .agg(F.min_by("entity_id", "place").alias("a_id"), F.max_by("entity_id", "place").alias("b_id"))
-        .filter("a_id <> b_id")
         .select("pool", "a_id", "b_id")
     )
+    order = Window.partitionBy("pool").orderBy("draw", "entity_id")
+    alone = placed.where("size = 1").select(F.lit("rest").alias("pool"), "entity_id", "draw").withColumn("place", F.row_number().over(order) - 1)
+    met = alone.groupBy("pool", F.floor(F.col("place") / 2).alias("pair")).agg(
+        F.min_by("entity_id", "place").alias("a_id"), F.max_by("entity_id", "place").alias("b_id"), F.count(F.lit(1)).alias("n")
+    )
+    first = placed.where("place = 0 AND size > 1").orderBy(F.desc("size"), "pool").limit(1).select(F.lit("rest").alias("pool"), F.col("entity_id").alias("any_id"))
+    rest = met.join(first, "pool", "left").select("pool", "a_id", F.when(F.col("n") == 2, F.col("b_id")).otherwise(F.col("any_id")).alias("b_id"))
+    return paired.unionByName(rest.where("b_id IS NOT NULL"))

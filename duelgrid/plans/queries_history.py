@@ -441,7 +441,18 @@ def recent_bouts(spark, sf):
     return roster.recent_bouts(derived.appearances(spark, sf), adapter.entities(spark, sf))
 
 
-@query()
+@query(f"""WITH {S.APPS}, {_SUMMARY}, placed AS (
+  SELECT entity_id, coalesce(division, 'any') AS pool, md5(entity_id || ':7') AS draw FROM summary
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY pool ORDER BY draw, entity_id) - 1 AS place, count(*) OVER (PARTITION BY pool) AS size FROM placed
+), alone AS (
+  SELECT entity_id, row_number() OVER (ORDER BY draw, entity_id) - 1 AS place, count(*) OVER () AS n FROM ranked WHERE size = 1
+), first AS (SELECT entity_id FROM ranked WHERE place = 0 AND size > 1 ORDER BY size DESC, pool LIMIT 1)
+SELECT a.pool, a.entity_id AS a_id, b.entity_id AS b_id FROM ranked a JOIN ranked b ON a.pool = b.pool AND a.place % 2 = 0 AND b.place = a.place + 1
+UNION ALL SELECT a.pool, a.entity_id, b.entity_id FROM ranked a JOIN ranked b ON a.pool = b.pool
+  WHERE a.size > 1 AND a.size % 2 = 1 AND a.place = a.size - 1 AND b.place = 0
+UNION ALL SELECT 'rest', a.entity_id, b.entity_id FROM alone a JOIN alone b ON a.place % 2 = 0 AND b.place = a.place + 1
+UNION ALL SELECT 'rest', a.entity_id, f.entity_id FROM alone a, first f WHERE a.n % 2 = 1 AND a.place = a.n - 1""")
 def random_matchups(spark, sf):
     return roster.random_matchups(roster.entity_summary(derived.appearances(spark, sf)), seed=7)
 

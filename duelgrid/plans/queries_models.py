@@ -7,11 +7,11 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from duelgrid.constants import FINISH_TYPES, MODEL_GRIDS
-from duelgrid.operators import matchup, metrics, models, monitor, outcomes, resolve, roster, scoring
+from duelgrid.operators import history, matchup, metrics, models, monitor, outcomes, resolve, roster, scoring
 from duelgrid.plans import adapter, derived, pipeline
 from duelgrid.plans.derived import PLAIN_INPUT
 from duelgrid.plans.registry import query
-from duelgrid.session import run_dir
+from duelgrid.session import run_dir, written
 from duelgrid.sources import pages, raw
 
 P = adapter.PERIODS
@@ -186,24 +186,30 @@ def score_card(spark, sf):
 
     app, known = derived.appearances(spark, sf), adapter.entities(spark, sf)
     people = roster.build_roster(app, known)
-    card = pages.card_context(pages.parse_cards(card_pages(spark, sf))).filter("section_no = 1")
+    pages.require_parsed(pages.card_guard(card_pages(spark, sf)))
+    bout = ["page_id", "section_no", "place"]
+    card = written(pages.card_context(pages.parse_cards(card_pages(spark, sf))), run_dir(spark, "card"))
     sides = card.selectExpr(
-        "page_id", "weight_class", "inline(array(struct(1 AS side, entity_1 AS name), struct(2 AS side, entity_2 AS name)))"
+        *bout, "weight_class", "inline(array(struct(1 AS side, entity_1 AS name), struct(2 AS side, entity_2 AS name)))"
     )
-    ids = resolve.match_mentions(sides, known, people).groupBy("page_id").agg(
+    ids = resolve.match_mentions(sides, known, people).groupBy(*bout).agg(
         *[F.max(F.when(F.col("side") == s, F.col("entity_id"))).alias(f"{side}_id") for s, side in ((1, "a"), (2, "b"))]
     )
     klass = "weight_class"
     from duelgrid.functions.text import weight_class
 
-    matchups = card.join(ids, "page_id").select(
-        "page_id", "entity_1", "entity_2", klass, "a_id", "b_id", derived.next_day(spark, sf).alias("as_of"),
+    matchups = written(card.join(ids, bout).select(
+        *bout, "entity_1", "entity_2", klass, "a_id", "b_id", derived.next_day(spark, sf).alias("as_of"),
         weight_class(F.col(klass))["lbs"].alias("weight_lbs"), weight_class(F.col(klass))["is_female"].alias("is_female"),
         "is_title", "scheduled_rounds",
-    )
+    ), run_dir(spark, "card-matchups"))
+    on_cards = matchups.select("as_of", F.explode(F.array("a_id", "b_id")).alias("entity_id")).distinct()
+    # names that nobody carries are debutants: they have no row and no history, so their profile is all priors
+    debutants = on_cards.select("entity_id").distinct().join(known, "entity_id", "left_anti")
+    profiles = history.profiles_as_of(app, known.unionByName(debutants, allowMissingColumns=True), on_cards)
     split = outcomes.round_split(derived.bouts(spark, sf), P.finish_min_train, P.validation)
     scored = scoring.score_matchups(
-        scoring.split_same_entity(matchups)[0], derived.current_profiles(spark, sf), _fit(spark, sf), _finish(spark, sf), split
+        scoring.split_same_entity(matchups)[0], profiles, _fit(spark, sf), _finish(spark, sf), split
     )
     notes = F.filter(
         F.array(
@@ -213,7 +219,7 @@ def score_card(spark, sf):
         lambda x: x.isNotNull(),
     )
     return scored.select(
-        "page_id", "entity_1", "entity_2", "p_a", "p_b", F.col("most_likely.winner").alias("winner"), F.col("most_likely.method").alias("method"),
+        *bout, "entity_1", "entity_2", "p_a", "p_b", F.col("most_likely.winner").alias("winner"), F.col("most_likely.method").alias("method"),
         F.col("most_likely.prob").alias("prob"), "distance", "by_round", F.array_join(notes, "; ").alias("notes"),
     )
 

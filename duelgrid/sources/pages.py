@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelgrid.constants import MONTHS
-from duelgrid.functions.text import matched, plain_text
+from duelgrid.functions.text import plain_text
 
 # The page templates that hold a card's sections, its bouts and a row's date.
 SECTION_TEMPLATE = "MMAevent card"
 BOUT_TEMPLATE = "MMAevent bout"
 DATE_TEMPLATE = "dts"
-TEMPLATE_END = r"\n?\}\}(?=\s*(?:\{\{|<ref|$|\n))"
+INSIDE = r"(?:[^{}]++|\{\{[^{}]*+\}\}|\{(?!\{)|\}(?!\}))*+"  # text of a template, templates in it included
 BOUT_FIELDS = 8
 
 
@@ -47,16 +47,16 @@ def extract_records(
 
 def parse_cards(pages: DataFrame, page_id: str = "page_id", text: str = "text") -> DataFrame:
     """Bouts of card pages in page order; fields that are missing at the end read as ''."""
-    opening = r"(?s)\{\{" + BOUT_TEMPLATE + r"\s*\|(.*?)" + TEMPLATE_END
+    bout = r"\{\{" + BOUT_TEMPLATE + r"\s*+\|(" + INSIDE + r")\}\}"
     marker = r"\{\{" + SECTION_TEMPLATE + r"\s*\|"
     pieces = sections(pages, page_id, F.col(text), marker)
-    linked = F.regexp_extract("piece", r"(?s)^(.*?)" + TEMPLATE_END, 1)
-    section = F.when(F.col("section_no") > 0, plain_text(F.get(F.split(linked, r"\|"), 0))).otherwise("")
+    linked = F.regexp_extract("piece", "^(" + INSIDE + r")\}\}", 1)
+    section = F.when(F.col("section_no") > 0, F.trim(F.get(F.split(plain_text(linked), r"\|"), 0))).otherwise("")
     bodies = pieces.select(
         page_id,
         "section_no",
         section.alias("segment"),
-        F.posexplode(F.regexp_extract_all("piece", F.lit(opening), F.lit(1))).alias("place", "body"),
+        F.posexplode(F.regexp_extract_all("piece", F.lit(bout), F.lit(1))).alias("place", "body"),
     )
     trimmed = F.regexp_replace("body", r"^\s+|\s+$", "")
     fields = F.split(F.concat(F.lit("\n|"), trimmed), r"\n\|")
@@ -81,9 +81,9 @@ def card_context(card: DataFrame, page_id: str = "page_id") -> DataFrame:
 
     The first bout is found by a minimum per page, not by ordering the page's bouts.
     """
-    first = card.groupBy(page_id).agg(F.min(F.struct("section_no", "place")).alias("first_place"))
-    title = F.lower(F.coalesce("notes", F.lit(""))).contains("championship")
     here = F.struct("section_no", "place")
+    first = card.groupBy(page_id).agg(F.min(here).alias("first_place"))
+    title = F.lower(F.coalesce("notes", F.lit(""))).contains("championship")
     return card.join(first, page_id).select(
         *card.columns,
         title.alias("is_title"),
@@ -93,16 +93,15 @@ def card_context(card: DataFrame, page_id: str = "page_id") -> DataFrame:
 
 def _schedule_rows(pages: DataFrame, page_id: str, text: str) -> DataFrame:
     rows = pages.select(page_id, F.posexplode(F.split(F.col(text), r"\|-")).alias("row_no", "row_text")).filter("row_no > 0")
-    link = r"\[\[([^\]|]+)(?:\|([^\]]+))?\]\]"
-    date = r"\{\{" + DATE_TEMPLATE + r"\|(\d{4})\|(\w{3})\w*\|(\d{1,2})"
+    opened = F.regexp_extract("row_text", r"\[\[([^\[\]]++)\]\]", 1)  # the first link: page, then maybe a bar and its label
+    dated = F.split(F.regexp_extract("row_text", r"\{\{" + DATE_TEMPLATE + r"\|([^{}]++)\}\}", 1), r"\|")
     months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, i)])
-    page = matched(F.col("row_text"), link, 1)
-    label = F.nullif(F.regexp_extract("row_text", link, 2), F.lit(""))
-    when = F.make_date(
-        matched(F.col("row_text"), date, 1).cast("int"),
-        F.try_element_at(months, matched(F.col("row_text"), date, 2)),
-        matched(F.col("row_text"), date, 3).cast("int"),
-    )
+    page = F.nullif(F.substring_index(opened, "|", 1), F.lit(""))
+    label = F.nullif(F.substring(opened, F.length(page) + 2, 1 << 30), F.lit(""))
+    year, month, day = (F.trim(F.get(dated, i)) for i in range(3))
+    when = F.try_make_timestamp(
+        year.try_cast("int"), F.try_element_at(months, F.substring(month, 1, 3)), day.try_cast("int"), F.lit(0), F.lit(0), F.lit(0)
+    ).cast("date")
     return rows.select(
         page_id, "row_no", F.trim(F.coalesce(label, page)).alias("event"), F.trim(page).alias("page"), when.alias("event_date")
     ).filter("page IS NOT NULL AND event_date IS NOT NULL")
