@@ -193,30 +193,18 @@ def bout_context(matchups: DataFrame, divisions: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------------- comparison
-# The statistics of the comparison, by category and in display order.
-COMPARISON = [
-    ("Physical", "Age", "age"),
-    ("Physical", "Height", "height_in"),
-    ("Physical", "Reach", "reach_in"),
-    ("Physical", "Stance", "stance"),
-    ("Record", "Record (W-L)", "record"),
-    ("Record", "Prior bouts", "n_fights"),
-    ("Record", "Wins in last 5", "wins_last5"),
-    ("Record", "Recent win rate (last 5, shrunk)", "win_pct_last5"),
-    ("Record", "Current streak", "streak"),
-    ("Record", "Opponent-strength rating", "glicko_rating"),
-    ("Striking", "Sig. strikes landed / min", "slpm"),
-    ("Striking", "Sig. strikes absorbed / min", "sapm"),
-    ("Striking", "Sig. strike differential / min", "sig_diff_pm"),
-    ("Striking", "Sig. strike accuracy", "sig_acc"),
-    ("Striking", "Sig. strike defence", "sig_def"),
-    ("Grappling", "Takedowns / 15 min", "td15"),
-    ("Grappling", "Takedown accuracy", "td_acc"),
-    ("Grappling", "Takedown defence", "td_def"),
-    ("Grappling", "Submission attempts / 15 min", "sub15"),
-    ("Grappling", "Control time share", "ctrl_pct"),
-    ("Activity", "Days since last bout", "days_since_last"),
-]
+# What a comparison shows: per category, the profile columns and their labels.
+_COMPARED = {
+    "results": {"record": "wins and losses", "n_fights": "bouts so far", "streak": "run of equal results",
+                "wins_last5": "wins, last five days of bouts", "win_pct_last5": "win share, last five days of bouts", "glicko_rating": "network rating"},
+    "body": {"age": "years of age", "height_in": "height in inches", "reach_in": "reach in inches", "stance": "stance"},
+    "striking": {"slpm": "landed per minute", "sapm": "taken per minute", "sig_diff_pm": "landed less taken per minute",
+                 "sig_acc": "share landed", "sig_def": "share avoided"},
+    "wrestling": {"td15": "takedowns per 15 minutes", "td_acc": "share of takedowns landed", "td_def": "share of takedowns stopped",
+                  "sub15": "submission attempts per 15 minutes", "ctrl_pct": "share of time in control"},
+    "rhythm": {"days_since_last": "days without a bout"},
+}
+COMPARISON = [(category, label, name) for category, shown in _COMPARED.items() for name, label in shown.items()]
 
 
 def record_text(wins: Column, losses: Column, draws_nc: Column) -> Column:

@@ -130,6 +130,9 @@ def training_run(
             "finish_type": {"C": finish_c, "test": finish_scores},
             "agreement": agreement,
             "periods": ranges,
+            "refit_end": table.agg(F.max("event_date")).first()[0],
+            "newest_date": bouts.agg(F.max("event_date")).first()[0],
+            "n_bouts": bouts.count(),
             "feature_names": features,
         },
     )
@@ -139,11 +142,10 @@ def gate_row(run: TrainingRun, run_no: int, spark: SparkSession) -> DataFrame:
     """The run as one row for the quality gate."""
     results = {r["model"]: r for r in run.report["test_results"]}
     naive = min(r["log_loss"] for m, r in results.items() if m.startswith("baseline_") and m != "baseline_always_50")
-    chosen, ranges = run.report["selected_model"], run.report["periods"]
-    newest = max(r["end_date"] for r in ranges.values())
+    chosen = run.report["selected_model"]
     row = (
         run_no, results[chosen]["log_loss"], naive, run.report["validation"][chosen]["validation_log_loss"],
-        sum(r["n_bouts"] for r in ranges.values()), newest, newest,
+        run.report["n_bouts"], run.report["refit_end"], run.report["newest_date"],
         run.report["agreement"]["mean_abs_diff"], run.report["agreement"]["same_favourite_rate"],
     )
     return spark.createDataFrame(

@@ -473,8 +473,8 @@ def bout_context(spark, sf):
 
 def _warning_sql(p: str, name: str) -> str:
     n = f"CAST({p}.n_fights AS INTEGER)"
-    return f"""CASE WHEN {p}.n_fights < 3 THEN {name} || ' has little history (' || {n} || ' prior bout' || CASE WHEN {n} = 1 THEN '' ELSE 's' END || '), so their stats lean on league averages.' END,
-  CASE WHEN NOT ({p}.dob_known AND {p}.reach_known) THEN {name} || ' is missing some physical data (age/reach); neutral values were used.' END"""
+    return f"""CASE WHEN {p}.n_fights < 3 THEN 'Few bouts on record for ' || {name} || ': ' || {n} || '; rates stay close to the priors' END,
+  CASE WHEN NOT ({p}.dob_known AND {p}.reach_known) THEN 'Age or reach unknown for ' || {name} || ': filled with typical values' END"""
 
 
 @query(f"""WITH {S.PROFILES} SELECT m.bout_id, array_to_string([w FOR w IN [{_warning_sql('a', 'entity_1_name')}, {_warning_sql('b', 'entity_2_name')}] IF w IS NOT NULL], '|') AS warnings

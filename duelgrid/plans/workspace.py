@@ -10,10 +10,14 @@ from duelgrid.session import path_exists, session_dir
 
 
 def source_version(spark: SparkSession, sf_dir: str) -> str:
-    """Names, sizes and times of the source files; changes with the data."""
+    """Names, sizes and times of all source files, those in table folders too; changes with the data."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
-    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(jvm_path)
-    return ";".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
+    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(jvm_path, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return ";".join(sorted(seen))
 
 
 def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
