@@ -30,18 +30,18 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: cut in front of any run of white space.
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
 class Encoder:
     """A tokenizers file with a bounded memory of the units it has seen."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = CACHE_UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.units = Recent(CACHE_UNITS)
+        self.units = Recent(remembered)
 
     def _coded(self, units: list[str]) -> Iterator[bytes]:
         for i in range(0, len(units), 4096):
@@ -61,20 +61,20 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, remembered: int) -> Encoder:
+    if (path, remembered) not in _ENCODERS:
+        _ENCODERS[path, remembered] = Encoder(path, remembered)
+    return _ENCODERS[path, remembered]
 
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, nth long"
 
 
-def cut(docs: DataFrame, path: str, end_id: int = 0, length: int = LENGTH) -> DataFrame:
+def cut(docs: DataFrame, path: str, end_id: int = 0, length: int = LENGTH, remembered: int = CACHE_UNITS) -> DataFrame:
     """Pieces of every document: full ones of `length` ids, then the rest; each with the checksum of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, nth = encoder(path), np.array([end_id], "<u4").tobytes(), 0
+        coder, end, nth = encoder(path, remembered), np.array([end_id], "<u4").tobytes(), 0
         for piece in pieces(batches, limit=2 << 20):
             ids = [x + end for x in coder.encode([t or "" for t in piece.column("text").to_pylist()])]
             row, start, size, crc, whole = [], [], [], [], []
@@ -114,7 +114,10 @@ def first_fit(sizes: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def packed(docs: DataFrame, path: str | None = None, end_id: int = 0, length: int = LENGTH, group_documents: int = GROUP_DOCUMENTS) -> DataFrame:
+def packed(
+    docs: DataFrame, path: str | None = None, end_id: int = 0, length: int = LENGTH, group_documents: int = GROUP_DOCUMENTS,
+    remembered: int = CACHE_UNITS,
+) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end mark alone. Every id lies in one piece, pieces of a sequence follow each other
@@ -139,5 +142,5 @@ def packed(docs: DataFrame, path: str | None = None, end_id: int = 0, length: in
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         return table.select(names).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    grouped = cut(docs, path, end_id, length).withColumn("__group", group).groupBy("__group")
+    grouped = cut(docs, path, end_id, length, remembered).withColumn("__group", group).groupBy("__group")
     return grouped.applyInArrow(pack, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

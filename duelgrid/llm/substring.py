@@ -29,7 +29,7 @@ from duelgrid.llm.arrow import Windows, as_bytes, joined, spread, word_bounds, w
 
 #: Perfect difference sets: every distance modulo the period occurs as exactly one difference. Fixed values.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 3 << 20
 RANGE_HASHES = 1 << 19
 SENT = "slice int, bucket int, step int, hashes binary, twice binary"
 BACK = "bucket int, step int, slice int, again binary"
