@@ -31,26 +31,25 @@ from duelgrid.llm.packing import UNIT
 PIECE_BYTES = 1 << 20
 QUERY_WORDS = 10_000
 LONG_BYTES = 256
-REMEMBERED_WORDS, REMEMBERED_UNITS = 400_000, 250_000  # twice as many at most
+REMEMBERED_WORDS, REMEMBERED_UNITS = 600_000, 350_000  # twice as many at most
 MEMORY = "200MB"
 
+# A row's key is its word's number times 4096 plus its place, so a neighbour is one key further.
 CONTRACT = """
 WITH RECURSIVE step AS (
-  SELECT w, pos, tok, true AS live FROM start
+  SELECT w::BIGINT * 4096 + pos AS key, tok, true AS live FROM start
   UNION ALL
-  (WITH paired AS (
-     SELECT s.w, s.pos, s.tok, merges.merged, min(merges.merged) OVER (PARTITION BY s.w) AS best
-     FROM (SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS behind FROM step WHERE live) s
-     LEFT JOIN merges ON merges.pair = s.tok::BIGINT * 4294967296 + s.behind
-   ), found AS (
-     SELECT *, min(CASE WHEN merged = best THEN pos END) OVER (PARTITION BY w) AS spot,
-       lag(pos) OVER (PARTITION BY w ORDER BY pos) AS ahead
-     FROM paired
+  (WITH best AS (
+     SELECT a.key >> 12 AS w, min(merges.merged::BIGINT * 4096 + (a.key & 4095)) AS found
+     FROM step a JOIN step b ON b.key = a.key + 1 JOIN merges ON merges.pair = a.tok::BIGINT * 4294967296 + b.tok
+     WHERE a.live AND b.live GROUP BY ALL
    )
-   SELECT w, pos, CASE WHEN pos = spot THEN best ELSE tok END AS tok, best IS NOT NULL AS live
-   FROM found WHERE spot IS NULL OR ahead IS DISTINCT FROM spot)
+   SELECT CASE WHEN (key & 4095) > (found & 4095) THEN key - 1 ELSE key END AS key,
+     CASE WHEN (key & 4095) = (found & 4095) THEN (found >> 12)::INTEGER ELSE tok END AS tok, found IS NOT NULL AS live
+   FROM step LEFT JOIN best ON step.key >> 12 = best.w
+   WHERE step.live AND (found IS NULL OR (key & 4095) <> (found & 4095) + 1))
 )
-SELECT w, list(tok ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY w
+SELECT (key >> 12)::INTEGER AS w, list(tok ORDER BY key) AS ids FROM step WHERE NOT live GROUP BY ALL
 """
 
 CONTRACT_LONG = """
