@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from duelgrid.llm.arrow import checkpointed
 
 PROJECTED, CONFIDENCE = 8, 0.97
-BLOCK, QUERY_BLOCK, LEAF, SIDE = 8192, 1024, 64, 128
+BLOCK, QUERY_BLOCK, LEAF, SIDE, SPARE = 8192, 1024, 64, 128, 4
 
 
 @lru_cache(maxsize=8)
@@ -81,8 +81,10 @@ def nearest(vectors: np.ndarray, queries: np.ndarray, k: int, reach: float, conf
     axes = directions(vectors.shape[1] + 1, PROJECTED)
     tree = Tree(np.column_stack([vectors, lift]) @ axes)
     limit = chi_square_quantile(PROJECTED, confidence)
-    places = np.full((len(queries), k), -1)
-    scores = np.full((len(queries), k), -np.inf)
+    held = k + SPARE
+    places = np.full((len(queries), held), -1)
+    scores = np.full((len(queries), held), -np.inf)
+    cube, empty = vectors[np.maximum(tree.places, 0)], tree.places < 0  # the vectors of each leaf lie together
     for begin in range(0, len(queries), SIDE):
         q = queries[begin : begin + SIDE]
         best, place = scores[begin : begin + SIDE], places[begin : begin + SIDE]
@@ -92,19 +94,26 @@ def nearest(vectors: np.ndarray, queries: np.ndarray, k: int, reach: float, conf
         base = (q**2).sum(axis=1) + reach**2
         running = np.arange(len(q))
         for step in range(order.shape[1]):
-            far = base[running] - 2 * best[running, -1]  # infinite while fewer than k are known
+            far = base[running] - 2 * best[running, k - 1]  # infinite while fewer than k are known
             running = running[~(ways[running, step] > limit * far)]
             if len(running) == 0:
                 break
-            at = tree.places[order[running, step]]
-            found = (vectors[at] * q[running][:, None]).sum(axis=2)
-            found[at < 0] = -np.inf
+            leaf = order[running, step]
+            found = np.matmul(cube[leaf], q[running][:, :, None])[:, :, 0]
+            found[empty[leaf]] = -np.inf
             all_scores = np.concatenate([best[running], found], axis=1)
-            all_places = np.concatenate([place[running], at], axis=1)
-            top = np.argsort(-all_scores, axis=1, kind="stable")[:, :k]
-            best[running] = np.take_along_axis(all_scores, top, axis=1)
-            place[running] = np.take_along_axis(all_places, top, axis=1)
-    return places, scores
+            all_places = np.concatenate([place[running], tree.places[leaf]], axis=1)
+            top = np.argpartition(-all_scores, held - 1, axis=1)[:, :held]
+            score = np.take_along_axis(all_scores, top, axis=1)
+            rank = np.argsort(-score, axis=1)
+            best[running] = np.take_along_axis(score, rank, axis=1)
+            place[running] = np.take_along_axis(np.take_along_axis(all_places, top, axis=1), rank, axis=1)
+        # one fixed order of addition for the scores that are given out, whatever block a vector lies in
+        exact = (vectors[np.maximum(place, 0)] * q[:, None]).sum(axis=2)
+        best[:] = np.where(place < 0, -np.inf, exact)
+        rank = np.argsort(-best, axis=1, kind="stable")
+        best[:], place[:] = np.take_along_axis(best, rank, axis=1), np.take_along_axis(place, rank, axis=1)
+    return places[:, :k], scores[:, :k]
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
