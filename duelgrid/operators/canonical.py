@@ -163,6 +163,19 @@ def stats_coverage(appearances: DataFrame) -> DataFrame:
     )
 
 
+def _rule(name: str, violations: DataFrame) -> DataFrame:
+    return violations.agg(F.count(F.lit(1)).alias("n_violations")).select(F.lit(name).alias("rule"), "n_violations")
+
+
+def source_quality(bouts: DataFrame, attached_stats: DataFrame) -> DataFrame:
+    """The rules that raw tables must keep before they are summed: one row each with the number of violations."""
+    return (
+        _rule("same entity on both sides", bouts.filter("entity_1_id = entity_2_id"))
+        .unionByName(_rule("statistics name not in the bout", attached_stats.filter("side = 0")))
+        .unionByName(_rule("repeated bout, side and round", duplicate_keys(attached_stats.filter("side > 0"), ["bout_id", "side", "round"])))
+    )
+
+
 def data_quality(
     bouts: DataFrame,
     attached_stats: DataFrame,
@@ -179,9 +192,6 @@ def data_quality(
     (bout_id, entity_id) like `features`.
     """
 
-    def rule(name: str, df: DataFrame) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("n_violations")).select(F.lit(name).alias("rule"), "n_violations")
-
     key = ["bout_id", "entity_id"]
     ends = split.groupBy("split").agg(F.min("event_date").alias("lo"), F.max("event_date").alias("hi"))
     order = F.when(F.col("split") == "train", 1).when(F.col("split") == "validation", 2).when(F.col("split") == "test", 3)
@@ -189,14 +199,14 @@ def data_quality(
     later = bounds.select((F.col("pos") - 1).alias("pos"), F.col("lo").alias("next_lo"))
     last_day = appearances.groupBy("entity_id").agg(F.max("event_date").alias("last_day"))
     rules = [
-        rule("same entity on both sides", bouts.filter("entity_1_id = entity_2_id")),
-        rule("statistics name not in the bout", attached_stats.filter("side = 0")),
-        rule("repeated bout, side and round", duplicate_keys(attached_stats, ["bout_id", "side", "round"])),
-        rule("appearance without features", appearances.join(features, key, "left_anti")),
-        rule("appearance without rating", appearances.join(ratings, key, "left_anti")),
-        rule("overlapping periods", bounds.join(later, "pos").filter("hi >= next_lo")),
-        rule("display name used twice", duplicate_keys(roster, ["display_name"])),
-        rule("as-of date not after history", as_of.join(last_day, "entity_id").filter("as_of <= last_day")),
+        _rule("same entity on both sides", bouts.filter("entity_1_id = entity_2_id")),
+        _rule("statistics name not in the bout", attached_stats.filter("side = 0")),
+        _rule("repeated bout, side and round", duplicate_keys(attached_stats, ["bout_id", "side", "round"])),
+        _rule("appearance without features", appearances.join(features, key, "left_anti")),
+        _rule("appearance without rating", appearances.join(ratings, key, "left_anti")),
+        _rule("overlapping periods", bounds.join(later, "pos").filter("hi >= next_lo")),
+        _rule("display name used twice", duplicate_keys(roster, ["display_name"])),
+        _rule("as-of date not after history", as_of.join(last_day, "entity_id").filter("as_of <= last_day")),
     ]
     out = rules[0]
     for more in rules[1:]:

@@ -21,14 +21,19 @@ class Canonical:
 
 
 def ingest(events: DataFrame, results: DataFrame, stats: DataFrame, entities: DataFrame) -> Canonical:
-    """Raw text tables (missing cells already NULL) to the canonical tables, written once."""
+    """Raw text tables (missing cells already NULL) to the canonical tables, written once.
+
+    A bout of one entity with itself, statistics under a name that is not in their bout, and a round listed twice
+    for one side end the job before anything is summed.
+    """
     spark = results.sparkSession
     root = run_dir(spark, "ingest")
     typed = canonical.canonical_bouts(raw.project_results(results), raw.project_events(events))
     typed = written(typed, f"{root}/typed")
     bouts, known = resolve.resolve_bouts(typed, raw.project_entities(entities))
     bouts = written(bouts, f"{root}/bouts")
-    attached = canonical.attach_stats(raw.project_stats(stats), bouts)
+    attached = written(canonical.attach_stats(raw.project_stats(stats), bouts), f"{root}/attached")
+    canonical.require_none(canonical.source_quality(bouts, attached))
     totals = canonical.sum_rounds(attached)
     appearances = written(canonical.build_appearances(bouts, totals), f"{root}/appearances")
     return Canonical(bouts, appearances, written(known, f"{root}/entities"))
