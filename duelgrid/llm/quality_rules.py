@@ -130,7 +130,7 @@ def judged(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     ratios = _array(log_ratios(docs, trusted))
 
     def mean(found: Column) -> Column:
-        total = F.aggregate(found, F.lit(0.0), lambda a, b: a + F.coalesce(F.get(ratios, b), F.lit(0.0)))
+        total = F.aggregate(found, F.lit(0.0), lambda a, b: a + F.get(ratios, b))
         return F.when(F.size(found) > 0, total / F.size(found)).otherwise(0.0)
 
     scored = base_counts(docs).withColumn("llr", _once(buckets_of(F.col("text")), mean)).drop("text")
