@@ -30,6 +30,7 @@ from duelgrid.llm.packing import UNIT
 
 PIECE_BYTES = 1 << 20
 QUERY_WORDS = 10_000
+QUERY_IDS = 400_000
 LONG_BYTES = 256
 REMEMBERED_WORDS, REMEMBERED_UNITS = 600_000, 350_000  # twice as many at most
 MEMORY = "200MB"
@@ -146,13 +147,11 @@ class Codec:
         known.update(zip(fresh, [b"".join([words[w] for w in s]) for s in split]))
         return [b"".join([known[u] for u in units]) for units in cut]
 
-    def decode(self, ids: list[bytes]) -> list[bytes]:
-        """The bytes of each list of ids; an id outside the vocabulary raises."""
+    def _strung(self, ids: list[bytes]) -> list[bytes]:
         numbers = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        sizes = np.array([len(x) // 4 for x in ids])
         if len(numbers) and not np.isin(numbers, self.all_ids).all():
             raise ValueError("an id is not in the vocabulary")
-        row = np.repeat(np.arange(len(ids)), sizes).astype(np.int32)
+        row = np.repeat(np.arange(len(ids)), [len(x) // 4 for x in ids]).astype(np.int32)
         table = pa.table({"row": row, "pos": np.arange(len(row), dtype=np.int32), "id": numbers})
         found = self._ask(DECODE, "ids", table)
         out = [b""] * len(ids)
@@ -160,6 +159,21 @@ class Codec:
             out[i] = bytes.fromhex(text)
         return out
 
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """The bytes of each list of ids; an id outside the vocabulary raises. Long lists go through in parts."""
+        size = 4 * QUERY_IDS
+        parts = [(i, x[k : k + size]) for i, x in enumerate(ids) for k in range(0, len(x), size)]
+        out: list[list[bytes]] = [[] for _ in ids]
+        group, held = [], 0
+        for n, (i, part) in enumerate(parts):
+            group.append((i, part))
+            held += len(part)
+            if held >= size or n == len(parts) - 1:
+                for (row, _), text in zip(group, self._strung([p for _, p in group])):
+                    out[row].append(text)
+                group, held = [], 0
+        return [b"".join(x) for x in out]
+
 
 def codec(path: str) -> Codec:
     if path not in _CODECS:
