@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duelgrid.llm.arrow import as_bytes, checkpointed, pieces
@@ -57,15 +57,17 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int(np.packbits(2 * counts > len(packed), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint of every whole text as a (signed) long."""
+def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, the columns `also` and the fingerprint of every whole text as a (signed) long."""
+    kept = ["doc_id", *also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             values = np.array([fingerprint(t) for t in as_bytes(piece.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(values)], ["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([*map(piece.column, kept), pa.array(values)], [*kept, "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, bits long")
+    fields = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept]
+    return docs.select(*kept, "text").mapInArrow(run, ", ".join([*fields, "bits long"]))
 
 
 @lru_cache(maxsize=1)
@@ -146,6 +148,13 @@ def links(distinct: DataFrame, home_limit: int = HOME_LIMIT, rows: int | None =
     return found.select("a", "b").unionByName(chained).distinct()
 
 
+def _rooted(prints: DataFrame, home_limit: int) -> DataFrame:
+    """(bits, root) for every fingerprint that is linked to another."""
+    rows = prints.count()
+    found = roots(links(prints.select("bits").distinct(), home_limit, rows), 4 * rows)
+    return found.withColumnRenamed("node", "bits")
+
+
 def components(docs: DataFrame, home_limit: int = HOME_LIMIT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links reach.
 
@@ -155,9 +164,7 @@ def components(docs: DataFrame, home_limit: int = HOME_LIMIT) -> DataFrame:
     """
     prints = checkpointed(fingerprints(docs), "fingerprints")
     firsts = prints.groupBy("bits").agg(F.min("doc_id").alias("first"))
-    rows = prints.count()
-    found = roots(links(prints.select("bits").distinct(), home_limit, rows), 4 * rows)
-    placed = firsts.join(found.withColumnRenamed("node", "bits"), "bits", "left")
+    placed = firsts.join(_rooted(prints, home_limit), "bits", "left")
     root = F.coalesce("root", "bits")
     least = placed.groupBy(root.alias("root")).agg(F.min("first").alias("component_id"))
     named = placed.select("bits", root.alias("root")).join(least, "root").select("bits", "component_id")
@@ -166,11 +173,17 @@ def components(docs: DataFrame, home_limit: int = HOME_LIMIT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, home_limit: int = HOME_LIMIT) -> DataFrame:
-    """`docs` with the document of smallest id of every component, once; all columns pass through.
+    """`docs` with one row of every component: smallest doc_id, nulls last, then smallest hash of the text.
 
-    Rows that repeat a doc_id count as one document. Documents with a null doc_id stay if no other document is near.
+    All columns pass through. Rows that repeat doc_id and text count as one, different texts that share a doc_id (or have
+    none) as different documents. Rows are told apart by doc_id and hash together, so null ids are dealt out by text, and
+    repeats shrink to one row a task before they are dealt.
     """
-    keep = components(docs, home_limit).select(F.col("component_id").alias("__keep")).distinct()
-    nth = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    once = docs.withColumn("__nth", F.row_number().over(nth)).where("__nth = 1").drop("__nth")
-    return once.join(keep, once["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")
+    mark = docs.withColumn("__mark", F.xxhash64("text"))
+    key = F.struct(F.isnull("doc_id").alias("gone"), "doc_id", "__mark")  # fields that are null equal each other
+    prints = checkpointed(fingerprints(mark, "__mark"), "fingerprints")
+    firsts = prints.groupBy("bits").agg(F.min(key).alias("first"))
+    placed = firsts.join(_rooted(prints, home_limit), "bits", "left")
+    keep = placed.groupBy(F.coalesce("root", "bits").alias("root")).agg(F.min("first").alias("__key")).select("__key")
+    once = mark.withColumn("__key", key).dropDuplicates(["__key"])
+    return once.join(keep, "__key", "left_semi").select(*docs.columns)

@@ -9,7 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
-from awkward import nasty_rows
+from awkward import nasty_rows, prose
 from test_text_operators import plain_components, plain_fingerprint, plain_spans
 from tokenizers import Tokenizer
 
@@ -60,3 +60,15 @@ def test_stages_keep_the_columns(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").dtypes == docs.dtypes
+
+
+def test_documents_without_id_or_with_a_shared_id_reach_the_end(spark, tmp_path):
+    alone = [prose(60 + i, 80) for i in range(6)]
+    rows = [*((None, t) for t in alone[:4]), (None, alone[0]), (7, alone[4]), (7, alone[5]), *((i, prose(i, 60)) for i in range(100, 110))]
+    docs = [(d, t, "en", "s", len(t)) for d, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(os.path.join(tmp_path, "documents.parquet"))
+    got = sorted(((r.doc_id, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=repr)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [(d, np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")) for d, t in dict.fromkeys(rows)]
+    assert max(len(x) for _, x in ids) <= 1024
+    assert got == sorted(((d, zlib.crc32(x.tobytes())) for d, x in ids), key=repr)

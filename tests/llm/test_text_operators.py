@@ -188,3 +188,11 @@ def test_first_fit_takes_the_first_sequence_with_room():
         room[i] -= s
         want.append(i)
     assert packing.first_fit(np.array(sizes), 100).tolist() == want
+
+
+def test_null_ids_and_shared_ids_stay_while_their_texts_differ(spark):
+    alone = [prose(40 + i, 80) for i in range(6)]
+    rows = [(None, t) for t in alone[:4]] + [(None, alone[0]), (None, alone[5]), (7, alone[4]), (7, alone[5]), (7, alone[5]), (9, alone[4])]
+    docs = spark.createDataFrame([(d, t, "v") for d, t in rows], "doc_id long, text string, v string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()), key=repr)
+    assert kept == sorted([*((None, t) for t in alone[:4]), (7, alone[4]), (7, alone[5])], key=repr)
