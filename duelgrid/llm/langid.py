@@ -42,6 +42,10 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def lettered(words: list[str]) -> bool:
+    return any(x.isalpha() for y in words for x in y)
+
+
 def grams_of(word: str, order: int) -> list[str]:
     edged = f" {word} "
     return [edged[i : i + order] for i in range(len(edged) - order + 1)] if order > 1 else list(word)
@@ -138,7 +142,7 @@ class Scorer:
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language of each text and its share."""
         words = [words_of(t or "") for t in texts]
-        full = [i for i, w in enumerate(words) if self.model.languages and any(x.isalpha() for y in w for x in y)]
+        full = [i for i, w in enumerate(words) if self.model.languages and lettered(w)]
         names, shares = [NONE] * len(texts), [0.0] * len(texts)
         if full:
             sums = self.totals([words[i] for i in full])
@@ -177,13 +181,17 @@ def identified(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Data
 
 
 def recognised(docs: DataFrame) -> DataFrame:
-    """`docs` without the documents that have no language: null text, or no letter in it. Other columns pass through."""
+    """`docs` without the documents that have no language: null text, or no letter in it. Other columns pass through.
+
+    If the model knows no language, letters alone decide.
+    """
     model = fit(docs, ~held_out("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for piece in pieces(batches):
-            names, _ = scorer.judge(piece.column("text").to_pylist())
-            yield piece.filter(pa.array([x != NONE for x in names], pa.bool_()))
+            texts = piece.column("text").to_pylist()
+            kept = [x != NONE for x in scorer.judge(texts)[0]] if model.languages else [lettered(words_of(t or "")) for t in texts]
+            yield piece.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -216,3 +216,8 @@ def test_search_ties_repeats_and_bad_vectors(spark):
 
 def test_chi_square_quantile():
     assert ann.chi_square_quantile(2, 0.95) == pytest.approx(5.991, abs=1e-3) and ann.chi_square_quantile(8, 0.97) == pytest.approx(17.01, abs=1e-2)
+
+
+def test_texts_stay_when_no_language_is_known(spark):
+    docs = spark.createDataFrame([(1, "the sun", None), (None, "mond", None), (3, "12 !?", None), (4, None, None), (5, "", None)], "doc_id long, text string, lang string")
+    assert {r.text for r in langid.recognised(docs).collect()} == {"the sun", "mond"}
