@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelgrid.constants import PROFILE_FEATURES, RATING_FEATURES
-from duelgrid.operators import canonical, history, matchup
+from duelgrid.operators import canonical, history, matchup, ratings
 from duelgrid.plans import adapter
 from duelgrid.plans.workspace import stage
 
@@ -33,6 +33,25 @@ def day_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return stage(spark, sf, "day_profiles", build)
 
 
+def _yearly(spark: SparkSession, sf: str) -> DataFrame:
+    return appearances(spark, sf).withColumn("period", F.trunc("event_date", "year"))
+
+
+def rating_states(spark: SparkSession, sf: str) -> DataFrame:
+    """State history with calendar years as rating periods."""
+    return stage(spark, sf, "rating_states", lambda: ratings.rate_periods(_yearly(spark, sf), "period"))
+
+
+def rated_day_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """`day_profiles` with the rating before each day."""
+    def build():
+        asked = _yearly(spark, sf).select("entity_id", "event_date", "period")
+        before = ratings.ratings_before(asked, rating_states(spark, sf), "event_date", "period")
+        return history.day_profiles(appearances(spark, sf), adapter.entities(spark, sf), before)
+
+    return stage(spark, sf, "rated_day_profiles", build)
+
+
 def training_table(spark: SparkSession, sf: str) -> DataFrame:
     def build():
         return matchup.training_table(bouts(spark, sf), day_profiles(spark, sf), PLAIN_FEATURES)
@@ -41,7 +60,7 @@ def training_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def finish_table(spark: SparkSession, sf: str) -> DataFrame:
-    return stage(spark, sf, "finish_table", lambda: matchup.finish_table(bouts(spark, sf), day_profiles(spark, sf)))
+    return stage(spark, sf, "finish_table", lambda: matchup.finish_table(bouts(spark, sf), rated_day_profiles(spark, sf)))
 
 
 def next_day(spark: SparkSession, sf: str):
@@ -58,3 +77,18 @@ def current_profiles(spark: SparkSession, sf: str) -> DataFrame:
         return history.profiles_as_of(appearances(spark, sf), known, requests)
 
     return stage(spark, sf, "current_profiles", build)
+
+
+def rated_profiles_as_of(spark: SparkSession, sf: str, known: DataFrame, requests: DataFrame) -> DataFrame:
+    """Profiles with ratings for (entity_id, as_of) pairs."""
+    before = ratings.ratings_before(requests, rating_states(spark, sf), "as_of")
+    return history.profiles_as_of(appearances(spark, sf), known, requests, before)
+
+
+def rated_current_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """`current_profiles` with the rating of that day."""
+    def build():
+        known = adapter.entities(spark, sf)
+        return rated_profiles_as_of(spark, sf, known, known.select("entity_id", next_day(spark, sf).alias("as_of")))
+
+    return stage(spark, sf, "rated_current_profiles", build)

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from duelgrid.constants import FINISH_TYPES, MODEL_GRIDS
-from duelgrid.operators import history, matchup, metrics, models, monitor, outcomes, resolve, roster, scoring
+from duelgrid.operators import matchup, metrics, models, monitor, outcomes, resolve, roster, scoring
 from duelgrid.plans import adapter, derived, pipeline
 from duelgrid.plans.derived import PLAIN_INPUT
 from duelgrid.plans.registry import query
@@ -206,7 +206,7 @@ def score_card(spark, sf):
     on_cards = matchups.select("as_of", F.explode(F.array("a_id", "b_id")).alias("entity_id")).distinct()
     # names that nobody carries are debutants: they have no row and no history, so their profile is all priors
     debutants = on_cards.select("entity_id").distinct().join(known, "entity_id", "left_anti")
-    profiles = history.profiles_as_of(app, known.unionByName(debutants, allowMissingColumns=True), on_cards)
+    profiles = derived.rated_profiles_as_of(spark, sf, known.unionByName(debutants, allowMissingColumns=True), on_cards)
     split = outcomes.round_split(derived.bouts(spark, sf), P.finish_min_train, P.validation)
     scored = scoring.score_matchups(
         scoring.split_same_entity(matchups)[0], profiles, _fit(spark, sf), _finish(spark, sf), split
@@ -236,7 +236,7 @@ def prediction_record(spark, sf):
         "*", derived.next_day(spark, sf).alias("as_of"), F.lit(3).alias("scheduled_rounds"), F.lit(False).alias("is_title")
     )
     split = outcomes.round_split(b, P.finish_min_train, P.validation)
-    out = scoring.prediction_records(asked, derived.current_profiles(spark, sf), _fit(spark, sf), _finish(spark, sf), split)
+    out = scoring.prediction_records(asked, derived.rated_current_profiles(spark, sf), _fit(spark, sf), _finish(spark, sf), split)
     return out.select(
         "a_id", "b_id", "as_of", "weight_class", "p_a", "p_b", "side_a", "side_b", "warnings", "most_likely", "distance", "by_round", "factors", "model_type"
     )

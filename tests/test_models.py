@@ -80,3 +80,18 @@ def test_same_entity_is_rejected(spark):
     pairs = spark.createDataFrame([("x", "x"), ("x", "y")], "a_id string, b_id string")
     valid, rejected = scoring.split_same_entity(pairs)
     assert valid.count() == rejected.count() == 1
+
+
+def test_the_finish_model_sees_real_ratings(spark):
+    """Differences of the finish rows are those of the rating pass, and profiles of a later day carry its last state."""
+    entered = derived.rated_day_profiles(spark, SF).select("entity_id", "event_date", "glicko_rating")
+    bouts = derived.bouts(spark, SF).where("winner_side IS NOT NULL").selectExpr(
+        "bout_id", "event_date", "IF(winner_side = 1, entity_1_id, entity_2_id) AS w", "IF(winner_side = 1, entity_2_id, entity_1_id) AS l"
+    )
+    for side in ("w", "l"):
+        bouts = bouts.join(entered.withColumnsRenamed({"entity_id": side, "glicko_rating": f"{side}_rating"}), [side, "event_date"])
+    rows = derived.finish_table(spark, SF).join(bouts, "bout_id").select("wl_glicko_rating_diff", (F.col("w_rating") - F.col("l_rating")).alias("want")).collect()
+    assert rows and all(r[0] == pytest.approx(r[1]) for r in rows) and any(abs(r[0]) > 1 for r in rows)
+    last = derived.rating_states(spark, SF).groupBy("entity_id").agg(F.max_by("rating", "last_day").alias("rating"))
+    now = derived.rated_current_profiles(spark, SF).join(last, "entity_id").collect()
+    assert now and all(r["glicko_rating"] == pytest.approx(r["rating"]) for r in now) and len({r["rating"] for r in now}) > 1
