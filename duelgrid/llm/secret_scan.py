@@ -53,7 +53,8 @@ MORE_RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # with the body: base64, line feeds (also as \n in JSON) and the blanks that stand for them in flattened text
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\\\x20\t\r\n]*"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -229,12 +230,13 @@ def spans_in(texts: list[bytes], rules: tuple[Rule, ...] = RULES, machines=None)
     machine, reverse, patterns = machines or _machines(rules)
     data, starts = joined(texts)
     ends = machine.ends[states_of(data, starts, machine)]
+    ends[starts[1:] - 1] = 0  # the line feed behind a text is not part of it
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     hits = np.flatnonzero(ends)
     bits = ends[hits]
     for i, rule in enumerate(rules):
         at = hits[(bits >> i) & 1 == 1]
-        last = at[np.append(np.diff(at) > 1, True)] if len(at) else at  # a text ends in a line feed, so runs do not join
+        last = at[np.append(np.diff(at) > 1, True)] if len(at) else at  # nothing ends behind a text, so runs do not join
         back, previous, floor = reverse[i], -1, 0
         for p, n in zip(last.tolist(), (np.searchsorted(starts, last, side="right") - 1).tolist()):
             if n != previous:
