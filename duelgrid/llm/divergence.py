@@ -2,8 +2,8 @@
 
 Indexing is single-pass and in memory: each task adds postings (document and occurrence counts of a term in a group of
 language and source) to a block until the block is full, then spills it as a run sorted by term and goes on with an
-empty one. A run is cut by hash of language and term into shards. Runs of one shard are merged with a heap, a bounded
-number at a time, until one pass brings all of a term's postings together as frequencies.
+empty one. Terms are sorted by a hash of language and term, which also deals them into shards. Runs of one shard are
+merged with a heap, a bounded number at a time, until one pass brings all of a term's postings together as frequencies.
 
 Divergence of a pair of sources sums, over all terms of a language, a function of two smoothed shares. Nearly all terms
 are missing from nearly all sources, so the sum is taken as if every term were missing from both, then corrected: once
@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from duelgrid.llm.arrow import as_bytes, checkpointed
 
 FEWEST_DOCUMENTS, MOST_RANKS, UNIT = 3, 200, 1_000_000_000
-BLOCK_POSTINGS = 250_000  # postings that a task holds before it spills a run
-FAN_IN = 64  # runs that are merged at a time, about
+BLOCK_POSTINGS = 400_000  # postings that a task holds before it spills a run
+FAN_IN = 256  # runs that are merged at a time, about
+MERGED_NAMES = 1 << 18  # names that a merge works on at a time, about
+SPLIT = b"\xff"  # between a language and a term: a byte that UTF-8 never has
 STEP_BYTES = 1 << 20  # of a text that are read at a time
 PAIRS = 1 << 21  # pair corrections that are computed at a time
 SALTS = 16
@@ -39,8 +41,9 @@ TERM = re.compile(rb"[a-z\x80-\xff]+")  # the bytes of terms, once A-Z is lower-
 GAP = re.compile(rb"[^a-z\x80-\xff]")
 LOWER = bytes(range(256)).lower()
 
-Posting = tuple[str, bytes, str, int, int]  # language, term, source, documents, occurrences
-RUN_SCHEMA = "run long, shard int, lang array<string>, term array<binary>, source array<string>, docs array<long>, n array<long>"
+Postings = tuple[pa.Array, np.ndarray, pa.Array, np.ndarray, np.ndarray]  # names; of each posting: name, source, documents, occurrences
+LISTS = ["keys", "names", "sizes", "source", "docs", "n"]
+RUN_SCHEMA = "run long, shard int, keys array<long>, names array<binary>, sizes array<long>, source array<string>, docs array<long>, n array<long>"
 
 
 def parts_of(text: bytes) -> Iterator[bytes]:
@@ -63,31 +66,53 @@ class Block:
     def add(self, lang: str, source: str, words: list[bytes], fresh: Iterable[bytes]) -> None:
         """`words` occur in a document of the group; of these, `fresh` had not occurred in that document."""
         n, docs = self.groups.setdefault((lang, source), (Counter(), Counter()))
-        before = len(n)
+        before = len(docs)
         n.update(words)
         docs.update(fresh)
-        self.size += len(n) - before
-
-    def run(self) -> list[Posting]:
-        return sorted((lang, term, source, docs[term], n[term]) for (lang, source), (n, docs) in self.groups.items() for term in n.keys() | {b""})
-
-
-def shard_of(lang: str, term: bytes, shards: int) -> int:
-    return zlib.crc32(term, zlib.crc32(lang.encode())) % shards
-
-
-def as_rows(run: int, postings: Iterable[tuple[int, Posting]]) -> pa.RecordBatch:
-    """One row per shard; postings come as (shard, posting) and keep their order inside a shard."""
-    by_shard: dict[int, list[Posting]] = {}
-    for shard, posting in postings:
-        by_shard.setdefault(shard, []).append(posting)
-    ends = np.cumsum([0, *map(len, by_shard.values())]).astype(np.int32)
-    columns = list(zip(*(p for held in by_shard.values() for p in held))) or [()] * 5
-    kinds = (pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64())
-    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(c, k)) for c, k in zip(columns, kinds)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([run] * len(by_shard), pa.int64()), pa.array(list(by_shard), pa.int32()), *lists], ["run", "shard", "lang", "term", "source", "docs", "n"]
-    )
+        self.size += len(docs) - before
+
+    def postings(self) -> Postings:
+        """A name is a language, a byte that UTF-8 never has, and a term."""
+        names: dict[bytes, int] = {}
+        by_lang: dict[str, list[tuple[str, Counter, Counter]]] = {}
+        for (lang, source), counts in self.groups.items():
+            by_lang.setdefault(lang, []).append((source, *counts))
+        name, source, docs, n = [], [], [], []
+        for lang, held in by_lang.items():
+            numbers: dict[bytes, int] = {}
+            first, head = len(names), lang.encode() + SPLIT
+            for own, occurrences, documents in held:
+                name.append(np.array([first + numbers.setdefault(t, len(numbers)) for t in documents]))
+                source += [own] * len(documents)
+                docs.append(np.fromiter(documents.values(), np.int64, len(documents)))
+                n.append(np.fromiter(map(occurrences.__getitem__, documents), np.int64, len(documents)))
+            names.update((head + t, first + i) for t, i in numbers.items())
+        return pa.array(names, pa.binary()), np.concatenate(name), pa.array(source, pa.string()), np.concatenate(docs), np.concatenate(n)
+
+
+def keys_of(names: pa.Array) -> np.ndarray:
+    """What runs are sorted by: the hash of each name."""
+    return np.array([xxhash.xxh64_intdigest(x) for x in names.to_pylist()], np.uint64)
+
+
+def as_runs(run: int, shards: np.ndarray, keys: np.ndarray, postings: Postings) -> pa.RecordBatch:
+    """One row per shard: sorted keys, their names, how many postings each has, and the postings."""
+    names, name, source, docs, n = postings
+    order = np.lexsort((keys, shards))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    by = np.argsort(rank[name], kind="stable")
+    sizes = np.bincount(rank[name], minlength=len(order))
+    held, first = np.unique(shards[order], return_index=True)
+    cut = np.append(first, len(order))
+    ends = np.append(0, np.cumsum(sizes))[cut]
+
+    def lists(values: pa.Array, at: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+
+    by_name = [lists(pa.array(keys[order].view(np.int64)), cut), lists(names.take(pa.array(order)), cut), lists(pa.array(sizes), cut)]
+    by_posting = [lists(source.take(pa.array(by)), ends), lists(pa.array(docs[by]), ends), lists(pa.array(n[by]), ends)]
+    return pa.RecordBatch.from_arrays([pa.array([run] * len(held), pa.int64()), pa.array(held, pa.int32()), *by_name, *by_posting], ["run", "shard", *LISTS])
 
 
 def runs(docs: DataFrame, shards: int, block_postings: int = BLOCK_POSTINGS) -> DataFrame:
@@ -98,7 +123,9 @@ def runs(docs: DataFrame, shards: int, block_postings: int = BLOCK_POSTINGS) ->
         first = TaskContext.get().partitionId() << 24
 
         def spill() -> pa.RecordBatch:
-            return as_rows(first + spilled, ((shard_of(p[0], p[1], shards), p) for p in block.run()))
+            postings = block.postings()
+            keys = keys_of(postings[0])
+            return as_runs(first + spilled, (keys % np.uint64(shards)).astype(np.int32), keys, postings)
 
         for batch in batches:
             names = [[x or "" for x in batch.column(c).to_pylist()] for c in ("lang", "source")]
@@ -119,26 +146,71 @@ def runs(docs: DataFrame, shards: int, block_postings: int = BLOCK_POSTINGS) ->
     return docs.select("text", "lang", "source").mapInArrow(index, RUN_SCHEMA)
 
 
-def merged(rows: pa.Table) -> Iterator[Posting]:
-    """The postings of some runs of one shard, in order, those of a term and group added up."""
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
-    def postings(i: int) -> Iterator[Posting]:
-        return zip(*(rows.column(c)[i].as_py() for c in ("lang", "term", "source", "docs", "n")))
 
-    held = None
-    for posting in heapq.merge(*map(postings, range(rows.num_rows))):
-        if held is not None and held[:3] == posting[:3]:
-            held = (*held[:3], held[3] + posting[3], held[4] + posting[4])
-        else:
-            if held is not None:
-                yield held
-            held = posting
-    if held is not None:
-        yield held
+def merged(rows: pa.Table, at_a_time: int = MERGED_NAMES) -> Iterator[tuple[np.ndarray, Postings]]:
+    """Some runs of one shard as one, in pieces of whole names in order of their keys: the keys, and the postings with
+    those of one name and source added up.
+
+    A heap holds the runs by their next key. The first run offers its next few names, and every run whose next key is
+    not beyond the last of these gives all it has up to there.
+    """
+    lists = {c: rows.column(c).combine_chunks() for c in LISTS}
+    bounds = lists["keys"].offsets.to_numpy().astype(np.int64)
+    keys = lists["keys"].values.to_numpy(zero_copy_only=False).view(np.uint64)
+    names, sizes = lists["names"].values, lists["sizes"].values.to_numpy(zero_copy_only=False)
+    begins = np.cumsum(sizes) - sizes
+    sources = lists["source"].values.dictionary_encode()
+    code = sources.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    docs, n = (lists[c].values.to_numpy(zero_copy_only=False) for c in ("docs", "n"))
+    at, end, step = bounds[:-1].copy(), bounds[1:], max(64, at_a_time // rows.num_rows)
+    heap = [(int(keys[at[r]]), r) for r in range(rows.num_rows) if at[r] < end[r]]
+    heapq.heapify(heap)
+    while heap:
+        first = heap[0][1]
+        limit = int(keys[min(at[first] + step, end[first]) - 1])
+        giving, taken = [], []
+        while heap and heap[0][0] <= limit:
+            r = heapq.heappop(heap)[1]
+            stop = at[r] + int(np.searchsorted(keys[at[r] : end[r]], np.uint64(limit), side="right"))
+            giving.append(r)
+            taken.append(np.arange(at[r], stop))
+            at[r] = stop
+        entries = np.concatenate(taken)
+        entries = entries[np.argsort(keys[entries], kind="stable")]
+        nth = _numbered(keys[entries], names.take(pa.array(entries)))
+        by = np.argsort(nth, kind="stable")  # changes nothing unless two names share a key
+        entries, nth = entries[by], nth[by]
+        places = _ranges(begins[entries], sizes[entries])
+        both = np.repeat(nth, sizes[entries]) * len(sources.dictionary) + code[places]
+        by = np.argsort(both, kind="stable")
+        edges = np.flatnonzero(np.append(True, both[by][1:] != both[by][:-1]))
+        both = both[by][edges]
+        own = entries[np.flatnonzero(np.append(True, nth[1:] != nth[:-1]))]
+        yield keys[own], (
+            names.take(pa.array(own)), both // len(sources.dictionary), sources.dictionary.take(pa.array(both % len(sources.dictionary))),
+            np.add.reduceat(docs[places[by]], edges), np.add.reduceat(n[places[by]], edges),
+        )
+        for r in giving:
+            if at[r] < end[r]:
+                heapq.heappush(heap, (int(keys[at[r]]), r))
+
+
+def _numbered(keys: np.ndarray, names: pa.Array) -> np.ndarray:
+    """The number of each name, from 0, in the order of the sorted keys."""
+    same = keys[1:] == keys[:-1]
+    if not pc.equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False).astype(bool)[same].all():
+        each = list(zip(keys.tolist(), names.to_pylist()))  # different names with one key
+        number = {x: i for i, x in enumerate(sorted(set(each)))}
+        return np.array([number[x] for x in each])
+    return np.append(0, np.cumsum(~same))
 
 
 def frequencies(docs: DataFrame, fewest: int = FEWEST_DOCUMENTS, block_postings: int = BLOCK_POSTINGS, fan_in: int = FAN_IN) -> DataFrame:
-    """lang, term (binary), source, n, lang_n, first: occurrences of every kept term in every group that has it.
+    """lang, term (binary), key, source, n, lang_n, first: occurrences of every kept term in every group that has it.
 
     A term is kept if at least `fewest` documents of its language hold it. `lang_n` counts the whole language, `first`
     is 1 in one row of each kept term and 0 elsewhere. An empty term with n 0 stands in every occurring group.
@@ -150,8 +222,13 @@ def frequencies(docs: DataFrame, fewest: int = FEWEST_DOCUMENTS, block_postings:
     n_runs = table.select("run").distinct().count()
 
     def one_run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        return pa.Table.from_batches([as_rows(key[1].as_py(), ((shard, p) for p in merged(rows)))])
+        pieces = list(merged(rows))
+        before = np.cumsum([0, *(len(k) for k, _ in pieces)])
+        names, source = (pa.concat_arrays([p[i] for _, p in pieces]) for i in (0, 2))
+        name = np.concatenate([p[1] + b for (_, p), b in zip(pieces, before)])
+        docs, n = (np.concatenate([p[i] for _, p in pieces]) for i in (3, 4))
+        keys = np.concatenate([k for k, _ in pieces])
+        return pa.Table.from_batches([as_runs(key[1].as_py(), np.full(len(keys), key[0].as_py(), np.int32), keys, (names, name, source, docs, n))])
 
     while n_runs > fan_in:
         n_runs = -(-n_runs // fan_in)
@@ -159,27 +236,23 @@ def frequencies(docs: DataFrame, fewest: int = FEWEST_DOCUMENTS, block_postings:
         table = checkpointed(table.groupBy("shard", lane).applyInArrow(one_run, RUN_SCHEMA), "divergence-merged")
 
     def totals(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        out: list[tuple[str, bytes, str, int, int, int]] = []
-        held: list[Posting] = []
-
-        def close() -> None:
-            if held and not held[0][1]:
-                out.extend((lang, term, source, 0, 0, 0) for lang, term, source, _, _ in held)
-            elif sum(p[3] for p in held) >= fewest:
-                whole = sum(p[4] for p in held)
-                out.extend((lang, term, source, n, whole, int(i == 0)) for i, (lang, term, source, _, n) in enumerate(held))
-            held.clear()
-
-        for posting in merged(rows):
-            if held and held[0][:2] != posting[:2]:
-                close()
-            held.append(posting)
-        close()
-        kinds = (pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        columns = list(zip(*out)) or [()] * 6
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "term", "source", "n", "lang_n", "first"])
-
-    schema = "lang string, term binary, source string, n long, lang_n long, first long"
+        out = []
+        for keys, (names, name, source, docs, n) in merged(rows):
+            held = [x.split(SPLIT) for x in names.to_pylist()]
+            lang, term = pa.array([x.decode() for x, _ in held], pa.string()), pa.array([t for _, t in held], pa.binary())
+            marks = np.array([not t for _, t in held])
+            first = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+            kept = np.flatnonzero((np.add.reduceat(docs, first) >= fewest)[name] | marks[name])
+            lang_n, own = np.add.reduceat(n, first), pa.array(name[kept])
+            begins = np.zeros(len(name), np.int64)
+            begins[first] = ~marks
+            columns = [lang.take(own), term.take(own), pa.array(keys.view(np.int64)[name[kept]]), source.take(pa.array(kept)), pa.array(n[kept]), pa.array(lang_n[name[kept]]), pa.array(begins[kept])]
+            out.append(pa.RecordBatch.from_arrays(columns, schema=counted))
+        return pa.Table.from_batches(out, counted)
+
+    kinds = (pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    counted = pa.schema(list(zip(("lang", "term", "key", "source", "n", "lang_n", "first"), kinds)))
+    schema = "lang string, term binary, key long, source string, n long, lang_n long, first long"
     return checkpointed(table.groupBy("shard").applyInArrow(totals, schema), "divergence-frequencies")
 
 
@@ -188,8 +261,10 @@ def frequencies(docs: DataFrame, fewest: int = FEWEST_DOCUMENTS, block_postings:
 
 def share(count: Column, total: Column, terms: Column) -> Column:
     """1 + floor(UNIT (count + 1) / (total + terms)), exact at any count; null where there are no terms."""
-    whole = F.call_function("div", F.lit(UNIT).cast("decimal(38,0)") * (count + 1).cast("decimal(38,0)"), F.nullif(total + terms, F.lit(0)).cast("decimal(38,0)"))
-    return F.lit(1) + F.when(terms > 0, whole)
+    whole = F.nullif(total + terms, F.lit(0))
+    small = F.call_function("div", F.lit(UNIT) * (count + 1), whole)
+    large = F.call_function("div", F.lit(UNIT).cast("decimal(38,0)") * (count + 1).cast("decimal(38,0)"), whole.cast("decimal(38,0)"))
+    return F.lit(1) + F.when(terms == 0, None).when(count < UNIT, small).otherwise(large)
 
 
 def excess(p: Column, q: Column) -> Column:
@@ -204,8 +279,8 @@ def _excess(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def pair_corrections(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, part): what terms that both groups have add to the sum that takes them as missing from either or both.
 
-    Batches hold lang, term, gid, p and p0 (the share of a missing term), all rows of a term in sequence. Sums are
-    modulo 2^64.
+    Batches hold key and second (two hashes of a term), gid, p and p0 (the share of a missing term), all rows of a term
+    in sequence. Sums are modulo 2^64.
     """
 
     def of_terms(sizes: np.ndarray, gid: np.ndarray, p: np.ndarray, p0: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -228,22 +303,16 @@ def pair_corrections(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(names[pairs // len(names)]), pa.array(names[pairs % len(names)]), pa.array(sums)], ["a", "b", "part"])
             at = stop
 
-    rest: pa.Table | None = None
+    rest = np.zeros((5, 0), np.int64)
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        rows = rows.combine_chunks()
-        same = np.ones(rows.num_rows - 1, bool)
-        for c in ("lang", "term"):
-            column = rows.column(c)
-            same &= pc.equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False).astype(bool)
-        starts = np.append(0, np.flatnonzero(~same) + 1)
-        last, rest = int(starts[-1]), rows.slice(int(starts[-1]))
+        rows = np.concatenate([rest, [batch.column(c).to_numpy() for c in ("key", "second", "gid", "p", "p0")]], axis=1)
+        starts = np.flatnonzero(np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)))
+        last = int(starts[-1]) if rows.shape[1] else 0
         if last:
-            yield from of_terms(np.diff(starts), *(rows.column(c).slice(0, last).to_numpy() for c in ("gid", "p", "p0")))
-    if rest is not None:
-        yield from of_terms(np.array([rest.num_rows]), *(rest.column(c).to_numpy() for c in ("gid", "p", "p0")))
+            yield from of_terms(np.diff(starts), *rows[2:, :last])
+        rest = rows[:, last:]
+    if rest.shape[1]:
+        yield from of_terms(np.array([rest.shape[1]]), *rest[2:])
 
 
 def _exact(column: Column | str) -> Column:
@@ -273,7 +342,7 @@ def audited(docs: DataFrame, fewest: int = FEWEST_DOCUMENTS, ranks: int = MOST_R
     groups = checkpointed(groups, "divergence-groups")
     kept = found.where(F.octet_length("term") > 0).join(groups, ["lang", "source"])
     valued = kept.select(
-        "lang", "term", "source", "gid", "p0",
+        "lang", "term", "key", "source", "gid", "p0",
         share(F.col("n"), F.col("total"), F.col("terms")).alias("p"),
         share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q"),
     )
@@ -284,7 +353,7 @@ def audited(docs: DataFrame, fewest: int = FEWEST_DOCUMENTS, ranks: int = MOST_R
     most = most.withColumn("rank", F.row_number().over(falling)).where(F.col("rank") <= ranks)
 
     histogram = valued.groupBy("gid", "p").agg(F.count("*").alias("rows")).groupBy("gid").agg(F.collect_list(F.struct("p", "rows")).alias("histogram"))
-    in_order = valued.select("lang", "term", "gid", "p", "p0").repartition("lang", "term").sortWithinPartitions("lang", "term")
+    in_order = valued.select("key", F.xxhash64("lang", "term").alias("second"), "gid", "p", "p0").repartition("key").sortWithinPartitions("key", "second")
     both = in_order.mapInArrow(pair_corrections, "a long, b long, part long").groupBy("a", "b").agg(F.sum(_exact("part")).alias("both"))
 
     sides = groups.join(histogram, "gid", "left").select("lang", "source", "gid", "terms", "p0", F.coalesce("histogram", F.array()).alias("histogram"))
