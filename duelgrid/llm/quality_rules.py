@@ -2,7 +2,7 @@
 
 Tokens are runs of letters, runs of digits and runs of other visible characters. Every token and every pair of
 neighbours is hashed into one of `BUCKETS` buckets. Counts over the whole corpus give the raw multinomial, counts over
-a bounded set of trusted documents the target. A text's score is the mean over its buckets of the logarithm of target
+all trusted documents the target. A text's score is the mean over its buckets of the logarithm of target
 by raw share, and a fixed threshold decides every text alike.
 
 Everything here is DataFrame functions: one pass counts buckets (added up before the shuffle), one pass scores each
@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
-TRUSTED_DOCUMENTS = 20_000  # documents that the target is learnt from, at most
 THRESHOLD = -0.25
 SYMBOL = "[#*$%&|<>]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -102,11 +101,11 @@ def base_counts(docs: DataFrame) -> DataFrame:
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """Logarithm of target by raw share of every bucket, both smoothed by one; all zero without trusted documents.
 
-    `trusted` lists doc_ids; the TRUSTED_DOCUMENTS of smallest hash are used, so it can be sent to every executor.
+    `trusted` lists doc_ids; every text of theirs counts.
     """
-    target = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_DOCUMENTS)
-    marked = docs.select("doc_id", "text").join(F.broadcast(target.withColumn("good", F.lit(1))), "doc_id", "left")
-    met = marked.where("text IS NOT NULL").select("good", F.explode(buckets_of(F.col("text"))).alias("bucket"))
+    target = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("good", F.lit(1))
+    marked = docs.select("doc_id", "text").where("text IS NOT NULL").join(target, "doc_id", "left")
+    met = marked.select("good", F.explode(buckets_of(F.col("text"))).alias("bucket"))
     counts = met.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good")).collect()  # BUCKETS rows at most
     raw, good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
     out = [0.0] * BUCKETS
@@ -125,7 +124,8 @@ def judged(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     """`base_counts` with llr, the mean log ratio of the text's buckets, and kept.
 
     A text is kept if it passes the base rules and its llr is at least `threshold`. A null or empty text has no words,
-    fails the base rules and has llr 0. Repeated rows give repeated rows, and no other column is looked at.
+    fails the base rules and has llr 0. Repeated rows give repeated rows, very long texts are read whole, an empty table
+    gives an empty one, and no other column is looked at.
     """
     ratios = _array(log_ratios(docs, trusted))
 
