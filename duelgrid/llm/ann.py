@@ -72,11 +72,16 @@ class Tree:
         return (np.maximum(away, 0) ** 2).sum(axis=2)
 
 
-def nearest(vectors: np.ndarray, queries: np.ndarray, k: int, reach: float, confidence: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray]:
+def nearest(
+    vectors: np.ndarray, queries: np.ndarray, k: int, reach: float, confidence: float = CONFIDENCE, ids: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """(places, scores) of the k vectors with the largest inner products found; -1 and -inf where there are fewer.
 
-    `reach` is at least the length of every vector.
+    `reach` is at least the length of every vector. Ties go to the smaller of `ids`, by default to the smaller place.
+    While leaves are read, scores that differ by rounding only count as ties.
     """
+    ids = np.append(np.arange(len(vectors)) if ids is None else ids, np.iinfo(np.int64).max)  # the last is that of place -1
+    grain = reach**2 * 2.0**-44 or 1.0
     lift = np.sqrt(np.maximum(reach**2 - (vectors**2).sum(axis=1), 0))
     axes = directions(vectors.shape[1] + 1, PROJECTED)
     tree = Tree(np.column_stack([vectors, lift]) @ axes)
@@ -99,19 +104,19 @@ def nearest(vectors: np.ndarray, queries: np.ndarray, k: int, reach: float, conf
             if len(running) == 0:
                 break
             leaf = order[running, step]
-            found = np.matmul(cube[leaf], q[running][:, :, None])[:, :, 0]
+            found = np.round(np.matmul(cube[leaf], q[running][:, :, None])[:, :, 0] / grain) * grain
             found[empty[leaf]] = -np.inf
-            all_scores = np.concatenate([best[running], found], axis=1)
-            all_places = np.concatenate([place[running], tree.places[leaf]], axis=1)
-            top = np.argpartition(-all_scores, held - 1, axis=1)[:, :held]
-            score = np.take_along_axis(all_scores, top, axis=1)
-            rank = np.argsort(-score, axis=1)
-            best[running] = np.take_along_axis(score, rank, axis=1)
-            place[running] = np.take_along_axis(np.take_along_axis(all_places, top, axis=1), rank, axis=1)
+            better = np.flatnonzero((found >= best[running, -1:]).any(axis=1))
+            who = running[better]
+            all_scores = np.concatenate([best[who], found[better]], axis=1)
+            all_places = np.concatenate([place[who], tree.places[leaf[better]]], axis=1)
+            top = np.lexsort((ids[all_places], -all_scores), axis=1)[:, :held]
+            best[who] = np.take_along_axis(all_scores, top, axis=1)
+            place[who] = np.take_along_axis(all_places, top, axis=1)
         # one fixed order of addition for the scores that are given out, whatever block a vector lies in
         exact = (vectors[np.maximum(place, 0)] * q[:, None]).sum(axis=2)
         best[:] = np.where(place < 0, -np.inf, exact)
-        rank = np.argsort(-best, axis=1, kind="stable")
+        rank = np.lexsort((ids[place], -best), axis=1)
         best[:], place[:] = np.take_along_axis(best, rank, axis=1), np.take_along_axis(place, rank, axis=1)
     return places[:, :k], scores[:, :k]
 
@@ -163,8 +168,9 @@ def search(vectors: DataFrame, asked: Column, k: int = 20, id_column: str = "vec
     def answer(key: tuple[pa.Scalar, ...], base: pa.Table, wanted: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         if base.num_rows and wanted.num_rows:
-            places, scores = nearest(matrix(base.column("v")), matrix(wanted.column("v")), most, reach, confidence)
             ids = base.column("ids").to_pylist()
+            first = np.argsort(np.argsort([x[0] for x in ids], kind="stable"))
+            places, scores = nearest(matrix(base.column("v")), matrix(wanted.column("v")), most, reach, confidence, first)
             for a, b, where, score in zip(wanted.column("a").to_pylist(), wanted.column("b").to_pylist(), places.tolist(), scores.tolist()):
                 near = [(-s, i) for p, s in zip(where, score) if p >= 0 for i in ids[p]]
                 for s, i in sorted(near)[:most]:
