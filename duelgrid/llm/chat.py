@@ -126,13 +126,25 @@ def layout_of(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> tupl
     for x in layouts:
         if set(x.needed) <= set(leaves):
             named = F.when(mark.isin(sorted(x.fingerprints())), x.name).otherwise(named)
-    return None, named
+    # a row that lacks a needed value goes to the one layout that has a place for all it holds
+    able = [x for x in layouts if set(x.needed) <= set(leaves)]
+    fitting = F.lit(0)
+    only = F.lit(None).cast("string")
+    for x in able:
+        fits = F.lit(True)
+        for path, there_is in leaves.items():
+            if path not in (*x.needed, *x.optional):
+                fits = fits & ~F.coalesce(there_is, F.lit(False))
+        fitting = fitting + fits.cast("int")
+        only = F.when(fits, x.name).otherwise(only)
+    return None, F.coalesce(named, F.when(fitting == 1, only))
 
 
 def canonical_turns(records: DataFrame, id_column: str = "conv_id", order_column: str | None = None, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(conv_id, place, nth, role, text) of every record: `place` is the record's `order_column`, nth counts within it.
 
-    Rows whose fingerprint no layout has give no turns; `layout_of` finds them. A null role or text is empty. Columns
+    A row that lacks a needed value belongs to the one layout that has a place for all it holds. Rows that fit none, or
+    several, give no turns; `layout_of` finds them. A null role or text is empty. Columns
     that no layout names are not looked at, and repeated rows give repeated turns.
     """
     paths = frozenset(_leaves(records.schema))
