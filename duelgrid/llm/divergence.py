@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from duelgrid.llm.arrow import as_bytes, checkpointed
 
 FEWEST_DOCUMENTS, MOST_RANKS, UNIT = 3, 200, 1_000_000_000
-BLOCK_POSTINGS = 400_000  # postings that a task holds before it spills a run
+BLOCK_POSTINGS = 300_000  # postings that a task holds before it spills a run
+SHARDS_OF_PARTITION = 4
 FAN_IN = 256  # runs that are merged at a time, about
 MERGED_NAMES = 1 << 18  # names that a merge works on at a time, about
 SPLIT = b"\xff"  # between a language and a term: a byte that UTF-8 never has
@@ -215,9 +216,9 @@ def frequencies(docs: DataFrame, fewest: int = FEWEST_DOCUMENTS, block_postings:
     A term is kept if at least `fewest` documents of its language hold it. `lang_n` counts the whole language, `first`
     is 1 in one row of each kept term and 0 elsewhere. An empty term with n 0 stands in every occurring group.
 
-    There are as many shards as the documents have partitions, so a shard has about as many postings as a partition.
+    The number of shards follows the number of partitions, so a shard has fewer postings than a partition.
     """
-    shards = max(1, docs.rdd.getNumPartitions())
+    shards = SHARDS_OF_PARTITION * max(1, docs.rdd.getNumPartitions())
     table = checkpointed(runs(docs, shards, block_postings), "divergence-runs")
     n_runs = table.select("run").distinct().count()
 
