@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -9,6 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,21 @@ def checkpointed(df: DataFrame, label: str, rows: int | None = None) -> DataFram
     return written(df, run_dir(df.sparkSession, label))
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that the table does not have."""
+    while wanted.lower() in {c.lower() for c in df.columns}:
+        wanted += "_"
+    return wanted
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def spread(docs: DataFrame, bytes_each: int, column: str = "text") -> int:
     """How many groups of about `bytes_each` bytes of text the rows fill (one at least)."""
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
@@ -101,17 +118,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+LONG_WORD = 32  # bytes; a polynomial modulo 2^64 is sound for words up to here only
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A 64-bit polynomial hash of every word's bytes."""
+    """A 64-bit hash of every word's bytes: a polynomial of short words, XXH64 of long ones."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    lengths = ends - starts
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    digests = [xxhash.xxh64_intdigest(data[a:b].tobytes(), lane) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+    lengths = np.minimum(ends - starts, LONG_WORD)
     first = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(lengths, out=first[1:])
     inside = np.arange(first[-1]) - np.repeat(first[:-1], lengths)
     letters = data[inside + np.repeat(starts, lengths)]
     terms = _byte_codes(lane)[letters] * powers(_BASES[lane], int(lengths.max()))[inside]
-    return mixed(np.add.reduceat(terms, first[:-1]) + lengths.astype(np.uint64))
+    out = mixed(np.add.reduceat(terms, first[:-1]) + lengths.astype(np.uint64))
+    out[long] = np.array(digests, np.uint64)
+    return out
 
 
 class Windows:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelgrid.llm.arrow import pieces
+from duelgrid.llm.arrow import give_back, pieces
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
@@ -193,5 +193,7 @@ def recognised(docs: DataFrame) -> DataFrame:
             texts = piece.column("text").to_pylist()
             kept = [x != NONE for x in scorer.judge(texts)[0]] if model.languages else [lettered(words_of(t or "")) for t in texts]
             yield piece.filter(pa.array(kept, pa.bool_()))
+        del scorer
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelgrid.llm.arrow import Recent, pieces
+from duelgrid.llm.arrow import Recent, give_back, pieces
 
 LENGTH = 1024
 GROUP_DOCUMENTS = 4096
@@ -70,8 +70,11 @@ def encoder(path: str, remembered: int) -> Encoder:
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, nth long"
 
 
-def cut(docs: DataFrame, path: str, end_id: int = 0, length: int = LENGTH, remembered: int = CACHE_UNITS) -> DataFrame:
-    """Pieces of every document: full ones of `length` ids, then the rest; each with the checksum of its ids."""
+def cut(docs: DataFrame, path: str, end_id: int = 0, length: int = LENGTH, remembered: int = CACHE_UNITS, forget: bool = False) -> DataFrame:
+    """Pieces of every document: full ones of `length` ids, then the rest; each with the checksum of its ids.
+
+    A worker remembers units from task to task, unless it is to `forget` them for the sake of other stages.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end, nth = encoder(path, remembered), np.array([end_id], "<u4").tobytes(), 0
@@ -90,6 +93,10 @@ def cut(docs: DataFrame, path: str, end_id: int = 0, length: int = LENGTH, remem
             nth += len(row)
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth"]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(row, pa.int64())), *numbers], names)
+        if forget:
+            _ENCODERS.pop((path, remembered), None)
+            del coder
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECE}")
 
@@ -116,7 +123,7 @@ def first_fit(sizes: np.ndarray, length: int) -> np.ndarray:
 
 def packed(
     docs: DataFrame, path: str | None = None, end_id: int = 0, length: int = LENGTH, group_documents: int = GROUP_DOCUMENTS,
-    remembered: int = CACHE_UNITS,
+    remembered: int = CACHE_UNITS, forget: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -142,5 +149,5 @@ def packed(
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         return table.select(names).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    grouped = cut(docs, path, end_id, length, remembered).withColumn("__group", group).groupBy("__group")
+    grouped = cut(docs, path, end_id, length, remembered, forget).withColumn("__group", group).groupBy("__group")
     return grouped.applyInArrow(pack, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

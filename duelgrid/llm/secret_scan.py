@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from duelgrid.llm.arrow import as_bytes, joined, pieces
+from duelgrid.llm.arrow import as_bytes, give_back, joined, pieces
 
 SEGMENT = 1024
 
@@ -328,6 +328,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, label: str = "[{kin
             if "n_chars" in columns:
                 columns["n_chars"] = pc.utf8_length(values).cast(piece.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelgrid.llm.arrow import as_bytes, checkpointed, pieces
+from duelgrid.llm.arrow import as_bytes, checkpointed, free_name, give_back, pieces
 from duelgrid.llm.components import roots
 
 HOME_LIMIT = 64
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
         for piece in pieces(batches):
             values = np.array([fingerprint(t) for t in as_bytes(piece.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*map(piece.column, kept), pa.array(values)], [*kept, "bits"])
+        give_back()
 
     fields = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept]
     return docs.select(*kept, "text").mapInArrow(run, ", ".join([*fields, "bits long"]))
@@ -179,11 +180,12 @@ def one_of_each(docs: DataFrame, home_limit: int = HOME_LIMIT) -> DataFrame:
     none) as different documents. Rows are told apart by doc_id and hash together, so null ids are dealt out by text, and
     repeats shrink to one row a task before they are dealt.
     """
-    mark = docs.withColumn("__mark", F.xxhash64("text"))
-    key = F.struct(F.isnull("doc_id").alias("gone"), "doc_id", "__mark")  # fields that are null equal each other
-    prints = checkpointed(fingerprints(mark, "__mark"), "fingerprints")
+    mark, own = free_name(docs, "mark"), free_name(docs, "key")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    key = F.struct(F.isnull("doc_id").alias("gone"), "doc_id", F.col(mark).alias("mark"))  # fields that are null equal each other
+    prints = checkpointed(fingerprints(marked, mark), "fingerprints")
     firsts = prints.groupBy("bits").agg(F.min(key).alias("first"))
     placed = firsts.join(_rooted(prints, home_limit), "bits", "left")
-    keep = placed.groupBy(F.coalesce("root", "bits").alias("root")).agg(F.min("first").alias("__key")).select("__key")
-    once = mark.withColumn("__key", key).dropDuplicates(["__key"])
-    return once.join(keep, "__key", "left_semi").select(*docs.columns)
+    keep = placed.groupBy(F.coalesce("root", "bits").alias("root")).agg(F.min("first").alias(own)).select(own)
+    once = marked.withColumn(own, key).dropDuplicates([own])
+    return once.join(keep, own, "left_semi").select(*docs.columns)

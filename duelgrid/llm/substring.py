@@ -22,10 +22,10 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from duelgrid.llm.arrow import Windows, as_bytes, joined, spread, word_bounds, word_hashes
+from duelgrid.llm.arrow import Windows, as_bytes, free_name, give_back, joined, spread, word_bounds, word_hashes
 
 #: Perfect difference sets: every distance modulo the period occurs as exactly one difference. Fixed values.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
@@ -135,30 +135,36 @@ def _marked(hashes: np.ndarray, answers: pa.Table, step: int, slices: int) -> np
     return wanted[at] == have
 
 
-def _repeats(docs: DataFrame, length: int, period: int) -> tuple[DataFrame, DataFrame, int]:
-    """The texts in buckets, the marks of both steps by bucket, and the number of slices."""
+def _repeats(docs: DataFrame, length: int, period: int) -> tuple[GroupedData, DataFrame, int]:
+    """The texts by bucket, the marks of both steps by bucket, and the number of slices."""
     if period not in COVERS or period > length:
         raise ValueError(f"period {period} is not one of {sorted(COVERS)} up to the window length")
     buckets = spread(docs, BUCKET_BYTES)
     slices = max(1, buckets * BUCKET_BYTES // 6 // RANGE_HASHES)
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")
-    dealt = docs.withColumn("__bucket", key).repartition(buckets, "__bucket")
+    own = free_name(docs, "bucket")
+    dealt = docs.withColumn(own, key).repartition(buckets, own)
 
     def send_anchors(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _send(group[0].as_py(), 0, Bucket(as_bytes(table.column("text")), length, period).anchors()[1], slices)
+        sent = _send(group[0].as_py(), 0, Bucket(as_bytes(table.column("text")), length, period).anchors()[1], slices)
+        give_back()
+        return sent
 
     def send_windows(group: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
         bucket = Bucket(as_bytes(texts.column("text")), length, period)
         at, hashes = bucket.anchors()
         around = bucket.candidates(at[_marked(hashes, answers, 0, slices)])
-        return _send(group[0].as_py(), 1, bucket.windows(around), slices)
+        sent = _send(group[0].as_py(), 1, bucket.windows(around), slices)
+        del bucket
+        give_back()
+        return sent
 
     # one plan: its three readings of `dealt` are the same exchange, so Spark deals the texts out once
-    anchors = dealt.groupBy("__bucket").applyInArrow(send_anchors, SENT)
+    anchors = dealt.groupBy(own).applyInArrow(send_anchors, SENT)
     shared = anchors.groupBy("slice").applyInArrow(_met_again, BACK)
-    windows = dealt.groupBy("__bucket").cogroup(shared.groupBy("bucket")).applyInArrow(send_windows, SENT)
+    windows = dealt.groupBy(own).cogroup(shared.groupBy("bucket")).applyInArrow(send_windows, SENT)
     repeated = windows.groupBy("slice").applyInArrow(_met_again, BACK)
-    return dealt, shared.unionAll(repeated), slices
+    return dealt.groupBy(own), shared.unionAll(repeated), slices
 
 
 def _gone(texts: list[bytes], answers: pa.Table, length: int, period: int, slices: int) -> Iterator[np.ndarray]:
@@ -167,7 +173,10 @@ def _gone(texts: list[bytes], answers: pa.Table, length: int, period: int, slice
     at, hashes = bucket.anchors()
     around = bucket.candidates(at[_marked(hashes, answers, 0, slices)])
     covered = bucket.covered(around[_marked(bucket.windows(around), answers, 1, slices)])
-    for a, b in zip(bucket.first[:-1], bucket.first[1:]):
+    first = bucket.first
+    del bucket, at, hashes, around
+    give_back()
+    for a, b in zip(first[:-1], first[1:]):
         yield covered[a:b]
 
 
@@ -177,7 +186,8 @@ def removed(docs: DataFrame, length: int = 35, period: int = 21) -> DataFrame:
     A word goes if a window of `length` consecutive words of its text holds it and the same words start anywhere
     else, in the same text too. Windows are judged on the input. A null or empty text has no words and keeps an empty
     text; texts shorter than a window lose nothing; repeated rows are texts of their own, so they lose every word of
-    their windows. Other columns are not looked at. An empty table gives an empty one.
+    their windows. Very long texts are one entry of their bucket and are held whole. Other columns are not looked at. An
+    empty table gives an empty one.
     """
     dealt, answers, slices = _repeats(docs.select("doc_id", "text"), length, period)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -194,7 +204,7 @@ def removed(docs: DataFrame, length: int = 35, period: int = 21) -> DataFrame:
             "n_removed": pa.array(columns[1], pa.int64()), "kept": pa.array(columns[2], pa.string()),
         })
 
-    pairs = dealt.groupBy("__bucket").cogroup(answers.groupBy("bucket"))
+    pairs = dealt.cogroup(answers.groupBy("bucket"))
     return pairs.applyInArrow(keep, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
@@ -226,7 +236,7 @@ def cleaned(docs: DataFrame, length: int = 35, period: int = 21) -> DataFrame:
             columns["n_chars"] = pc.utf8_length(values).cast(table.schema.field("n_chars").type)
         return pa.table(columns)
 
-    return dealt.groupBy("__bucket").cogroup(answers.groupBy("bucket")).applyInArrow(keep, schema)
+    return dealt.cogroup(answers.groupBy("bucket")).applyInArrow(keep, schema)
 
 
 def plain(rows: list[tuple[int, str | None]], length: int) -> list[tuple[int, int, int, str]]:

@@ -207,3 +207,40 @@ def test_checksums_of_all_runs_of_words():
         words = re.findall(rb"[0-9a-z\x80-\xff]+", text.lower())
         want = Counter(zlib.crc32(b" ".join(words[j : j + n])) % 2**31 for n in range(1, 5) for j in range(len(words) - n + 1))
         assert Counter(bucket[owner == i].tolist()) == want and n_words[i] == len(words)
+
+
+def test_long_words_of_one_polynomial_stay_apart(spark):
+    """Two words of a Thue-Morse sequence and its complement collide in any polynomial modulo 2^64."""
+    from duelgrid.llm import substring
+
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    words = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    rows = [(i, " ".join([w, *(f"w{k}" for k in range(34))]), 1, "x") for i, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bucket int, n_chars string").select("doc_id", "text", "bucket")
+    assert [r["n_removed"] for r in substring.removed(docs).collect()] == [0, 0]
+    assert sorted(map(tuple, substring.cleaned(docs).collect())) == [r[:3] for r in rows]
+
+
+@pytest.mark.parametrize("kind", ["equal", "binary"])
+def test_nearest_ties_go_to_the_smaller_id(spark, kind):
+    from duelgrid.llm import ann
+
+    rng = np.random.default_rng(1)
+    ids = rng.permutation(400).tolist()
+    vectors = [[1.0, *rng.standard_normal(7).round(3).tolist()] if kind == "equal" else rng.integers(0, 2, 8).astype(float).tolist() for _ in ids]
+    if kind == "equal":
+        vectors[ids.index(0)] = [1.0] + [0.0] * 7
+    table = spark.createDataFrame(list(zip(ids, vectors)), "vec_id long, embedding array<double>")
+    got = [r["vec_id"] for r in ann.search(table, F.col("id") == 0).orderBy("rank").collect()]
+    own = vectors[ids.index(0)]
+    near = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in zip(ids, vectors) if i != 0 and any(v))
+    assert got == [i for _, i in near[:20]] if any(own) else got == []
+
+
+def test_records_of_mixed_layouts_keep_those_with_null_answers(spark):
+    from duelgrid.llm import chat
+
+    rows = [(1, "ask", None, None, None), (2, None, None, "do", None), (3, "ask", "say", None, None), (4, None, None, "do", "done"), (5, None, None, None, None)]
+    table = spark.createDataFrame(rows, "conv_id long, prompt string, response string, instruction string, output string")
+    turns = chat.canonical_turns(table).groupBy("conv_id").agg(F.count("*").alias("n")).collect()
+    assert {r["conv_id"]: r["n"] for r in turns} == {1: 2, 2: 2, 3: 2, 4: 2}
