@@ -44,7 +44,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 1024 tokens."""
-    return _in_files(docs, packing.packed(docs, remembered=REMEMBERED_UNITS))
+    return _in_files(docs, packing.packed(docs, remembered=REMEMBERED_UNITS, forget=True))
 
 
 STAGES = [
