@@ -119,12 +119,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 LONG_WORD = 32  # bytes; a polynomial modulo 2^64 is sound for words up to here only
+WORDS_AT_ONCE = 1 << 15
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
     """A 64-bit hash of every word's bytes: a polynomial of short words, XXH64 of long ones."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(0, len(starts), WORDS_AT_ONCE):
+        out[i : i + WORDS_AT_ONCE] = _some_hashes(data, starts[i : i + WORDS_AT_ONCE], ends[i : i + WORDS_AT_ONCE], lane)
+    return out
+
+
+def _some_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
     long = np.flatnonzero(ends - starts > LONG_WORD)
     digests = [xxhash.xxh64_intdigest(data[a:b].tobytes(), lane) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
     lengths = np.minimum(ends - starts, LONG_WORD)

@@ -189,7 +189,7 @@ def recognised(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for piece in pieces(batches):
+        for piece in pieces(batches, limit=1 << 20):
             texts = piece.column("text").to_pylist()
             kept = [x != NONE for x in scorer.judge(texts)[0]] if model.languages else [lettered(words_of(t or "")) for t in texts]
             yield piece.filter(pa.array(kept, pa.bool_()))

@@ -319,7 +319,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, label: str = "[{kin
         return b"".join([*out, text[done:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(batches, limit=1 << 20):
             column = piece.column("text")
             texts = as_bytes(column)
             new = [masked(t, x) if x else t for t, x in zip(texts, spans_in(texts, rules, machines))]
