@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelgrid.constants import PROFILE_FEATURES, RATING_FEATURES
 from duelgrid.operators import canonical, history, matchup, ratings
 from duelgrid.plans import adapter
 from duelgrid.plans.workspace import stage
 
-PLAIN_FEATURES = [f for f in PROFILE_FEATURES if f not in RATING_FEATURES]
-PLAIN_INPUT = matchup.input_columns(PLAIN_FEATURES)
-
 
 def bouts(spark: SparkSession, sf: str) -> DataFrame:
     return stage(spark, sf, "bouts", lambda: adapter.bouts(spark, sf))
@@ -25,42 +21,38 @@ def appearances(spark: SparkSession, sf: str) -> DataFrame:
     return stage(spark, sf, "appearances", build)
 
 
-def day_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Profiles per entity-day, written once: the feature build is shared by every later step."""
-    def build():
-        return history.day_profiles(appearances(spark, sf), adapter.entities(spark, sf))
-
-    return stage(spark, sf, "day_profiles", build)
-
-
-def _yearly(spark: SparkSession, sf: str) -> DataFrame:
+def yearly(spark: SparkSession, sf: str) -> DataFrame:
     return appearances(spark, sf).withColumn("period", F.trunc("event_date", "year"))
 
 
 def rating_states(spark: SparkSession, sf: str) -> DataFrame:
     """State history with calendar years as rating periods."""
-    return stage(spark, sf, "rating_states", lambda: ratings.rate_periods(_yearly(spark, sf), "period"))
+    return stage(spark, sf, "rating_states", lambda: ratings.rate_periods(yearly(spark, sf), "period"))
+
 
+def day_ratings(spark: SparkSession, sf: str) -> DataFrame:
+    """The rating before each entity-day."""
+    asked = yearly(spark, sf).select("entity_id", "event_date", "period")
+    return ratings.ratings_before(asked, rating_states(spark, sf), "event_date", "period")
 
-def rated_day_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    """`day_profiles` with the rating before each day."""
+
+def day_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Profiles with ratings per entity-day, written once: the feature build is shared by every later step."""
     def build():
-        asked = _yearly(spark, sf).select("entity_id", "event_date", "period")
-        before = ratings.ratings_before(asked, rating_states(spark, sf), "event_date", "period")
-        return history.day_profiles(appearances(spark, sf), adapter.entities(spark, sf), before)
+        return history.day_profiles(appearances(spark, sf), adapter.entities(spark, sf), day_ratings(spark, sf))
 
-    return stage(spark, sf, "rated_day_profiles", build)
+    return stage(spark, sf, "day_profiles", build)
 
 
 def training_table(spark: SparkSession, sf: str) -> DataFrame:
     def build():
-        return matchup.training_table(bouts(spark, sf), day_profiles(spark, sf), PLAIN_FEATURES)
+        return matchup.training_table(bouts(spark, sf), day_profiles(spark, sf))
 
     return stage(spark, sf, "training_table", build)
 
 
 def finish_table(spark: SparkSession, sf: str) -> DataFrame:
-    return stage(spark, sf, "finish_table", lambda: matchup.finish_table(bouts(spark, sf), rated_day_profiles(spark, sf)))
+    return stage(spark, sf, "finish_table", lambda: matchup.finish_table(bouts(spark, sf), day_profiles(spark, sf)))
 
 
 def next_day(spark: SparkSession, sf: str):
@@ -69,26 +61,16 @@ def next_day(spark: SparkSession, sf: str):
     return F.date_add(F.lit(newest), 1)
 
 
-def current_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Everybody's profile on the day after the newest bout."""
-    def build():
-        known = adapter.entities(spark, sf)
-        requests = known.select("entity_id", next_day(spark, sf).alias("as_of"))
-        return history.profiles_as_of(appearances(spark, sf), known, requests)
-
-    return stage(spark, sf, "current_profiles", build)
-
-
 def rated_profiles_as_of(spark: SparkSession, sf: str, known: DataFrame, requests: DataFrame) -> DataFrame:
     """Profiles with ratings for (entity_id, as_of) pairs."""
     before = ratings.ratings_before(requests, rating_states(spark, sf), "as_of")
     return history.profiles_as_of(appearances(spark, sf), known, requests, before)
 
 
-def rated_current_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    """`current_profiles` with the rating of that day."""
+def current_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Everybody's profile, with the rating, on the day after the newest bout."""
     def build():
         known = adapter.entities(spark, sf)
         return rated_profiles_as_of(spark, sf, known, known.select("entity_id", next_day(spark, sf).alias("as_of")))
 
-    return stage(spark, sf, "rated_current_profiles", build)
+    return stage(spark, sf, "current_profiles", build)

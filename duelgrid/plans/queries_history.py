@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from duelgrid.constants import FINISH_DIFFS, FINISH_FEATURES, RATING_FEATURES
+from duelgrid.constants import FINISH_DIFFS, FINISH_FEATURES, MODEL_FEATURES, PROFILE_FEATURES, RATING_FEATURES
 from duelgrid.functions import numeric as N
 from duelgrid.operators import canonical, history, matchup, models, ratings, resolve, roster, scoring
 from duelgrid.plans import adapter, derived
 from duelgrid.plans import sqlbase as S
-from duelgrid.plans.derived import PLAIN_FEATURES, PLAIN_INPUT
 from duelgrid.plans.registry import query, rounded
 
 R6 = S.r6
@@ -81,11 +80,11 @@ def static_attributes(spark, sf):
     return rounded(joined.selectExpr(*history.DAY, *[f"{v} AS {k}" for k, v in sql.items()]))
 
 
-@query(f"""WITH {S.PROFILES} SELECT a.bout_id, a.entity_id, {R6(['wins', 'losses', 'draws_nc', *S.PLAIN], 'p.')}
-FROM appearances a JOIN profiles p USING (entity_id, event_date)""")
+@query(f"""WITH {S.RATED} SELECT a.bout_id, a.entity_id, {R6(['wins', 'losses', 'draws_nc', *S.RATED_COLUMNS], 'p.')}
+FROM appearances a JOIN rated p USING (entity_id, event_date)""")
 def prefight_features(spark, sf):
-    out = history.prefight_features(derived.appearances(spark, sf), adapter.entities(spark, sf))
-    return rounded(out.select("bout_id", "entity_id", "wins", "losses", "draws_nc", *PLAIN_FEATURES))
+    out = history.prefight_features(derived.appearances(spark, sf), adapter.entities(spark, sf), derived.day_ratings(spark, sf))
+    return rounded(out.select("bout_id", "entity_id", "wins", "losses", "draws_nc", *PROFILE_FEATURES))
 
 
 @query(f"""WITH {S.APPS}, d AS (SELECT DISTINCT entity_id, event_date FROM appearances)
@@ -116,6 +115,13 @@ t AS (SELECT r.entity_id, r.as_of, {zeros}, s.event_date AS last_date, coalesce(
 as_of_profiles AS (SELECT t.entity_id, t.as_of, {features} FROM t LEFT JOIN entities e ON e.entity_id = t.entity_id)"""
 
 
+def _rated_as_of_sql(requests: str) -> str:
+    return f"""{_as_of_sql(requests)}, {S.GLICKO},
+rated_as_of AS (SELECT p.*, coalesce(s.rating, 1500) AS glicko_rating,
+  CASE WHEN s.rd IS NULL THEN 350 ELSE least(350, sqrt(s.rd * s.rd + {S.GROWTH} * (p.as_of - s.last_day))) END AS glicko_rd
+  FROM as_of_profiles p LEFT JOIN {S.LAST_STATE} s USING (entity_id))"""
+
+
 _PROFILE_COLS = ["wins", "losses", "draws_nc", *S.PLAIN]
 _MONTHLY = """SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS entity_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS as_of FROM lineitem
 UNION SELECT DISTINCT 'c' || o_custkey, CAST(date_trunc('year', o_orderdate) AS DATE) FROM orders"""
@@ -137,17 +143,17 @@ def profiles_as_of(spark, sf):
 
 
 _NEWEST = "(SELECT max(event_date) + 1 FROM bouts)"
-_CURRENT = _as_of_sql(f"SELECT entity_id, {_NEWEST} AS as_of FROM entities")
+_CURRENT = _rated_as_of_sql(f"SELECT entity_id, {_NEWEST} AS as_of FROM entities")
 
 
 @query(f"""WITH {_CURRENT} SELECT entity_id, e.name, as_of, e.dob, CASE WHEN p.dob_known THEN round(p.age + 1e-9, 6) END AS age,
-  e.height_in, e.reach_in, p.stance, wins, losses, draws_nc, {R6([c for c in S.PLAIN if c not in ('age', 'height_in', 'reach_in')], 'p.')}
-FROM as_of_profiles p JOIN entities e USING (entity_id)""")
+  e.height_in, e.reach_in, p.stance, wins, losses, draws_nc, {R6([c for c in S.RATED_COLUMNS if c not in ('age', 'height_in', 'reach_in')], 'p.')}
+FROM rated_as_of p JOIN entities e USING (entity_id)""")
 def entity_profile(spark, sf):
     """Record, physical data and features of everybody on the day after the newest bout."""
     profile = derived.current_profiles(spark, sf).alias("p")
     listed = adapter.entities(spark, sf).alias("e")
-    rest = [c for c in PLAIN_FEATURES if c not in ("age", "height_in", "reach_in")]
+    rest = [c for c in PROFILE_FEATURES if c not in ("age", "height_in", "reach_in")]
     return rounded(
         profile.join(listed, "entity_id").select(
             "entity_id", "e.name", "as_of", "e.dob", F.expr("IF(p.dob_known, p.age, NULL) AS age"), "e.height_in", "e.reach_in",
@@ -157,112 +163,123 @@ def entity_profile(spark, sf):
 
 
 # ------------------------------------------------------------------------------------ ratings
-YEARS = list(range(1995, 2002))
-_Q2 = "pow(ln(10) / 400, 2)"
-_GROWTH = "((350.0::DOUBLE * 350 - 30 * 30) / 1825)"
-
-
-def _glicko_sql() -> str:
-    ctes = [S.APPS, "state_0 AS (SELECT '' AS entity_id, 0.0::DOUBLE AS rating, 0.0::DOUBLE AS rd, DATE '1900-01-01' AS last_day WHERE false)"]
-    for i, year in enumerate(YEARS, 1):
-        day = f"DATE '{year}-01-01'"
-        ctes.append(f"""snap_{i} AS (SELECT a.entity_id, a.opponent_id, CASE a.result WHEN 'W' THEN 1.0 WHEN 'L' THEN 0.0 ELSE 0.5 END AS score,
-    coalesce(s.rating, 1500) AS r, CASE WHEN s.rd IS NULL THEN 350 ELSE least(350, sqrt(s.rd * s.rd + {_GROWTH} * ({day} - s.last_day))) END AS rd,
-    coalesce(o.rating, 1500) AS r_opp, CASE WHEN o.rd IS NULL THEN 350 ELSE least(350, sqrt(o.rd * o.rd + {_GROWTH} * ({day} - o.last_day))) END AS rd_opp
-  FROM appearances a LEFT JOIN state_{i - 1} s ON s.entity_id = a.entity_id LEFT JOIN state_{i - 1} o ON o.entity_id = a.opponent_id
-  WHERE year(a.event_date) = {year} AND a.result IN ('W', 'L', 'D')),
-damp_{i} AS (SELECT *, 1 / sqrt(1 + 3 * {_Q2} * rd_opp * rd_opp / (pi() * pi())) AS g FROM snap_{i}),
-exp_{i} AS (SELECT *, 1 / (1 + pow(10, -g * (r - r_opp) / 400)) AS e FROM damp_{i}),
-sums_{i} AS (SELECT entity_id, any_value(r) AS r, 1 / (any_value(rd) * any_value(rd)) + {_Q2} * sum(g * g * e * (1 - e)) AS denom, sum(g * (score - e)) AS surprise
-  FROM exp_{i} GROUP BY entity_id),
-state_{i} AS MATERIALIZED (SELECT entity_id, r + ln(10) / 400 / denom * surprise AS rating, greatest(30, sqrt(1 / denom)) AS rd, {day} AS last_day FROM sums_{i}
-  UNION ALL SELECT * FROM state_{i - 1} WHERE entity_id NOT IN (SELECT entity_id FROM sums_{i}))""")
-    return ",\n".join(ctes)
-
-
-_GLICKO = _glicko_sql()
-_PRE = " UNION ALL ".join(
-    f"""SELECT a.bout_id, a.entity_id, coalesce(s.rating, 1500) AS glicko_rating,
-  CASE WHEN s.rd IS NULL THEN 350 ELSE least(350, sqrt(s.rd * s.rd + {_GROWTH} * (DATE '{year}-01-01' - s.last_day))) END AS glicko_rd
-FROM appearances a LEFT JOIN state_{i} s ON s.entity_id = a.entity_id WHERE year(a.event_date) = {year}"""
-    for i, year in enumerate(YEARS)
-)
-
-
-def _yearly(spark, sf):
-    return derived.appearances(spark, sf).withColumn("period", F.trunc("event_date", "year"))
+def _rounded_growth(rd: str, days: str) -> str:
+    return f"round(least(350, sqrt({rd} * {rd} + {S.GROWTH} * ({days}))) + 1e-9, 6)"
 
 
-@query(f"WITH {_GLICKO}, pre AS ({_PRE}) SELECT bout_id, entity_id, {R6(RATING_FEATURES)} FROM pre")
+@query(f"WITH {S.APPS}, {S.GLICKO} SELECT a.bout_id, a.entity_id, {R6(RATING_FEATURES)} FROM appearances a JOIN day_ratings USING (entity_id, event_date)")
 def glicko_ratings(spark, sf):
     """Ratings before each bout, with calendar years as rating periods."""
-    app = _yearly(spark, sf)
+    app = derived.yearly(spark, sf)
     states = ratings.rate_periods(app, "period")
     before = ratings.ratings_before(app.select("entity_id", "event_date", "period"), states, "event_date", "period")
     return rounded(app.select("bout_id", *history.DAY).join(before, history.DAY).select("bout_id", "entity_id", *RATING_FEATURES))
 
 
-@query(f"""WITH {_GLICKO} SELECT entity_id, round(rating + 1e-9, 6) AS glicko_rating,
-  round(least(350, sqrt(rd * rd + {_GROWTH} * ({_NEWEST} - last_day))) + 1e-9, 6) AS glicko_rd FROM state_{len(YEARS)}""")
+@query(f"""WITH {S.APPS}, {S.GLICKO} SELECT entity_id, round(rating + 1e-9, 6) AS glicko_rating, {_rounded_growth('rd', f'{_NEWEST} - last_day')} AS glicko_rd
+FROM {S.LAST_STATE}""")
 def ratings_as_of(spark, sf):
     """Everybody's rating on the day after the newest bout. The last years are rated incrementally."""
-    app = _yearly(spark, sf)
+    app = derived.yearly(spark, sf)
     early = ratings.rate_periods(app.filter("period < '2000-01-01'"), "period")
     states = ratings.rate_periods(app, "period", initial_state=early)
     asked = states.select("entity_id", derived.next_day(spark, sf).alias("as_of"))
     return rounded(ratings.ratings_before(asked, states, "as_of").select("entity_id", *RATING_FEATURES))
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, round(least(350, sqrt(pow(l_quantity * 7, 2) + {_GROWTH} * (l_partkey % 3000))) + 1e-9, 6) AS rd FROM lineitem""")
+_DAILY = f"""WITH RECURSIVE {S.APPS}, scored AS MATERIALIZED (
+  SELECT entity_id, opponent_id, CASE result WHEN 'W' THEN 1.0 WHEN 'L' THEN 0.0 ELSE 0.5 END::DOUBLE AS score, event_date,
+    dense_rank() OVER (ORDER BY event_date) AS step
+  FROM appearances WHERE result IN ('W', 'L', 'D') AND opponent_id IS NOT NULL
+), state(entity_id, rating, rd, last_day, step) USING KEY (entity_id) AS (
+  SELECT DISTINCT entity_id, 1500.0::DOUBLE, 350.0::DOUBLE, NULL::DATE, 0::BIGINT FROM scored
+  UNION
+  SELECT entity_id, r + ln(10) / 400 / denom * surprise, greatest(30, sqrt(1 / denom)), day, step FROM (
+    SELECT entity_id, any_value(r) AS r, 1 / (any_value(rd) * any_value(rd)) + {S.Q2} * sum(g * g * e * (1 - e)) AS denom, sum(g * (score - e)) AS surprise, day, step
+    FROM (SELECT *, 1 / (1 + pow(10, -g * (r - r_opp) / 400)) AS e FROM (SELECT *, 1 / sqrt(1 + 3 * {S.Q2} * rd_opp * rd_opp / (pi() * pi())) AS g FROM (
+      SELECT a.entity_id, a.score, a.event_date AS day, a.step, s.rating AS r, o.rating AS r_opp,
+        least(350, sqrt(s.rd * s.rd + {S.GROWTH} * coalesce(a.event_date - s.last_day, 0))) AS rd,
+        least(350, sqrt(o.rd * o.rd + {S.GROWTH} * coalesce(a.event_date - o.last_day, 0))) AS rd_opp
+      FROM scored a JOIN recurring.state s ON s.entity_id = a.entity_id JOIN recurring.state o ON o.entity_id = a.opponent_id
+      WHERE a.step = (SELECT max(step) + 1 FROM state))))
+    GROUP BY entity_id, day, step)
+) SELECT entity_id, round(rating + 1e-9, 6) AS glicko_rating, {_rounded_growth('rd', f'{_NEWEST} - last_day')} AS glicko_rd FROM state"""
+
+
+def _newest_ratings(spark, sf, states):
+    asked = states.select("entity_id", derived.next_day(spark, sf).alias("as_of")).distinct()
+    return rounded(ratings.ratings_before(asked, states, "as_of").select("entity_id", *RATING_FEATURES))
+
+
+@query(_DAILY)
+def ratings_by_date(spark, sf):
+    """Everybody's rating on the day after the newest bout, with every single date as a rating period."""
+    return _newest_ratings(spark, sf, ratings.rate_periods(derived.appearances(spark, sf)))
+
+
+@query(_DAILY)
+def ratings_late_bouts(spark, sf):
+    """`ratings_by_date` from a run to which the title bouts of 2000 came late, and which had not seen 2001."""
+    app = derived.appearances(spark, sf)
+    known = app.where("event_date < DATE '2001-01-01' AND NOT (is_title AND event_date >= DATE '2000-01-01')")
+    states = ratings.rate_periods(known)
+    return _newest_ratings(spark, sf, ratings.rerated(app, states, known.select("bout_id")))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, round(least(350, sqrt(pow(l_quantity * 7, 2) + {S.GROWTH} * (l_partkey % 3000))) + 1e-9, 6) AS rd FROM lineitem""")
 def rd_growth(spark, sf):
     grown = N.grown_deviation(F.col("l_quantity") * 7, F.col("l_partkey") % 3000)
     return rounded(adapter.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", grown.alias("rd")))
 
 
 # ----------------------------------------------------------------------------------- matchups
+def _profiles(spark, sf):
+    return history.day_profiles(derived.appearances(spark, sf), adapter.entities(spark, sf), derived.day_ratings(spark, sf))
+
+
 def _diff_sql(a: str, b: str) -> str:
     def value(c):
         d = f"{a}.{c} - {b}.{c}"
         return f"CASE WHEN {d} IS NULL THEN 0 ELSE greatest(least({d}, 1500), -1500) END" if c == "days_since_last" else f"coalesce({d}, 0)"
 
-    return ", ".join(f"round({value(c)} + 1e-9, 6) AS {c}_diff" for c in S.PLAIN) + f", least({a}.n_fights, {b}.n_fights) AS min_prior_fights"
+    return ", ".join(f"round({value(c)} + 1e-9, 6) AS {c}_diff" for c in S.RATED_COLUMNS) + f", least({a}.n_fights, {b}.n_fights) AS min_prior_fights"
 
 
-@query(f"""WITH {S.PROFILES} SELECT m.bout_id, m.event_date, entity_1_id AS a_id, entity_2_id AS b_id, {_diff_sql('a', 'b')}
-FROM bouts m JOIN profiles a ON a.entity_id = m.entity_1_id AND a.event_date = m.event_date
-JOIN profiles b ON b.entity_id = m.entity_2_id AND b.event_date = m.event_date""")
+@query(f"""WITH {S.RATED} SELECT m.bout_id, m.event_date, entity_1_id AS a_id, entity_2_id AS b_id, {_diff_sql('a', 'b')}
+FROM bouts m JOIN rated a ON a.entity_id = m.entity_1_id AND a.event_date = m.event_date
+JOIN rated b ON b.entity_id = m.entity_2_id AND b.event_date = m.event_date""")
 def matchup_features(spark, sf):
     """The flagship: features from the canonical tables, both sides joined into one row per bout."""
-    profiles = history.day_profiles(derived.appearances(spark, sf), adapter.entities(spark, sf))
+    profiles = _profiles(spark, sf)
     pairs = derived.bouts(spark, sf).select(
         "bout_id", "event_date", F.col("entity_1_id").alias("a_id"), F.col("entity_2_id").alias("b_id")
     )
-    return rounded(matchup.matchup_features(pairs, profiles, features=PLAIN_FEATURES))
+    return rounded(matchup.matchup_features(pairs, profiles, features=PROFILE_FEATURES))
 
 
-_TRAIN = f"""{S.PROFILES}, oriented AS (
+_TRAIN = f"""{S.RATED}, oriented AS (
   SELECT *, right(md5(bout_id), 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS flip FROM bouts WHERE winner_side IS NOT NULL),
 ab AS (SELECT bout_id, event, event_date, weight_class, CASE WHEN flip THEN entity_2_id ELSE entity_1_id END AS a_id,
     CASE WHEN flip THEN entity_1_id ELSE entity_2_id END AS b_id, CASE WHEN flip THEN entity_2_name ELSE entity_1_name END AS a_name,
     CASE WHEN flip THEN entity_1_name ELSE entity_2_name END AS b_name,
     CAST(CASE WHEN flip THEN winner_side = 2 ELSE winner_side = 1 END AS INTEGER) AS label FROM oriented),
 train AS (SELECT ab.*, a.n_fights AS a_prior_fights, b.n_fights AS b_prior_fights, {_diff_sql('a', 'b')}
-  FROM ab JOIN profiles a ON a.entity_id = ab.a_id AND a.event_date = ab.event_date JOIN profiles b ON b.entity_id = ab.b_id AND b.event_date = ab.event_date)"""
+  FROM ab JOIN rated a ON a.entity_id = ab.a_id AND a.event_date = ab.event_date JOIN rated b ON b.entity_id = ab.b_id AND b.event_date = ab.event_date)"""
 
 
 @query(f"WITH {_TRAIN} SELECT * FROM train")
 def training_table(spark, sf):
-    profiles = history.day_profiles(derived.appearances(spark, sf), adapter.entities(spark, sf))
-    return rounded(matchup.training_table(derived.bouts(spark, sf), profiles, PLAIN_FEATURES))
+    profiles = _profiles(spark, sf)
+    return rounded(matchup.training_table(derived.bouts(spark, sf), profiles, PROFILE_FEATURES))
 
 
-_MIRRORED = [c for c in PLAIN_INPUT if c.endswith("_diff")]
+_MIRRORED = [c for c in MODEL_FEATURES if c.endswith("_diff")]
 
 
 @query(f"""WITH {_TRAIN} SELECT bout_id, label, min_prior_fights, {', '.join(_MIRRORED)}, false AS mirrored FROM train
 UNION ALL SELECT bout_id, 1 - label, min_prior_fights, {', '.join(f'round(0 - {c}, 6)' for c in _MIRRORED)}, true FROM train""")
 def mirror_rows(spark, sf):
-    rows = rounded(derived.training_table(spark, sf).select("bout_id", "label", *PLAIN_INPUT))
+    rows = rounded(derived.training_table(spark, sf).select("bout_id", "label", *MODEL_FEATURES))
     return matchup.mirror(rows)
 
 
@@ -277,20 +294,20 @@ def chrono_split(spark, sf):
 
 
 _FINISH_SQL = ", ".join(
-    [f"round(w.{c} + 1e-9, 6) AS w_{c}" for c in S.PLAIN if f"w_{c}" in FINISH_FEATURES]
-    + [f"round(l.{c} + 1e-9, 6) AS l_{c}" for c in S.PLAIN if f"l_{c}" in FINISH_FEATURES]
-    + [("round(w.{0} - l.{0} + 1e-9, 6)" if c != "glicko_rating" else "0.0::DOUBLE").format(c) + f" AS wl_{c}_diff" for c in FINISH_DIFFS]
+    [f"round(w.{c} + 1e-9, 6) AS w_{c}" for c in S.RATED_COLUMNS if f"w_{c}" in FINISH_FEATURES]
+    + [f"round(l.{c} + 1e-9, 6) AS l_{c}" for c in S.RATED_COLUMNS if f"l_{c}" in FINISH_FEATURES]
+    + [f"round(w.{c} - l.{c} + 1e-9, 6) AS wl_{c}_diff" for c in FINISH_DIFFS]
 )
 
 
-@query(f"""WITH {S.PROFILES}, wl AS (SELECT *, CASE winner_side WHEN 1 THEN entity_1_id ELSE entity_2_id END AS w_id,
+@query(f"""WITH {S.RATED}, wl AS (SELECT *, CASE winner_side WHEN 1 THEN entity_1_id ELSE entity_2_id END AS w_id,
     CASE winner_side WHEN 1 THEN entity_2_id ELSE entity_1_id END AS l_id FROM bouts WHERE winner_side IS NOT NULL AND method IN ('KO/TKO', 'SUB', 'DEC'))
 SELECT f.bout_id, f.event_date, f.method, {_FINISH_SQL}, coalesce(weight_lbs, 170) AS weight_lbs, CAST(is_female AS DOUBLE) AS is_female,
   CAST(scheduled_rounds = 5 AS DOUBLE) AS five_rounds, CAST(is_title AS DOUBLE) AS is_title
-FROM wl f JOIN profiles w ON w.entity_id = w_id AND w.event_date = f.event_date JOIN profiles l ON l.entity_id = l_id AND l.event_date = f.event_date
+FROM wl f JOIN rated w ON w.entity_id = w_id AND w.event_date = f.event_date JOIN rated l ON l.entity_id = l_id AND l.event_date = f.event_date
 WHERE f.event_date >= DATE '1996-01-01'""")
 def method_table(spark, sf):
-    profiles = history.day_profiles(derived.appearances(spark, sf), adapter.entities(spark, sf))
+    profiles = _profiles(spark, sf)
     table = matchup.finish_table(derived.bouts(spark, sf), profiles)
     return rounded(models.between(table, adapter.PERIODS.finish_min_train, None))
 
@@ -315,12 +332,11 @@ def _comparison_sql() -> str:
             number = ["NULL", "NULL"]
         else:
             text = ["NULL", "NULL"]
-            number = [{"age": f"CASE WHEN {p}.dob_known THEN {p}.age END", "reach_in": f"CASE WHEN {p}.reach_known THEN {p}.reach_in END",
-                       "glicko_rating": "1500"}.get(name, f"{p}.{name}") for p in "ab"]
+            number = [{"age": f"CASE WHEN {p}.dob_known THEN {p}.age END", "reach_in": f"CASE WHEN {p}.reach_known THEN {p}.reach_in END"}.get(name, f"{p}.{name}") for p in "ab"]
         rows.append(f"""SELECT m.a_id, m.b_id, a.as_of, {position} AS position, '{category}' AS category, '{statistic}' AS statistic,
   round(CAST({number[0]} AS DOUBLE) + 1e-9, 6) AS a_value, round(CAST({number[1]} AS DOUBLE) + 1e-9, 6) AS b_value,
   CAST({text[0]} AS VARCHAR) AS a_text, CAST({text[1]} AS VARCHAR) AS b_text
-FROM pairs m JOIN as_of_profiles a ON a.entity_id = m.a_id JOIN as_of_profiles b ON b.entity_id = m.b_id""")
+FROM pairs m JOIN rated_as_of a ON a.entity_id = m.a_id JOIN rated_as_of b ON b.entity_id = m.b_id""")
     return f"WITH {_CURRENT}, pairs AS ({_PAIRS}) " + " UNION ALL ".join(rows)
 
 
@@ -419,13 +435,20 @@ def roster_filter(spark, sf):
     return one.unionByName(two).select("entity_id", "n_fights", "division", "last_date")
 
 
-@query(f"""WITH {S.APPS}, {_SUMMARY} SELECT entity_id, round(1400 + wins - 1.96 * (350 - losses) + 1e-9, 6) AS low, round(1400 + wins + 1.96 * (350 - losses) + 1e-9, 6) AS high,
+_NOW_RD = f"least(350, sqrt(s.rd * s.rd + {S.GROWTH} * ({_NEWEST} - s.last_day)))"
+
+
+@query(f"""WITH {S.APPS}, {_SUMMARY}, {S.GLICKO} SELECT entity_id, round(coalesce(s.rating, 1500) - 1.96 * coalesce({_NOW_RD}, 350) + 1e-9, 6) AS low,
+  round(coalesce(s.rating, 1500) + 1.96 * coalesce({_NOW_RD}, 350) + 1e-9, 6) AS high,
   wins || '-' || losses || CASE WHEN draws_nc > 0 THEN '-' || draws_nc ELSE '' END AS record,
-  CASE WHEN division IS NULL THEN 'Catch/Open weight' ELSE CASE WHEN female THEN 'Women''s ' ELSE '' END || division END AS label FROM summary""")
+  CASE WHEN division IS NULL THEN 'Catch/Open weight' ELSE CASE WHEN female THEN 'Women''s ' ELSE '' END || division END AS label FROM summary LEFT JOIN {S.LAST_STATE} s USING (entity_id)""")
 def rating_interval(spark, sf):
-    """95 % range of a rating, record text and division label."""
-    s = roster.entity_summary(derived.appearances(spark, sf))
-    low, high = N.rating_range((F.lit(1400) + F.col("wins")).cast("double"), (F.lit(350) - F.col("losses")).cast("double"))
+    """95 % range of the rating on the day after the newest bout, record text and division label."""
+    summary = roster.entity_summary(derived.appearances(spark, sf))
+    asked = summary.select("entity_id", derived.next_day(spark, sf).alias("as_of"))
+    now = ratings.ratings_before(asked, derived.rating_states(spark, sf), "as_of").drop("as_of")
+    s = summary.join(now, "entity_id")
+    low, high = N.rating_range(F.col("glicko_rating"), F.col("glicko_rd"))
     return rounded(s.select(
         "entity_id", low.alias("low"), high.alias("high"),
         matchup.record_text(F.col("wins"), F.col("losses"), F.col("draws_nc")).alias("record"),

@@ -6,10 +6,9 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from duelgrid.constants import FINISH_TYPES, MODEL_GRIDS
+from duelgrid.constants import FINISH_TYPES, MODEL_FEATURES, MODEL_GRIDS
 from duelgrid.operators import matchup, metrics, models, monitor, outcomes, resolve, roster, scoring
 from duelgrid.plans import adapter, derived, pipeline
-from duelgrid.plans.derived import PLAIN_INPUT
 from duelgrid.plans.registry import query
 from duelgrid.session import run_dir, written
 from duelgrid.sources import pages, raw
@@ -29,7 +28,7 @@ def _periods(spark, sf):
 
 def _fit(spark, sf, kind="logistic_regression", params=None):
     train, _, _ = _periods(spark, sf)
-    return models.fit_bout_model(kind, params or LOGISTIC, train, PLAIN_INPUT)
+    return models.fit_bout_model(kind, params or LOGISTIC, train, MODEL_FEATURES)
 
 
 def _test_metrics(spark, sf, model):
@@ -93,7 +92,7 @@ def walk_forward_cv(spark, sf):
     rows = [
         (params["C"], year, loss)
         for params in MODEL_GRIDS["logistic_regression"]
-        for year, loss in models.walk_forward_cv("logistic_regression", params, train, P.walk_forward_years, PLAIN_INPUT)
+        for year, loss in models.walk_forward_cv("logistic_regression", params, train, P.walk_forward_years, MODEL_FEATURES)
     ]
     return spark.createDataFrame(rows, "C double, year int, log_loss double")
 
@@ -142,7 +141,7 @@ def baselines(spark, sf):
 
 
 def _refit(spark, sf):
-    return models.production_refit("logistic_regression", LOGISTIC, "sigmoid", derived.training_table(spark, sf), P, PLAIN_INPUT)
+    return models.production_refit("logistic_regression", LOGISTIC, "sigmoid", derived.training_table(spark, sf), P, MODEL_FEATURES)
 
 
 @query()
@@ -236,7 +235,7 @@ def prediction_record(spark, sf):
         "*", derived.next_day(spark, sf).alias("as_of"), F.lit(3).alias("scheduled_rounds"), F.lit(False).alias("is_title")
     )
     split = outcomes.round_split(b, P.finish_min_train, P.validation)
-    out = scoring.prediction_records(asked, derived.rated_current_profiles(spark, sf), _fit(spark, sf), _finish(spark, sf), split)
+    out = scoring.prediction_records(asked, derived.current_profiles(spark, sf), _fit(spark, sf), _finish(spark, sf), split)
     return out.select(
         "a_id", "b_id", "as_of", "weight_class", "p_a", "p_b", "side_a", "side_b", "warnings", "most_likely", "distance", "by_round", "factors", "model_type"
     )
@@ -246,8 +245,8 @@ def prediction_record(spark, sf):
 def schema_guard(spark, sf):
     """What is wrong with a saved input list that has a retired feature, next to the table at hand."""
     table = derived.training_table(spark, sf)
-    saved = [*PLAIN_INPUT[1:], "retired_diff"]
-    problems = spark.createDataFrame(models.schema_mismatches(table.columns, saved, PLAIN_INPUT), "column_name string, problem string")
+    saved = [*MODEL_FEATURES[1:], "retired_diff"]
+    problems = spark.createDataFrame(models.schema_mismatches(table.columns, saved, MODEL_FEATURES), "column_name string, problem string")
     return problems.withColumn("n_rows", table.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
@@ -274,7 +273,7 @@ def run_report(spark, sf):
     )
     scores = model_logistic(spark, sf)
     report = ranges.select(
-        F.lit("logistic_regression").alias("selected_model"), F.array(*[F.lit(f) for f in PLAIN_INPUT]).alias("feature_names"),
+        F.lit("logistic_regression").alias("selected_model"), F.array(*[F.lit(f) for f in MODEL_FEATURES]).alias("feature_names"),
         "periods", F.struct(*[scores.select(c).scalar().alias(c) for c in scores.columns]).alias("test_metrics"),
     )
     root = run_dir(spark, "reports")

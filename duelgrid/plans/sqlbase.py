@@ -250,3 +250,41 @@ mentions AS (
   FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
 ALIAS = "CASE {} WHEN 'red widget' THEN 'blue bolt' WHEN 'small ring' THEN 'nobody at all' ELSE {} END"
+
+
+# -- ratings with calendar years as periods ------------------------------------------------------
+YEARS = list(range(1995, 2002))
+Q2 = "pow(ln(10) / 400, 2)"
+GROWTH = "((350.0::DOUBLE * 350 - 30 * 30) / 1825)"
+
+
+def _glicko() -> str:
+    """CTEs state_0 to state_n, and day_ratings (entity_id, event_date, glicko_rating, glicko_rd); they need APPS."""
+    ctes = ["state_0 AS (SELECT '' AS entity_id, 0.0::DOUBLE AS rating, 0.0::DOUBLE AS rd, DATE '1900-01-01' AS last_day WHERE false)"]
+    for i, year in enumerate(YEARS, 1):
+        day = f"DATE '{year}-01-01'"
+        ctes.append(f"""snap_{i} AS (SELECT a.entity_id, a.opponent_id, CASE a.result WHEN 'W' THEN 1.0 WHEN 'L' THEN 0.0 ELSE 0.5 END AS score,
+    coalesce(s.rating, 1500) AS r, CASE WHEN s.rd IS NULL THEN 350 ELSE least(350, sqrt(s.rd * s.rd + {GROWTH} * ({day} - s.last_day))) END AS rd,
+    coalesce(o.rating, 1500) AS r_opp, CASE WHEN o.rd IS NULL THEN 350 ELSE least(350, sqrt(o.rd * o.rd + {GROWTH} * ({day} - o.last_day))) END AS rd_opp
+  FROM appearances a LEFT JOIN state_{i - 1} s ON s.entity_id = a.entity_id LEFT JOIN state_{i - 1} o ON o.entity_id = a.opponent_id
+  WHERE year(a.event_date) = {year} AND a.result IN ('W', 'L', 'D')),
+damp_{i} AS (SELECT *, 1 / sqrt(1 + 3 * {Q2} * rd_opp * rd_opp / (pi() * pi())) AS g FROM snap_{i}),
+exp_{i} AS (SELECT *, 1 / (1 + pow(10, -g * (r - r_opp) / 400)) AS e FROM damp_{i}),
+sums_{i} AS (SELECT entity_id, any_value(r) AS r, 1 / (any_value(rd) * any_value(rd)) + {Q2} * sum(g * g * e * (1 - e)) AS denom, sum(g * (score - e)) AS surprise
+  FROM exp_{i} GROUP BY entity_id),
+state_{i} AS MATERIALIZED (SELECT entity_id, r + ln(10) / 400 / denom * surprise AS rating, greatest(30, sqrt(1 / denom)) AS rd, {day} AS last_day FROM sums_{i}
+  UNION ALL SELECT * FROM state_{i - 1} WHERE entity_id NOT IN (SELECT entity_id FROM sums_{i}))""")
+    by_year = " UNION ALL ".join(
+        f"""SELECT DISTINCT a.entity_id, a.event_date, coalesce(s.rating, 1500) AS glicko_rating,
+  CASE WHEN s.rd IS NULL THEN 350 ELSE least(350, sqrt(s.rd * s.rd + {GROWTH} * (DATE '{year}-01-01' - s.last_day))) END AS glicko_rd
+FROM appearances a LEFT JOIN state_{i} s ON s.entity_id = a.entity_id WHERE year(a.event_date) = {year}"""
+        for i, year in enumerate(YEARS)
+    )
+    return ",\n".join([*ctes, f"day_ratings AS ({by_year})"])
+
+
+GLICKO = _glicko()
+LAST_STATE = f"state_{len(YEARS)}"
+RATED_COLUMNS = [*PLAIN, "glicko_rating", "glicko_rd"]
+RATED = PROFILES + ",\n" + GLICKO + """,
+rated AS (SELECT p.*, glicko_rating, glicko_rd FROM profiles p JOIN day_ratings USING (entity_id, event_date))"""

@@ -3,9 +3,9 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from duelgrid.constants import MODEL_FEATURES
 from duelgrid.operators import matchup, models, outcomes, scoring
 from duelgrid.plans import adapter, derived
-from duelgrid.plans.derived import PLAIN_INPUT
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,7 +17,7 @@ def table(spark):
 
 @pytest.fixture(scope="module")
 def model(table):
-    fitted = models.fit_bout_model("logistic_regression", {"C": 0.1}, models.between(table, None, "2000-01-01"), PLAIN_INPUT)
+    fitted = models.fit_bout_model("logistic_regression", {"C": 0.1}, models.between(table, None, "2000-01-01"), MODEL_FEATURES)
     return models.calibrated(fitted, models.between(table, "2000-01-01", None))[0]
 
 
@@ -84,7 +84,7 @@ def test_same_entity_is_rejected(spark):
 
 def test_the_finish_model_sees_real_ratings(spark):
     """Differences of the finish rows are those of the rating pass, and profiles of a later day carry its last state."""
-    entered = derived.rated_day_profiles(spark, SF).select("entity_id", "event_date", "glicko_rating")
+    entered = derived.day_profiles(spark, SF).select("entity_id", "event_date", "glicko_rating")
     bouts = derived.bouts(spark, SF).where("winner_side IS NOT NULL").selectExpr(
         "bout_id", "event_date", "IF(winner_side = 1, entity_1_id, entity_2_id) AS w", "IF(winner_side = 1, entity_2_id, entity_1_id) AS l"
     )
@@ -93,5 +93,5 @@ def test_the_finish_model_sees_real_ratings(spark):
     rows = derived.finish_table(spark, SF).join(bouts, "bout_id").select("wl_glicko_rating_diff", (F.col("w_rating") - F.col("l_rating")).alias("want")).collect()
     assert rows and all(r[0] == pytest.approx(r[1]) for r in rows) and any(abs(r[0]) > 1 for r in rows)
     last = derived.rating_states(spark, SF).groupBy("entity_id").agg(F.max_by("rating", "last_day").alias("rating"))
-    now = derived.rated_current_profiles(spark, SF).join(last, "entity_id").collect()
+    now = derived.current_profiles(spark, SF).join(last, "entity_id").collect()
     assert now and all(r["glicko_rating"] == pytest.approx(r["rating"]) for r in now) and len({r["rating"] for r in now}) > 1

@@ -57,10 +57,11 @@ class Definition:
         return rating + q / spread * gain, max(NARROWEST, spread**-0.5)
 
 
-@pytest.mark.parametrize(("seed", "compact_every"), [(11, 3), (12, 16)])
-def test_ratings_follow_the_formulas(spark, seed, compact_every):
+@pytest.mark.parametrize(("seed", "compact_every", "batch_rows"), [(11, 2, 1), (12, 16, 40), (14, 3, 100_000)])
+def test_ratings_follow_the_formulas(spark, seed, compact_every, batch_rows):
+    """Every date spread over the cluster, several jobs of a few dates each, and all dates in one job."""
     bouts = calendar_of(seed, bouts=70, dates=9)
-    got, _ = entered(spark, bouts, compact_every=compact_every)
+    got, _ = entered(spark, bouts, compact_every=compact_every, batch_rows=batch_rows)
     truth = Definition(bouts)
     want = {(b.id, who): truth.before(who, b.date) for b in bouts for who in (b.one, b.two)}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
@@ -100,3 +101,36 @@ def test_an_empty_state_is_no_state(spark):
     app = ratings.opponents(appearances_of(spark, pairings("2020-02-01 ann W bob")))
     nothing = spark.createDataFrame([], ratings.STATE_SCHEMA)
     assert ratings.rate_periods(app, initial_state=nothing).count() == 2
+
+
+def test_batches_hold_consecutive_periods_up_to_a_size():
+    sizes = [("a", 3), ("b", 3), ("c", 9), ("d", 1), ("e", 5), ("f", 1)]
+    assert ratings.batches_of(sizes, 6) == [["a", "b"], ["c"], ["d", "e"], ["f"]]
+    assert ratings.batches_of([], 6) == []
+
+
+def test_a_lookup_cuts_the_log_down_before_it_aggregates(spark, tmp_path):
+    log = ratings.StateLog(spark, str(tmp_path), 2)
+    for day in ("2020-01-01", "2020-02-01", "2020-03-01", "2020-04-01"):
+        log.add(spark.sql(f"SELECT id AS entity_id, 1500D + month(DATE '{day}') AS rating, 50D AS rd, DATE '{day}' AS last_day FROM VALUES ('x'), ('y') AS t(id)"))
+    assert [len(t) for t in log.tiers] == [0, 0, 1]
+    found = log.latest(spark.sql("SELECT 'x' AS entity_id"))
+    assert [tuple(r)[:2] for r in found.collect()] == [("x", 1504.0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join LeftSemi")  # the join stands below
+
+
+@pytest.mark.parametrize("batch_rows", [1, 30])
+def test_late_bouts_rerate_from_their_period_on(spark, batch_rows):
+    bouts = calendar_of(15, bouts=60, dates=8)
+    app = ratings.opponents(appearances_of(spark, bouts)).cache()
+    cut = sorted({b.date for b in bouts})[6]
+    dates = sorted({b.date for b in bouts})
+    late = [b.id for b in bouts if b.date in (dates[3], dates[5])][::2]
+    known = app.where(F.col("event_date") < F.lit(cut)).where(~F.col("bout_id").isin(late))
+    states = ratings.rate_periods(known, batch_rows=batch_rows)
+    again = ratings.rerated(app, states, known.select("bout_id"), batch_rows=batch_rows)
+    shown = ["entity_id", "last_day", F.round("rating", 8), F.round("rd", 8)]
+    assert sorted(again.select(*shown).collect()) == sorted(ratings.rate_periods(app).select(*shown).collect())
+    before = [r["last_day"] for r in states.where(F.col("last_day") < F.lit(dates[3])).select("last_day").distinct().collect()]
+    assert before, "some periods are kept as they were"
