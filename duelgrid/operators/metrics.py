@@ -1,18 +1,21 @@
 """Exact evaluation measures as aggregations.
 
-Nothing here orders all rows in one task or gathers them in one buffer: what needs an order
-(AUC, quantiles) first folds equal values and then works in balanced value buckets.
+Nothing here orders all rows in one task or gathers them in one buffer. What needs an order (AUC, quantiles) folds equal
+scores first, sorts the folded scores into ranges, and adds up range by range: totals inside a range, plus the totals of
+the ranges before it. Scores are read once, and every other measure comes from the folded scores too.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelgrid.constants import FINISH_TYPES
 from duelgrid.functions.numeric import clip_probability
+from duelgrid.session import run_dir, written
 
 
 def _log_loss(y: Column, p: Column) -> Column:
@@ -20,92 +23,87 @@ def _log_loss(y: Column, p: Column) -> Column:
     return -F.when(y == 1, F.log(q)).otherwise(F.log(1 - q))
 
 
-def _bucket(df: DataFrame, value: str, buckets: int) -> Column:
-    """Balanced bucket number of `value`: how many approximate quantiles lie below it."""
-    cuts = [i / buckets for i in range(1, buckets)]
-    edges = sorted(set(df.approxQuantile(value, cuts, 1 / (4 * buckets))))
-    if not edges:
-        return F.lit(0)
-    steps = " ".join(f"WHEN `{value}` <= {e!r}D THEN {i}" for i, e in enumerate(edges))
-    return F.expr(f"CASE {steps} ELSE {len(edges)} END")
+def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """Distinct values (of every group `by`) with `sums` and, as `<name>_before`, the totals of all smaller values.
 
-
-def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], buckets: int = 64) -> DataFrame:
-    """Distinct values with `sums` and, as `<name>_before`, the totals of all smaller values.
-
-    Equal values are folded first. Approximate quantiles cut the distinct values into balanced
-    buckets (their edges, at most `buckets` numbers, are all that reaches the driver); totals run
-    inside a bucket and the bucket totals, one row each, run over the buckets. The result is exact
-    whatever the edges are.
+    Equal values are folded before anything moves, so neither one value of most rows nor a group with all its values
+    close together makes a large range: ranges hold about as many folded values each, whatever the values are. Rows
+    without a value do not count. The sorted ranges are written once; of each only its totals meet those of others.
     """
-    cells = df.groupBy(value).agg(*[column.alias(name) for name, column in sums.items()])
-    placed = cells.withColumn("bucket", _bucket(df, value, buckets))
-    inside = Window.partitionBy("bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    over_buckets = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("bucket")
-        .agg(*[F.sum(name).alias(name) for name in sums])
-        .select("bucket", *[F.coalesce(F.sum(name).over(over_buckets), F.lit(0)).alias(f"{name}_offset") for name in sums])
-    )
-    running = placed.select("*", *[F.coalesce(F.sum(name).over(inside), F.lit(0)).alias(f"{name}_inside") for name in sums])
-    return running.join(offsets, "bucket").select(
-        value, *sums, *[(F.col(f"{name}_inside") + F.col(f"{name}_offset")).alias(f"{name}_before") for name in sums]
+    keys = [*by, value]
+    cells = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(*[column.alias(name) for name, column in sums.items()])
+    ranged = cells.repartitionByRange(*keys).withColumn("range", F.spark_partition_id())
+    ranged = written(ranged, run_dir(df.sparkSession, "ranges"))
+    inside = Window.partitionBy("range", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("range", *by).agg(*[F.sum(name).alias(name) for name in sums])
+    offsets = totals.select("range", *by, *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{name}_offset") for name in sums])
+    running = ranged.select("*", *[F.coalesce(F.sum(name).over(inside), F.lit(0)).alias(f"{name}_inside") for name in sums])
+    return running.join(offsets, ["range", *by]).select(
+        *keys, *sums, *[(F.col(f"{name}_inside") + F.col(f"{name}_offset")).alias(f"{name}_before") for name in sums]
     )
 
 
+def _folded(df: DataFrame, y: str, p: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct scores p with n rows, pos positives and neg negatives, and the totals of smaller scores."""
+    rows = df.select(*by, F.col(y).alias("y"), p.alias("p"))
+    hits, misses = F.sum((F.col("y") == 1).cast("long")), F.sum((F.col("y") != 1).cast("long"))
+    return cumulative_by_value(rows, "p", {"n": F.count(F.lit(1)), "pos": hits, "neg": misses}, by)
+
+
+def _auc() -> Column:
+    won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / F.lit(2.0)))
+    return F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg").cast("double"))
+
+
 def roc_auc(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Exact area under the ROC curve, ties counted half; NULL if one class is missing."""
-    positive = F.sum((F.col(y) == 1).cast("long"))
-    negative = F.sum((F.col(y) != 1).cast("long"))
-    cells = cumulative_by_value(df, p, {"pos": positive, "neg": negative})
-    won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / F.lit(2.0)))
-    return cells.agg(
-        F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("roc_auc")
-    )
+    return _folded(df, y, F.col(p)).agg(_auc().alias("roc_auc"))
+
+
+def _measures() -> list[Column]:
+    """n, accuracy at 0.5, log loss, Brier score and ROC-AUC of folded, clipped scores."""
+    rows = F.sum(F.col("pos") + F.col("neg"))
+    right = F.when(F.col("p") >= 0.5, F.col("pos")).otherwise(F.col("neg"))
+    loss = -(F.col("pos") * F.log("p") + F.col("neg") * F.log(1 - F.col("p")))
+    squares = F.col("pos") * (1 - F.col("p")) * (1 - F.col("p")) + F.col("neg") * F.col("p") * F.col("p")
+    means = [F.try_divide(F.sum(x).cast("double"), rows).alias(name) for name, x in (("accuracy", right), ("log_loss", loss), ("brier", squares))]
+    return [F.sum("n").alias("n"), *means, _auc().alias("roc_auc")]
 
 
 def binary_metrics(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """One row: n, accuracy at 0.5, log loss, Brier score and ROC-AUC."""
-    q = clip_probability(F.col(p))
-    right = ((q >= 0.5).cast("int") == F.col(y)).cast("double")
-    simple = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(right).alias("accuracy"),
-        F.avg(_log_loss(F.col(y), F.col(p))).alias("log_loss"),
-        F.avg((q - F.col(y)) * (q - F.col(y))).alias("brier"),
-    )
-    clipped = df.select(F.col(y).alias("y"), q.alias("p"))
-    return simple.withColumn("roc_auc", roc_auc(clipped).scalar())
+    """One row: n, accuracy at 0.5, log loss, Brier score and ROC-AUC. The scores are read once."""
+    return _folded(df, y, clip_probability(F.col(p))).agg(*_measures())
 
 
 def mean_log_loss(df: DataFrame, y: str = "y", p: str = "p") -> float:
     return df.agg(F.avg(_log_loss(F.col(y), F.col(p))).alias("v")).first()["v"]
 
 
-def quantile_edges(df: DataFrame, value: str, fractions: list[float]) -> list[float]:
-    """Exact quantiles with linear interpolation, from the ranks of folded values."""
-    cells = cumulative_by_value(df, value, {"n": F.count(F.lit(1))})
-    total = df.agg(F.count(value)).first()[0]
-    places = [f * (total - 1) for f in fractions]
+def _edges(cells: DataFrame, value: str, fractions: list[float]) -> list[float]:
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    places = [f * max(0, total - 1) for f in fractions]
     ranks = sorted({int(r) for x in places for r in (math.floor(x), math.ceil(x))})
-    held = cells.agg(
-        *[
-            F.max(F.when((F.col("n_before") <= r) & (F.lit(r) < F.col("n_before") + F.col("n")), F.col(value))).alias(f"r{r}")
-            for r in ranks
-        ]
-    ).first()
+    within = [(F.col("n_before") <= r) & (F.lit(r) < F.col("n_before") + F.col("n")) for r in ranks]
+    held = cells.agg(*[F.max(F.when(w, F.col(value))).alias(f"r{r}") for r, w in zip(ranks, within)]).first()
     at = {r: held[f"r{r}"] for r in ranks}
-    return [at[math.floor(x)] + (at[math.ceil(x)] - at[math.floor(x)]) * (x - math.floor(x)) for x in places]
+    return [at[math.floor(x)] + (at[math.ceil(x)] - at[math.floor(x)]) * (x - math.floor(x)) for x in places] if total else []
+
+
+def quantile_edges(df: DataFrame, value: str, fractions: list[float]) -> list[float]:
+    """Exact quantiles with linear interpolation, from the ranks of folded values; none of an empty table."""
+    return _edges(cumulative_by_value(df, value, {"n": F.count(F.lit(1))}), value, fractions)
 
 
 def calibration_curve(df: DataFrame, y: str = "y", p: str = "p", n_bins: int = 10) -> DataFrame:
-    """Mean prediction and share of positives per quantile bin; empty bins do not appear."""
-    edges = quantile_edges(df, p, [i / n_bins for i in range(n_bins + 1)])[1:-1]
-    bin_no = sum(((F.lit(e) < F.col(p)).cast("int") for e in edges), F.lit(0))
-    return df.groupBy(bin_no.alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(p).alias("mean_predicted"),
-        F.avg(F.col(y).cast("double")).alias("fraction_positive"),
+    """Mean prediction and share of positives per quantile bin; empty bins do not appear. The scores are read once."""
+    cells = written(_folded(df, y, F.col(p)), run_dir(df.sparkSession, "folded"))
+    edges = _edges(cells, "p", [i / n_bins for i in range(n_bins + 1)])[1:-1]
+    bin_no = sum(((F.lit(e) < F.col("p")).cast("int") for e in edges), F.lit(0))
+    return cells.groupBy(bin_no.alias("bin")).agg(
+        F.sum("n").alias("n"),
+        (F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("mean_predicted"),
+        F.try_divide(F.sum("pos").cast("double"), F.sum(F.col("pos") + F.col("neg"))).alias("fraction_positive"),
     )
 
 
@@ -134,38 +132,10 @@ def probability_histogram(df: DataFrame, p: str = "p", bins: int = 20) -> DataFr
 
 
 def grouped_metrics(df: DataFrame, model: str = "model", y: str = "y", p: str = "p") -> DataFrame:
-    """`binary_metrics` per model, rounded to 4 digits, in one aggregation for all models but the AUC.
-
-    The AUC folds equal probabilities per model; its prefix sums run inside balanced buckets.
-    """
-    q = clip_probability(F.col(p))
-    rows = df.select(F.col(model).alias("model"), F.col(y).alias("y"), q.alias("p"))
-    right = ((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("double")
-    simple = rows.groupBy("model").agg(
-        F.avg(right).alias("accuracy"),
-        F.avg(_log_loss(F.col("y"), F.col("p"))).alias("log_loss"),
-        F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    cells = rows.groupBy("model", "p").agg(
-        F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.sum((F.col("y") != 1).cast("long")).alias("neg")
-    ).withColumn("bucket", _bucket(rows, "p", 64))
-    inside = Window.partitionBy("model", "bucket").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.partitionBy("model").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.groupBy("model", "bucket").agg(F.sum("neg").alias("neg")).select(
-        "model", "bucket", F.coalesce(F.sum("neg").over(over), F.lit(0)).alias("offset")
-    )
-    before = F.coalesce(F.sum("neg").over(inside), F.lit(0)).alias("inside")
-    ranked = cells.select("*", before).join(offsets, ["model", "bucket"])
-    auc = ranked.groupBy("model").agg(
-        F.try_divide(
-            F.sum(F.col("pos") * (F.col("inside") + F.col("offset") + F.col("neg") / F.lit(2.0))),
-            F.sum("pos").cast("double") * F.sum("neg").cast("double"),
-        ).alias("roc_auc")
-    )
-    return simple.join(auc, "model").select(
-        "model", *[F.round(c, 4).alias(c) for c in ("accuracy", "log_loss", "brier", "roc_auc")], "n"
-    )
+    """`binary_metrics` of every model, rounded to 4 digits. The scores of all models are read once."""
+    named = df.withColumn("model", F.col(model))
+    measured = _folded(named, y, clip_probability(F.col(p)), ["model"]).groupBy("model").agg(*_measures())
+    return measured.select("model", *[F.round(c, 4).alias(c) for c in ("accuracy", "log_loss", "brier", "roc_auc")], "n")
 
 
 def _loss(p: Column, floor: float | None = 1e-12) -> Column:

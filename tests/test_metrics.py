@@ -31,6 +31,28 @@ def test_one_class_has_no_auc(spark):
     assert metrics.binary_metrics(spark.createDataFrame([(1, 0.4), (1, 0.7)], "y int, p double")).first()["roc_auc"] is None
 
 
+def test_totals_of_narrow_and_flat_models(spark):
+    """One model keeps to a narrow range, one gives nearly all rows one score."""
+    rng = random.Random(3)
+    rows = [("narrow", rng.randrange(2), 0.5 + rng.random() * 1e-9) for _ in range(4000)]
+    rows += [("flat", rng.randrange(2), 0.25 if rng.random() < 0.9 else rng.random()) for _ in range(4000)]
+    rows += [("wide", rng.randrange(2), rng.random()) for _ in range(4000)] + [("wide", 1, None)]
+    df = spark.createDataFrame(rows, "model string, y int, p double")
+    cells = metrics.cumulative_by_value(df, "p", {"n": F.count(F.lit(1))}, ["model"])
+    assert cells.where("n_before + n > 4000").count() == 0 and cells.where("model = 'flat' AND p = 0.25 AND n > 3000").count() == 1
+    got = {r["model"]: r for r in metrics.grouped_metrics(df).collect()}
+    for model in ("narrow", "flat", "wide"):
+        scored = [(y, p) for m, y, p in rows if m == model and p is not None]
+        pos, neg = (np.sort([p for y, p in scored if y == k]) for k in (1, 0))
+        won = (np.searchsorted(neg, pos, "left") + np.searchsorted(neg, pos, "right")).sum() / 2
+        assert got[model]["roc_auc"] == pytest.approx(won / len(pos) / len(neg), abs=1e-4) and got[model]["n"] == 4000
+
+
+def test_quantiles_of_nothing(spark):
+    none = spark.createDataFrame([], "y int, p double")
+    assert metrics.quantile_edges(none, "p", [0.5]) == [] and metrics.calibration_curve(none).count() == 0
+
+
 def test_histogram_closes_the_last_bin(spark):
     got = {r["bin"]: r["n"] for r in metrics.probability_histogram(spark.createDataFrame([(0.0,), (0.05,), (1.0,)], "p double")).collect()}
     assert len(got) == 20 and (got[1], got[2], got[20]) == (1, 1, 1)
