@@ -3,7 +3,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from duelgrid.constants import MODEL_FEATURES
+from duelgrid.constants import FEATURE_GROUPS, MODEL_FEATURES
 from duelgrid.operators import matchup, models, outcomes, scoring
 from duelgrid.plans import adapter, derived
 
@@ -38,7 +38,7 @@ def test_occlusion_mirrors(model, table):
     a = scoring.explain_occlusion(model, table, ["bout_id"])
     b = scoring.explain_occlusion(model, matchup.swapped(table), ["bout_id"]).withColumnRenamed("impact", "turned")
     gap = a.join(b.drop("favors"), ["bout_id", "group"]).agg(F.max(F.abs(F.col("impact") + F.col("turned"))), F.count(F.lit(1))).first()
-    assert gap[0] < 1e-12 and gap[1] == table.count() * 15
+    assert gap[0] < 1e-12 and gap[1] == table.count() * len(FEATURE_GROUPS)
 
 
 def test_joint_outcome_sums_to_one_and_mirrors(spark):
