@@ -3,9 +3,14 @@
 A text is cut by the vocabulary's pattern into words. The distinct words a task has not met lately become rows (word,
 position, token), at first one per byte. A recursive query joins neighbouring tokens with the merge table, finds the
 pair of least rank in each word, contracts its leftmost occurrence, and goes on with the words that changed, until no
-pair is left. A word that is itself a token is taken as it is, as the tiktoken library does. Words of more than
-`LONG_BYTES` bytes go through a second form of the query: it keeps one row per position and contracts all occurrences
-of the least pair from left to right at once, which ends in the same tokens because a merged token outranks its parts.
+pair is left. A word that is itself a token is taken as it is, as the tiktoken library does.
+
+A word of more than `LONG_BYTES` bytes is cut between bytes that stand side by side in no token, as no merge can cross
+there; its pieces go through the same query. A piece still above `LONG_BYTES` does so in overlapping blocks. Tokens are a
+piece's contraction if and only if every two neighbours are the contraction of their own bytes. So two overlapping
+blocks join at any token that both hold at the same place: all neighbours then come from one block or the other. Blocks
+without such a token (periods out of step, say) are contracted again from a token's start on, further back each time, at
+last from the piece's start. Work grows with the length of the word, memory with `QUERY_WORDS` blocks.
 
 Decoding joins ids with the vocabulary and strings the bytes together in order.
 
@@ -16,7 +21,9 @@ of words. DuckDB runs in memory with one thread and a limit, and writes no files
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -32,46 +39,27 @@ PIECE_BYTES = 1 << 20
 QUERY_WORDS = 10_000
 QUERY_IDS = 400_000
 LONG_BYTES = 256
+BLOCK_BYTES, STRIDE_BYTES = 48, 32
+BATCH_PIECES, WINDOW_BYTES = 100_000, 1 << 20
 REMEMBERED_WORDS, REMEMBERED_UNITS = 600_000, 350_000  # twice as many at most
 MEMORY = "200MB"
 
-# A row's key is its word's number times 4096 plus its place, so a neighbour is one key further.
+# A row's key is its word's number times 2^32 plus its place, so a neighbour is one key further.
 CONTRACT = """
 WITH RECURSIVE step AS (
-  SELECT w::BIGINT * 4096 + pos AS key, tok, true AS live FROM start
+  SELECT w::BIGINT * 4294967296 + pos AS key, tok, true AS live FROM start
   UNION ALL
   (WITH best AS (
-     SELECT a.key >> 12 AS w, min(merges.merged::BIGINT * 4096 + (a.key & 4095)) AS found
+     SELECT a.key >> 32 AS w, min(merges.merged::BIGINT * 4294967296 + (a.key & 4294967295)) AS found
      FROM step a JOIN step b ON b.key = a.key + 1 JOIN merges ON merges.pair = a.tok::BIGINT * 4294967296 + b.tok
      WHERE a.live AND b.live GROUP BY ALL
    )
-   SELECT CASE WHEN (key & 4095) > (found & 4095) THEN key - 1 ELSE key END AS key,
-     CASE WHEN (key & 4095) = (found & 4095) THEN (found >> 12)::INTEGER ELSE tok END AS tok, found IS NOT NULL AS live
-   FROM step LEFT JOIN best ON step.key >> 12 = best.w
-   WHERE step.live AND (found IS NULL OR (key & 4095) <> (found & 4095) + 1))
-)
-SELECT (key >> 12)::INTEGER AS w, list(tok ORDER BY key) AS ids FROM step WHERE NOT live GROUP BY ALL
-"""
-
-CONTRACT_LONG = """
-WITH RECURSIVE step(w, pos, tok) USING KEY (w, pos) AS (
-  SELECT w, pos, tok FROM start
-  UNION
-  (WITH now AS (
-     SELECT w, pos, tok, lead(tok) OVER line AS behind, lead(pos) OVER line AS next_pos, row_number() OVER line AS k
-     FROM recurring.step WHERE tok >= 0 AND w IN (SELECT w FROM step)
-     WINDOW line AS (PARTITION BY w ORDER BY pos)
-   ), paired AS (
-     SELECT now.*, merges.merged, min(merges.merged) OVER (PARTITION BY w) AS best
-     FROM now JOIN merges ON merges.pair = now.tok::BIGINT * 4294967296 + now.behind
-   ), hits AS (
-     SELECT *, k - row_number() OVER (PARTITION BY w ORDER BY k) AS island FROM paired WHERE merged = best
-   ), chosen AS (
-     SELECT * FROM hits QUALIFY (row_number() OVER (PARTITION BY w, island ORDER BY k)) % 2 = 1
-   )
-   SELECT w, pos, best FROM chosen UNION ALL SELECT w, next_pos, -1 FROM chosen)
+   SELECT CASE WHEN (key & 4294967295) > (found & 4294967295) THEN key - 1 ELSE key END AS key,
+     CASE WHEN (key & 4294967295) = (found & 4294967295) THEN (found >> 32)::INTEGER ELSE tok END AS tok, found IS NOT NULL AS live
+   FROM step LEFT JOIN best ON step.key >> 32 = best.w
+   WHERE step.live AND (found IS NULL OR (key & 4294967295) <> (found & 4294967295) + 1))
 )
-SELECT w, list(tok ORDER BY pos) AS ids FROM step WHERE tok >= 0 GROUP BY w
+SELECT (key >> 32)::INTEGER AS w, list(tok ORDER BY key) AS ids FROM step WHERE NOT live GROUP BY ALL
 """
 
 DECODE = "SELECT row, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary USING (id) GROUP BY row"
@@ -95,6 +83,10 @@ class Codec:
         self._fill("merges", pa.table({"pair": (left << 32) + right, "merged": merged.astype(np.int32)}))
         self._fill("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.all_ids = np.array(list(ranks.values()), np.int32)
+        self.adjacent = np.zeros((256, 256), bool)
+        for t in ranks:
+            self.adjacent[list(t[:-1]), list(t[1:])] = True
+        self.sizes = {n: len(t) for t, n in ranks.items()}
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
         self.words, self.units = Recent(REMEMBERED_WORDS), Recent(REMEMBERED_UNITS)
 
@@ -110,12 +102,12 @@ class Codec:
         finally:
             self.db.unregister(name)
 
-    def _contracted(self, words: list[bytes], sql: str) -> list[bytes]:
+    def _contracted(self, words: list[bytes]) -> list[bytes]:
         sizes = np.array([len(w) for w in words])
         number = np.repeat(np.arange(len(words)), sizes)
         place = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         start = pa.table({"w": number.astype(np.int32), "pos": place.astype(np.int32), "tok": self.single[np.frombuffer(b"".join(words), np.uint8)]})
-        found = self._ask(sql, "start", start)
+        found = self._ask(CONTRACT, "start", start)
         out = [b""] * len(words)
         lists = found.column("ids").combine_chunks()
         flat, ends = lists.flatten().to_numpy().astype("<u4"), np.cumsum(lists.value_lengths().to_numpy())
@@ -123,6 +115,87 @@ class Codec:
             out[w] = flat[a:b].tobytes()
         return out
 
+    def _joined(self, ids: array, end: int, block: array, start: int) -> int | None:
+        """Go on from `ids`, which reach up to `end`, with a block from `start` on, at the last token of both.
+
+        The new end, or None if they share no token.
+        """
+        places, at = {}, start
+        for k, t in enumerate(block):
+            places[at] = k
+            at += self.sizes[t]
+        for n in range(len(ids), 0, -1):
+            if end <= start:
+                break
+            end -= self.sizes[ids[n - 1]]
+            k = places.get(end)
+            if k is not None and block[k] == ids[n - 1]:
+                del ids[n:]
+                ids.extend(block[k + 1 :])
+                return at
+        return None
+
+    def _rejoined(self, raw: bytes, ids: array, end: int, stop: int, known: dict[bytes, array]) -> int:
+        """Go on from `ids` up to `stop` by a block that begins where one of their tokens does."""
+        least = BLOCK_BYTES
+        while True:
+            n, start = len(ids), end
+            while n and end - start < least:
+                n -= 1
+                start -= self.sizes[ids[n]]
+            part = raw[start:stop]
+            if part not in known:
+                known[part] = array("I", self._contracted([part])[0])
+            if start == 0:
+                ids[:] = known[part]
+                return stop
+            at = self._joined(ids, end, known[part], start)
+            if at is not None:
+                return at
+            least *= 4
+
+    def _in_blocks(self, words: list[bytes]) -> list[bytes]:
+        ids, ends = [array("I") for _ in words], [0] * len(words)
+        blocks = [(i, s) for i, w in enumerate(words) for s in range(0, max(1, len(w) - BLOCK_BYTES + STRIDE_BYTES), STRIDE_BYTES)]
+        for first in range(0, len(blocks), QUERY_WORDS):
+            batch = blocks[first : first + QUERY_WORDS]
+            parts = list({words[i][s : s + BLOCK_BYTES] for i, s in batch})
+            known = {p: array("I", x) for p, x in zip(parts, self._contracted(parts))}
+            for i, s in batch:
+                raw, stop = words[i], min(s + BLOCK_BYTES, len(words[i]))
+                block = known[raw[s:stop]]
+                if s == 0:
+                    ids[i].extend(block)
+                    ends[i] = stop
+                else:
+                    end = self._joined(ids[i], ends[i], block, s)
+                    ends[i] = self._rejoined(raw, ids[i], ends[i], stop, known) if end is None else end
+        return [np.array(x, "<u4").tobytes() for x in ids]
+
+    def _pieces(self, words: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        """(word number, piece) between bytes that no token holds side by side."""
+        for i, raw in enumerate(words):
+            codes, begin = np.frombuffer(raw, np.uint8), 0
+            for at in range(0, len(raw), WINDOW_BYTES):
+                window = codes[at : at + WINDOW_BYTES + 1]
+                for cut in (np.flatnonzero(~self.adjacent[window[:-1], window[1:]]) + at + 1).tolist():
+                    yield i, raw[begin:cut]
+                    begin = cut
+            yield i, raw[begin:]
+
+    def _contracted_long(self, words: list[bytes]) -> list[bytes]:
+        out, pieces_left = [bytearray() for _ in words], self._pieces(words)
+        while batch := list(islice(pieces_left, BATCH_PIECES)):
+            distinct = {p for _, p in batch}
+            short, long = [p for p in distinct if len(p) <= LONG_BYTES], [p for p in distinct if len(p) > LONG_BYTES]
+            known = dict(zip(long, self._in_blocks(long)))
+            for k in range(0, len(short), QUERY_WORDS):
+                part = short[k : k + QUERY_WORDS]
+                known.update(zip(part, self._contracted(part)))
+            for i, p in batch:
+                out[i] += known[p]
+        return [bytes(x) for x in out]
+
     def _encode_words(self, words: list[str]) -> None:
         short, long = [], []
         for w in words:
@@ -132,10 +205,10 @@ class Codec:
                 self.words.young[w] = np.array([rank], "<u4").tobytes()
             else:
                 (short if len(raw) <= LONG_BYTES else long).append((w, raw))
-        for group, sql, many in ((short, CONTRACT, QUERY_WORDS), (long, CONTRACT_LONG, 16)):
-            for i in range(0, len(group), many):
-                part = group[i : i + many]
-                self.words.young.update(zip([w for w, _ in part], self._contracted([raw for _, raw in part], sql)))
+        for i in range(0, len(short), QUERY_WORDS):
+            part = short[i : i + QUERY_WORDS]
+            self.words.young.update(zip([w for w, _ in part], self._contracted([raw for _, raw in part])))
+        self.words.young.update(zip([w for w, _ in long], self._contracted_long([raw for _, raw in long])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""

@@ -35,13 +35,30 @@ def test_bpe_equals_the_library(spark, nasty, empty, tokens):
     assert bpe.digests(empty).count() == 0
 
 
-def test_bpe_long_words_take_the_second_query(tokens):
+def test_bpe_long_words_in_blocks_equal_the_library(tokens):
     rng = random.Random(5)
     coder = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    texts = ["a" * 1000, "ab" * 700, "".join(rng.choice("abcde") for _ in range(900)), "é" * 300]
+    alphabets = ["abcde", "ab", "aA", "abcdefghijklmnopqrstuvwxyz", "ACGT", "0123456789abcdef", "=-", "的一是不了人我在有他这中大来上", "éèab", "\x00\x01\xff"]
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (230, 257, 900, 6000)]
+    texts += [bit * n for bit in ("a", "ab", "abc", "é", "=", "=-", "的一是", "theta", "returning") for n in (257, 700, 3001)]
+    texts += ["".join(rng.choice("ae=-0") * rng.randint(1, 200) for _ in range(60)) for _ in range(3)]
     assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [tokens.encode_ordinary(t) for t in texts]
 
 
+@pytest.mark.parametrize("word", ["a" * 1_000_000, "=" * 4_000_000, "ab" * 500_000, "abc" * 400_000, "a" * 16_000_000])
+def test_bpe_words_of_millions_of_characters(word):
+    """Checked without the library, which is quadratic here: the ids give
+    the word back, and every two neighbours are the contraction of their own bytes."""
+    coder = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    (found,) = coder._contracted_long([word.encode()])
+    assert coder.decode([found]) == [word.encode()]
+    names = {n: t for t, n in coder.ranks.items()}
+    ids = np.frombuffer(found, "<u4").astype(np.int64)
+    pairs = np.unique(ids[:-1] << 32 | ids[1:]).tolist()
+    for a, b in [(p >> 32, p & 0xFFFFFFFF) for p in pairs]:
+        assert np.frombuffer(coder._contracted([names[a] + names[b]])[0], "<u4").tolist() == [a, b]
+
+
 def test_bpe_decodes_given_ids_and_refuses_unknown_ones(spark, tokens):
     ids = np.array(tokens.encode_ordinary("náive  text"), "<u4").tobytes()
     df = spark.createDataFrame([(1, bytearray(ids)), (2, None)], "doc_id long, ids binary")
