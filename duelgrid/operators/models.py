@@ -8,14 +8,19 @@ from __future__ import annotations
 
 import calendar
 import datetime
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -35,6 +40,8 @@ from duelgrid.functions.numeric import safe_logit, symmetric_probability
 from duelgrid.operators.matchup import mirror
 from duelgrid.operators.metrics import mean_log_loss, multiclass_metrics
 
+FITS_AT_ONCE = 8  # small fits leave most of a cluster idle, so several run side by side
+
 
 # ------------------------------------------------------------------------------------ periods
 def with_split(table: DataFrame, periods: Periods) -> DataFrame:
@@ -145,17 +152,41 @@ def assemble(table: DataFrame, features: list[str], output: str = "features") ->
     return VectorAssembler(inputCols=features, outputCol=output).transform(table)
 
 
-def fit_bout_model(kind: str, params: dict, train: DataFrame, features: list[str] = MODEL_FEATURES) -> BoutModel:
-    """Fit on every training bout and its mirror image; mirroring never crosses a period."""
-    rows = assemble(mirror(train.select("label", *features)), features).select(
-        "features", F.col("label").cast("double").alias("label")
-    )
+@contextmanager
+def held_vectors(table: DataFrame, features: list[str]) -> Iterator[DataFrame]:
+    """Both views of every bout as (event_date, mirrored, label, features), assembled once and kept while in use.
+
+    Every fit and score of a search is a filter on these rows. Mirroring never crosses a period.
+    """
+    views = assemble(mirror(table.select("event_date", "label", *features)), features)
+    rows = views.select("event_date", "mirrored", F.col("label").cast("double").alias("label"), "features")
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fitted = make_classifier(kind, params, rows.count()).fit(rows)
+        yield rows
     finally:
         rows.unpersist()
-    return BoutModel(kind, params, list(features), fitted)
+
+
+def yearly_rows(vectors: DataFrame) -> dict[int, int]:
+    counted = vectors.groupBy(F.year("event_date").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    return {r["year"]: r["n"] for r in counted.collect()}
+
+
+def fit_vectors(kind: str, params: dict, vectors: DataFrame, n_rows: int, features: list[str]) -> BoutModel:
+    return BoutModel(kind, params, list(features), make_classifier(kind, params, n_rows).fit(vectors.select("features", "label")))
+
+
+def concurrently(spark: SparkSession, jobs: list[Callable], at_once: int = FITS_AT_ONCE) -> list:
+    """The results of independent jobs, in order; the cluster shares its slots among `at_once` of them."""
+    bound = [inheritable_thread_target(spark)(job) for job in jobs]
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(lambda job: job(), bound))
+
+
+def fit_bout_model(kind: str, params: dict, train: DataFrame, features: list[str] = MODEL_FEATURES) -> BoutModel:
+    """Fit on every training bout and its mirror image."""
+    with held_vectors(train, features) as vectors:
+        return fit_vectors(kind, params, vectors, vectors.count(), features)
 
 
 def with_turned_vector(df: DataFrame, features: list[str], source: str, target: str) -> DataFrame:
@@ -199,40 +230,74 @@ def symmetric_log_loss(model: BoutModel, table: DataFrame) -> float:
 
 
 # ---------------------------------------------------------------------------------- validation
-def walk_forward_cv(
-    kind: str, params: dict, train: DataFrame, years: tuple[int, ...], features: list[str] = MODEL_FEATURES
-) -> list[tuple[int, float]]:
-    """Log loss per year of a model fitted on everything strictly before that year."""
-    losses = []
-    for year in years:
-        model = fit_bout_model(kind, params, between(train, None, f"{year}-01-01"), features)
-        losses.append((year, symmetric_log_loss(model, between(train, f"{year}-01-01", f"{year + 1}-01-01"))))
-    return losses
-
-
-def search(kind: str, grid: list[dict], train: DataFrame, years: tuple[int, ...], features: list[str] = MODEL_FEATURES) -> tuple[dict, float]:
-    """Parameters with the lowest mean walk-forward loss; the first of equals."""
-    scored = []
-    for params in grid:
-        losses = walk_forward_cv(kind, params, train, years, features)
-        scored.append((sum(v for _, v in losses) / len(losses), params))
-    loss, params = min(scored, key=lambda t: t[0])
-    return params, loss
+@dataclass(frozen=True)
+class Fold:
+    """One search point in one year: log loss of a model fitted on everything strictly before that year."""
+
+    kind: str
+    params: dict
+    year: int
+    log_loss: float
+
+
+def walk_forward(
+    grids: dict[str, list[dict]], train: DataFrame, years: tuple[int, ...], features: list[str] = MODEL_FEATURES
+) -> list[Fold]:
+    """All folds of all families and search points, from one assembled table, several fits at a time.
+
+    A year without bouts, or without any before it, has no fold.
+    """
+    with held_vectors(train, features) as vectors:
+        sizes = yearly_rows(vectors)
+        used = [y for y in years if y in sizes and any(z < y for z in sizes)]
+
+        def fold(kind: str, params: dict, year: int) -> Fold:
+            earlier = between(vectors, None, f"{year}-01-01")
+            model = fit_vectors(kind, params, earlier, sum(n for z, n in sizes.items() if z < year), features)
+            ahead = between(vectors, f"{year}-01-01", f"{year + 1}-01-01").filter("NOT mirrored")
+            return Fold(kind, params, year, mean_log_loss(score_vectors(model, ahead), "label", "p_a"))
+
+        points = [(kind, params, year) for kind, grid in grids.items() for params in grid for year in used]
+        # the families come from cheap to dear, and the dear fits must not be left to the end
+        return concurrently(train.sparkSession, [partial(fold, *p) for p in points[::-1]])[::-1]
+
+
+def best_points(folds: list[Fold]) -> dict[str, tuple[dict, float]]:
+    """Per family the parameters of lowest mean loss over the years, and that loss; the first of equals."""
+    losses: dict[str, list[tuple[dict, list[float]]]] = {}
+    for f in folds:
+        of_kind = losses.setdefault(f.kind, [])
+        if not of_kind or of_kind[-1][0] != f.params:
+            of_kind.append((f.params, []))
+        of_kind[-1][1].append(f.log_loss)
+    means = {kind: [(params, sum(v) / len(v)) for params, v in points] for kind, points in losses.items()}
+    return {kind: min(points, key=lambda point: point[1]) for kind, points in means.items()}
 
 
 def choose_calibration(
     model: BoutModel, validation: DataFrame, candidates: tuple[str, ...] = CALIBRATIONS
 ) -> tuple[str, dict[str, float]]:
-    """Two-fold chronological cross-fit: fit on one half of the validation period, score the other."""
-    cut = str(median_date(validation))
-    halves = [between(validation, None, cut), between(validation, cut, None)]
-    scores = {}
-    for method in candidates:
-        losses = [
-            symmetric_log_loss(replace(model, calibrator=fit_calibrator(method, mirrored_raw(model, fit))), other)
-            for fit, other in (halves, halves[::-1])
-        ]
-        scores[method] = sum(losses) / 2
+    """Mean log loss of every candidate when either half of the period, by date, is calibrated on the other.
+
+    The raw scores of both orientations are computed once; a half is a filter on them.
+    """
+    late = (F.col("event_date") >= F.lit(median_date(validation))).alias("late")
+    rows = with_turned_vector(assemble(validation, model.features), model.features, "features", "turned")
+    rows = raw_probability(model, raw_probability(model, rows, "features", "raw_ab"), "turned", "raw_ba")
+    raw = rows.select(late, F.col("label").cast("double").alias("label"), "raw_ab", "raw_ba").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def loss(method: str, side: bool) -> float:
+        fit_on = raw.filter(F.col("late") == side).selectExpr(
+            "inline(array(struct(raw_ab AS p_raw, label), struct(raw_ba AS p_raw, 1 - label AS label)))"
+        )
+        calibrator = fit_calibrator(method, fit_on)
+        other = calibrator.apply(calibrator.apply(raw.filter(F.col("late") != side), "raw_ab", "p_ab"), "raw_ba", "p_ba")
+        return mean_log_loss(other.withColumn("p_a", symmetric_probability(F.col("p_ab"), F.col("p_ba"))), "label", "p_a")
+
+    try:
+        scores = {method: (loss(method, False) + loss(method, True)) / 2 for method in candidates}
+    finally:
+        raw.unpersist()
     return min(scores, key=scores.get), scores
 
 
@@ -269,20 +334,21 @@ def production_refit(
     The calibrator sees out-of-time predictions only: each year since the validation start is
     scored by a model of the years before it.
     """
-    rows = between(table, periods.min_train, None)
-    model = fit_bout_model(kind, params, rows, features)
-    if calibration == "none":
-        return model
-    last_year = rows.agg(F.max(F.year("event_date"))).first()[0]
-    scored = None
-    for year in range(int(periods.validation[:4]), last_year + 1):
-        held = between(rows, f"{year}-01-01", f"{year + 1}-01-01")
-        if held.isEmpty():
-            continue
-        earlier = fit_bout_model(kind, params, between(rows, None, f"{year}-01-01"), features)
-        part = mirrored_raw(earlier, held)
-        scored = part if scored is None else scored.unionByName(part)
-    return replace(model, calibrator=fit_calibrator(calibration, scored))
+    with held_vectors(between(table, periods.min_train, None), features) as vectors:
+        sizes = yearly_rows(vectors)
+        model = fit_vectors(kind, params, vectors, sum(sizes.values()), features)
+        if calibration == "none":
+            return model
+
+        def out_of_time(year: int) -> DataFrame:
+            earlier = between(vectors, None, f"{year}-01-01")
+            before = fit_vectors(kind, params, earlier, sum(n for z, n in sizes.items() if z < year), features)
+            ahead = between(vectors, f"{year}-01-01", f"{year + 1}-01-01")
+            return raw_probability(before, ahead, "features", "p_raw").select("p_raw", "label")
+
+        years = [y for y in sorted(sizes) if y >= int(periods.validation[:4]) and any(z < y for z in sizes)]
+        parts = concurrently(table.sparkSession, [partial(out_of_time, y) for y in years])
+        return replace(model, calibrator=fit_calibrator(calibration, reduce(DataFrame.unionByName, parts)))
 
 
 # --------------------------------------------------------------------------------- importances

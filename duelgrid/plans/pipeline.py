@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,9 +85,9 @@ def training_run(
     validation = models.between(table, periods.validation, periods.test)
     test = models.between(table, periods.test, None)
 
+    folds = models.walk_forward(grids, train, periods.walk_forward_years, features)
     fitted, report = {}, {}
-    for kind, grid in grids.items():
-        params, cv = models.search(kind, grid, train, periods.walk_forward_years, features)
+    for kind, (params, cv) in models.best_points(folds).items():
         model, cross = models.calibrated(models.fit_bout_model(kind, params, train, features), validation)
         fitted[kind] = model
         report[kind] = {"params": params, "walk_forward_log_loss": cv, "calibration": model.calibrator.method,
@@ -104,9 +105,7 @@ def training_run(
         models.score_symmetric(m, test).select(F.lit(k).alias("model"), F.col("label").alias("y"), F.col("p_a").alias("p"))
         for k, m in fitted.items()
     ]
-    stacked = scored[0]
-    for more in scored[1:]:
-        stacked = stacked.unionByName(more)
+    stacked = written(reduce(DataFrame.unionByName, scored), f"{root}/scores")
     test_rows = [r.asDict() for r in metrics.grouped_metrics(stacked).collect()]
 
     finish_losses = models.finish_c_search(finish_rows, periods)
@@ -130,6 +129,7 @@ def training_run(
         split,
         {
             "selected_model": chosen,
+            "search": [{"model": f.kind, "params": f.params, "year": f.year, "log_loss": f.log_loss} for f in folds],
             "validation": report,
             "test_results": test_rows,
             "finish_type": {"C": finish_c, "test": finish_scores},

@@ -88,12 +88,10 @@ def finish_type_c_search(spark, sf):
 
 @query()
 def walk_forward_cv(spark, sf):
+    """Loss of every search point of the logistic family in every walk-forward year."""
     train, _, _ = _periods(spark, sf)
-    rows = [
-        (params["C"], year, loss)
-        for params in MODEL_GRIDS["logistic_regression"]
-        for year, loss in models.walk_forward_cv("logistic_regression", params, train, P.walk_forward_years, MODEL_FEATURES)
-    ]
+    grid = {"logistic_regression": MODEL_GRIDS["logistic_regression"]}
+    rows = [(f.params["C"], f.year, f.log_loss) for f in models.walk_forward(grid, train, P.walk_forward_years, MODEL_FEATURES)]
     return spark.createDataFrame(rows, "C double, year int, log_loss double")
 
 

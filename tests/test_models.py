@@ -3,9 +3,9 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from duelgrid.constants import FEATURE_GROUPS, MODEL_FEATURES
+from duelgrid.constants import FEATURE_GROUPS, MODEL_FEATURES, SIMPLICITY_MARGIN
 from duelgrid.operators import matchup, models, outcomes, scoring
-from duelgrid.plans import adapter, derived
+from duelgrid.plans import adapter, derived, pipeline
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,6 +66,58 @@ def test_calibration_cut_is_the_middle_row(spark):
     assert str(models.median_date(df)) == "2020-01-02"
 
 
+SMALL_GRIDS = {
+    "logistic_regression": [{"C": 0.01}, {"C": 1.0}],
+    "random_forest": [{"numTrees": 4, "maxDepth": 3, "minInstancesPerNode": 20}],
+    "boosted_trees": [{"maxIter": 3, "maxDepth": 2}],
+}
+
+
+def test_walk_forward_equals_single_fits(table):
+    """Every fold of every family against a model fitted alone; a year without bouts has no fold."""
+    train = models.between(table, adapter.PERIODS.min_train, adapter.PERIODS.validation)
+    folds = models.walk_forward(SMALL_GRIDS, train, (1998, 1999, 2050), MODEL_FEATURES)
+    assert [(f.kind, f.params, f.year) for f in folds] == [(k, p, y) for k, grid in SMALL_GRIDS.items() for p in grid for y in (1998, 1999)]
+    for f in folds:
+        alone = models.fit_bout_model(f.kind, f.params, models.between(train, None, f"{f.year}-01-01"), MODEL_FEATURES)
+        ahead = models.between(train, f"{f.year}-01-01", f"{f.year + 1}-01-01")
+        assert f.log_loss == pytest.approx(models.symmetric_log_loss(alone, ahead), abs=1e-7)
+    best = models.best_points(folds)
+    means = [(a.log_loss + b.log_loss) / 2 for a, b in zip(folds[::2], folds[1::2])]
+    assert best["logistic_regression"][1] == pytest.approx(min(means[:2])) and [best[k][1] for k in list(best)[1:]] == pytest.approx(means[2:])
+
+
+def test_the_first_of_equal_search_points_is_taken():
+    folds = [models.Fold("x", {"a": a}, y, v) for a, losses in ((1, (3, 5)), (2, (5, 1)), (3, (2, 4))) for y, v in zip((1, 2), losses)]
+    assert models.best_points(folds) == {"x": ({"a": 2}, 3.0)}
+
+
+def test_calibration_halves_equal_separate_fits(table):
+    fitted = models.fit_bout_model("logistic_regression", {"C": 0.1}, models.between(table, None, "2000-01-01"), MODEL_FEATURES)
+    later = models.between(table, "2000-01-01", None)
+    best, scores = models.choose_calibration(fitted, later)
+    cut = str(models.median_date(later))
+    halves = [models.between(later, None, cut), models.between(later, cut, None)]
+    for method, score in scores.items():
+        losses = [
+            models.symmetric_log_loss(replace(fitted, calibrator=models.fit_calibrator(method, models.mirrored_raw(fitted, a))), b)
+            for a, b in (halves, halves[::-1])
+        ]
+        assert score == pytest.approx(sum(losses) / 2, abs=1e-9)
+    assert best == min(scores, key=scores.get)
+
+
+def test_a_run_selects_between_three_families(spark):
+    run = pipeline.training_run(derived.bouts(spark, SF), derived.day_profiles(spark, SF), adapter.PERIODS, SMALL_GRIDS)
+    report = run.report
+    assert set(report["validation"]) == set(SMALL_GRIDS) and len(report["search"]) == 4 * len(adapter.PERIODS.walk_forward_years)
+    losses = {k: v["validation_log_loss"] for k, v in report["validation"].items()}
+    best = min(losses, key=losses.get)
+    simple = losses["logistic_regression"] - losses[best] < SIMPLICITY_MARGIN
+    assert report["selected_model"] == run.selected.kind == run.deployed.kind == ("logistic_regression" if simple else best)
+    assert {r["model"] for r in report["test_results"]} >= set(SMALL_GRIDS)
+
+
 def test_periods_and_features_are_checked():
     with pytest.raises(ValueError):
         models.check_periods(adapter.Periods("2001-01-01", "2000-01-01", "2002-01-01"))
