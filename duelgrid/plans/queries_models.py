@@ -235,7 +235,8 @@ def prediction_record(spark, sf):
     split = outcomes.round_split(b, P.finish_min_train, P.validation)
     out = scoring.prediction_records(asked, derived.current_profiles(spark, sf), _fit(spark, sf), _finish(spark, sf), split)
     return out.select(
-        "a_id", "b_id", "as_of", "weight_class", "p_a", "p_b", "side_a", "side_b", "warnings", "most_likely", "distance", "by_round", "factors", "model_type"
+        "a_id", "b_id", "as_of", "weight_class", "p_a", "p_b", "p_ab", "p_ba", "side_a", "side_b", "warnings", "most_likely", "distance", "by_round",
+        "inputs", "factors", "model_type"
     )
 
 

@@ -41,6 +41,28 @@ def test_occlusion_mirrors(model, table):
     assert gap[0] < 1e-12 and gap[1] == table.count() * len(FEATURE_GROUPS)
 
 
+@pytest.mark.parametrize("kind, params", [("logistic_regression", {"C": 0.1}), ("random_forest", {"numTrees": 3, "maxDepth": 3})])
+def test_factors_in_the_row_equal_occlusion(spark, model, table, kind, params):
+    """Also for a model that has no closed form; the plan neither generates rows nor exchanges them."""
+    if kind != model.kind:
+        model = replace(models.fit_bout_model(kind, params, table, MODEL_FEATURES), calibrator=model.calibrator)
+    rows = models.assemble(table, MODEL_FEATURES, "win_input")
+    got = scoring.with_factors(model, rows).select("bout_id", "p_a", "inputs", "factors")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    flat = got.selectExpr("bout_id", "inline(factors)").join(
+        scoring.explain_occlusion(model, table, ["bout_id"]).withColumnsRenamed({"impact": "want", "favors": "side"}), ["bout_id", "group"]
+    )
+    # at an impact of nearly 0 the last digit decides which side is named
+    wrong = (F.abs(F.col("impact") - F.col("want")) > 1e-12) | ((F.col("favors") != F.col("side")) & (F.abs("want") > 1e-12))
+    seen = flat.agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("wrong")).first()
+    assert (seen["n"], seen["wrong"]) == (table.count() * len(FEATURE_GROUPS), 0)
+    one = got.orderBy("bout_id").first()
+    assert [f["rank"] for f in one["factors"]] == sorted(f["rank"] for f in one["factors"])
+    place = {f: i for i, f in enumerate(MODEL_FEATURES)}
+    assert all(f["input_values"] == [one["inputs"][place[f"{c}_diff"]] for c in FEATURE_GROUPS[f["group"]] if f"{c}_diff" in place] for f in one["factors"])
+
+
 def test_joint_outcome_sums_to_one_and_mirrors(spark):
     row = spark.sql("SELECT 0.7D AS p, array(0.2D, 0.3D, 0.5D) AS ga, array(0.6D, 0.1D, 0.3D) AS gb")
     ab = row.select(outcomes.six_way(F.col("p"), F.col("ga"), F.col("gb")).alias("j")).first()["j"]
