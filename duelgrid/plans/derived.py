@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duelgrid.constants import MODEL_GRIDS
 from duelgrid.operators import canonical, history, matchup, ratings
-from duelgrid.plans import adapter
-from duelgrid.plans.workspace import stage
+from duelgrid.plans import adapter, pipeline
+from duelgrid.plans.workspace import stage, store
+from duelgrid.sources import model_store
+
+GRIDS = {"logistic_regression": MODEL_GRIDS["logistic_regression"]}  # the families that registered training runs search
 
 
 def bouts(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,3 +78,17 @@ def current_profiles(spark: SparkSession, sf: str) -> DataFrame:
         return rated_profiles_as_of(spark, sf, known, known.select("entity_id", next_day(spark, sf).alias("as_of")))
 
     return stage(spark, sf, "current_profiles", build)
+
+
+def training_store(spark: SparkSession, sf: str) -> str:
+    """Where training runs on this source leave their reports and models."""
+    return store(spark, sf, "training")
+
+
+def forecaster(spark: SparkSession, sf: str) -> pipeline.Forecaster:
+    """The deployed models of the newest training run on this source; without one, a run on the staged tables is made."""
+    root = training_store(spark, sf)
+    if model_store.current(spark, root) is None:
+        run = pipeline.training_run(bouts(spark, sf), day_profiles(spark, sf), adapter.PERIODS, GRIDS)
+        pipeline.save_run(run, root, spark)
+    return pipeline.load_forecaster(spark, root)

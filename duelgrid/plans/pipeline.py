@@ -8,10 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelgrid.constants import MODEL_FEATURES, MODEL_GRIDS, PERIODS, PROFILE_FEATURES, SIMPLICITY_MARGIN, Periods
-from duelgrid.operators import canonical, history, matchup, metrics, models, outcomes, ratings, resolve
-from duelgrid.session import run_dir, written
-from duelgrid.sources import raw
+from duelgrid.constants import (
+    FINISH_FEATURES, MODEL_FEATURES, MODEL_GRIDS, PERIODS, PROFILE_FEATURES, SIMPLICITY_MARGIN, Periods,
+)
+from duelgrid.operators import canonical, history, matchup, metrics, models, monitor, outcomes, ratings, resolve
+from duelgrid.session import path_exists, run_dir, written
+from duelgrid.sources import model_store, raw
 
 
 @dataclass(frozen=True)
@@ -59,7 +61,10 @@ def rated_profiles(data: Canonical, period_col: str | None = None) -> DataFrame:
 class TrainingRun:
     selected: models.BoutModel
     deployed: models.BoutModel
+    candidates: dict[str, models.BoutModel]
+    evaluated_finish: models.FinishModel
     finish: models.FinishModel
+    evaluated_split: DataFrame
     round_split: DataFrame
     report: dict
 
@@ -70,10 +75,12 @@ def training_run(
     periods: Periods = PERIODS,
     grids: dict[str, list[dict]] = MODEL_GRIDS,
     profile_features: list[str] = PROFILE_FEATURES,
+    refit: bool = True,
 ) -> TrainingRun:
     """Search, calibrate and select on earlier periods, score the test period once, refit on all.
 
-    The feature tables are built once. Only scores, parameters and coefficients reach the driver.
+    The feature tables are built once. Only scores, parameters and coefficients reach the driver. Without `refit` the
+    evaluated models are the deployed ones.
     """
     models.check_periods(periods)
     spark: SparkSession = bouts.sparkSession
@@ -115,17 +122,24 @@ def training_run(
     evaluated_finish = models.fit_finish_model(finish_train, finish_c)
     finish_scores = metrics.multiclass_metrics(models.score_finish(evaluated_finish, finish_test)).first().asDict()
 
-    deployed = models.production_refit(chosen, report[chosen]["params"], selected.calibrator.method, table, periods, features)
-    deployed_finish = models.fit_finish_model(models.between(finish_rows, periods.finish_min_train, None), finish_c)
+    evaluated_split = written(outcomes.round_split(bouts, periods.finish_min_train, periods.validation), f"{root}/evaluated_split")
+    deployed, deployed_finish, split = selected, evaluated_finish, evaluated_split
+    if refit:
+        params, calibration = report[chosen]["params"], selected.calibrator.method
+        deployed = models.production_refit(chosen, params, calibration, table, periods, features)
+        deployed_finish = models.fit_finish_model(models.between(finish_rows, periods.finish_min_train, None), finish_c)
+        split = written(outcomes.round_split(bouts, periods.finish_min_train, None), f"{root}/round_split")
     both = models.score_symmetric(selected, test).withColumnRenamed("p_a", "p_evaluated").drop("p_ab", "p_ba")
     both = models.score_symmetric(deployed, both).withColumnRenamed("p_a", "p_deployed")
     agreement = metrics.refit_agreement(both).first().asDict()
     ranges = {r["split"]: r.asDict() for r in metrics.date_ranges(models.with_split(table, periods)).collect()}
-    split = written(outcomes.round_split(bouts, periods.finish_min_train, None), f"{root}/round_split")
     return TrainingRun(
         selected,
         deployed,
+        fitted,
+        evaluated_finish,
         deployed_finish,
+        evaluated_split,
         split,
         {
             "selected_model": chosen,
@@ -135,7 +149,8 @@ def training_run(
             "finish_type": {"C": finish_c, "test": finish_scores},
             "agreement": agreement,
             "periods": ranges,
-            "refit_end": table.agg(F.max("event_date")).first()[0],
+            "refit_on_all_data": refit,
+            "refit_end": (table if refit else validation).agg(F.max("event_date")).first()[0],
             "newest_date": bouts.agg(F.max("event_date")).first()[0],
             "n_bouts": bouts.count(),
             "feature_names": features,
@@ -143,18 +158,95 @@ def training_run(
     )
 
 
+RUN_SCHEMA = """saved_at timestamp, run_no int, build string, selected_model string, feature_names array<string>, n_bouts long,
+  newest_date date, refit_on_all_data boolean, refit_end date, mean_abs_diff double, same_favourite_rate double,
+  test_log_loss double, best_baseline_log_loss double, validation_log_loss double,
+  search array<struct<model string, params map<string, double>, year int, log_loss double>>,
+  validation array<struct<model string, params map<string, double>, walk_forward_log_loss double, calibration string,
+    validation_log_loss double>>,
+  test_results array<struct<model string, accuracy double, log_loss double, brier double, roc_auc double, n long>>,
+  finish_type struct<C double, n long, log_loss double, accuracy double>,
+  periods array<struct<split string, start_date date, end_date date, n_bouts long>>"""
+
+
+def run_row(run: TrainingRun, run_no: int, spark: SparkSession, build: str | None = None) -> DataFrame:
+    """The report of a run as one nested row; its plain columns are what the quality gate reads."""
+    report = run.report
+    results = {r["model"]: r for r in report["test_results"]}
+    naive = min(r["log_loss"] for m, r in results.items() if m.startswith("baseline_") and m != "baseline_always_50")
+    chosen = report["selected_model"]
+
+    def numbers(params: dict) -> dict:
+        return {k: float(v) for k, v in params.items()}
+
+    row = {
+        **{c: report[c] for c in ("selected_model", "feature_names", "n_bouts", "newest_date", "refit_on_all_data", "refit_end")},
+        **report["agreement"],
+        "run_no": run_no,
+        "build": build,
+        "test_log_loss": results[chosen]["log_loss"],
+        "best_baseline_log_loss": naive,
+        "validation_log_loss": report["validation"][chosen]["validation_log_loss"],
+        "search": [{**f, "params": numbers(f["params"])} for f in report["search"]],
+        "validation": [{"model": m, **v, "params": numbers(v["params"])} for m, v in report["validation"].items()],
+        "test_results": report["test_results"],
+        "finish_type": {"C": report["finish_type"]["C"], **report["finish_type"]["test"]},
+        "periods": list(report["periods"].values()),
+    }
+    return spark.createDataFrame([row], RUN_SCHEMA).withColumn("saved_at", F.current_timestamp())
+
+
 def gate_row(run: TrainingRun, run_no: int, spark: SparkSession) -> DataFrame:
     """The run as one row for the quality gate."""
-    results = {r["model"]: r for r in run.report["test_results"]}
-    naive = min(r["log_loss"] for m, r in results.items() if m.startswith("baseline_") and m != "baseline_always_50")
-    chosen = run.report["selected_model"]
-    row = (
-        run_no, results[chosen]["log_loss"], naive, run.report["validation"][chosen]["validation_log_loss"],
-        run.report["n_bouts"], run.report["refit_end"], run.report["newest_date"],
-        run.report["agreement"]["mean_abs_diff"], run.report["agreement"]["same_favourite_rate"],
-    )
-    return spark.createDataFrame(
-        [row],
-        "run_no int, test_log_loss double, best_baseline_log_loss double, validation_log_loss double, n_bouts long, "
-        "refit_end date, newest_date date, mean_abs_diff double, same_favourite_rate double",
+    return run_row(run, run_no, spark).select("run_no", *monitor.GATE_COLUMNS)
+
+
+def save_run(run: TrainingRun, store: str, spark: SparkSession) -> DataFrame:
+    """Append the report to the store's table of runs, gate it against the run before it, and save its models.
+
+    Returns the gate's row. A run that fails the gate leaves its report, but its models are not made current, so
+    forecasts go on with those of the last run that passed; the first run of a store has nothing to fall back on and
+    is saved in any case.
+    """
+    held = runs(spark, store)
+    last = held.agg(F.max("run_no")).first()[0] if held is not None else None
+    row = run_row(run, (last or 0) + 1, spark)
+    judged = monitor.quality_gate(row if held is None else held.unionByName(row)).filter(F.col("run_no") == (last or 0) + 1)
+    judged = judged.select("run_no", *monitor.GATE_COLUMNS, "failures")
+    verdict = judged.first()
+    build = None
+    if not verdict["failures"] or model_store.current(spark, store) is None:
+        fitted = {f"candidate_{kind}": model for kind, model in run.candidates.items()}
+        fitted |= {"evaluated": run.selected, "deployed": run.deployed}
+        fitted |= {"evaluated_finish": run.evaluated_finish, "deployed_finish": run.finish}
+        build = model_store.save(spark, store, fitted, {"evaluated_split": run.evaluated_split, "round_split": run.round_split})
+    monitor.append_run(run_row(run, (last or 0) + 1, spark, build), store)
+    return spark.createDataFrame([verdict], judged.schema)
+
+
+def runs(spark: SparkSession, store: str) -> DataFrame | None:
+    """All reports of a store, None before the first."""
+    if not path_exists(spark, f"{store}/runs/_SUCCESS"):
+        return None
+    return spark.read.schema(RUN_SCHEMA).parquet(f"{store}/runs")
+
+
+@dataclass(frozen=True)
+class Forecaster:
+    """What a forecast needs of a saved run."""
+
+    win: models.BoutModel
+    finish: models.FinishModel
+    round_split: DataFrame
+
+
+def load_forecaster(
+    spark: SparkSession, store: str, features: list[str] = MODEL_FEATURES, finish_features: list[str] = FINISH_FEATURES
+) -> Forecaster:
+    """The deployed models of a store; refused if they were fitted on other inputs than the ones asked for."""
+    saved = model_store.current(spark, store)
+    if saved is None:
+        raise FileNotFoundError(f"no saved training run below {store}")
+    return Forecaster(
+        saved.bout_model("deployed", features), saved.finish_model("deployed_finish", finish_features), saved.table("round_split")
     )

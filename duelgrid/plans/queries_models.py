@@ -11,7 +11,7 @@ from duelgrid.operators import matchup, metrics, models, monitor, outcomes, reso
 from duelgrid.plans import adapter, derived, pipeline
 from duelgrid.plans.registry import query
 from duelgrid.session import run_dir, written
-from duelgrid.sources import pages, raw
+from duelgrid.sources import model_store, pages, raw
 
 P = adapter.PERIODS
 LOGISTIC = MODEL_GRIDS["logistic_regression"][0]
@@ -178,7 +178,10 @@ def explain_occlusion(spark, sf):
 
 @query()
 def score_card(spark, sf):
-    """Card pages -> records -> ids -> profiles -> win, finish-type and round probabilities with notes."""
+    """Card pages -> records -> ids -> profiles -> win, finish-type and round probabilities with notes.
+
+    The models are the deployed ones of the newest training run; nothing is fitted here.
+    """
     from duelgrid.plans.queries_ingest import card_pages
 
     app, known = derived.appearances(spark, sf), adapter.entities(spark, sf)
@@ -204,10 +207,9 @@ def score_card(spark, sf):
     # names that nobody carries are debutants: they have no row and no history, so their profile is all priors
     debutants = on_cards.select("entity_id").distinct().join(known, "entity_id", "left_anti")
     profiles = derived.rated_profiles_as_of(spark, sf, known.unionByName(debutants, allowMissingColumns=True), on_cards)
-    split = outcomes.round_split(derived.bouts(spark, sf), P.finish_min_train, P.validation)
-    scored = scoring.score_matchups(
-        scoring.split_same_entity(matchups)[0], profiles, _fit(spark, sf), _finish(spark, sf), split
-    )
+    saved = derived.forecaster(spark, sf)
+    valid, _ = scoring.split_same_entity(matchups)
+    scored = scoring.score_matchups(valid, profiles, saved.win, saved.finish, saved.round_split)
     notes = F.filter(
         F.array(
             scoring.card_notes(F.col("entity_1"), F.col("a_id"), F.col("a_prior_fights")),
@@ -232,8 +234,8 @@ def prediction_record(spark, sf):
     asked = context.select(
         "*", derived.next_day(spark, sf).alias("as_of"), F.lit(3).alias("scheduled_rounds"), F.lit(False).alias("is_title")
     )
-    split = outcomes.round_split(b, P.finish_min_train, P.validation)
-    out = scoring.prediction_records(asked, derived.current_profiles(spark, sf), _fit(spark, sf), _finish(spark, sf), split)
+    saved = derived.forecaster(spark, sf)
+    out = scoring.prediction_records(asked, derived.current_profiles(spark, sf), saved.win, saved.finish, saved.round_split)
     return out.select(
         "a_id", "b_id", "as_of", "weight_class", "p_a", "p_b", "p_ab", "p_ba", "side_a", "side_b", "warnings", "most_likely", "distance", "by_round",
         "inputs", "factors", "model_type"
@@ -242,41 +244,33 @@ def prediction_record(spark, sf):
 
 @query()
 def schema_guard(spark, sf):
-    """What is wrong with a saved input list that has a retired feature, next to the table at hand."""
-    table = derived.training_table(spark, sf)
-    saved = [*MODEL_FEATURES[1:], "retired_diff"]
-    problems = spark.createDataFrame(models.schema_mismatches(table.columns, saved, MODEL_FEATURES), "column_name string, problem string")
-    return problems.withColumn("n_rows", table.agg(F.count(F.lit(1)).alias("n")).scalar())
+    """Inputs of every saved model next to the columns of the table at hand, problems named.
+
+    The winner models fit the training table and the finish models do not, except for inputs that both tables hold.
+    """
+    derived.forecaster(spark, sf)
+    return model_store.input_problems(spark, derived.training_store(spark, sf), derived.training_table(spark, sf))
 
 
 @query()
 def training_run(spark, sf):
-    """Raw text to gate: ingest, yearly ratings, all 40 inputs, search, calibration, test, refit, gate."""
+    """Raw text to gate: ingest, yearly ratings, all 40 inputs, search, calibration, test, refit, saved models and report.
+
+    Gated against the run before it in the store, if there is one.
+    """
     data = pipeline.ingest(*[
         raw.clean_cells(t(spark, sf))
         for t in (adapter.raw_events, adapter.raw_results, adapter.raw_stats, adapter.raw_entities)
     ])
     yearly = replace(data, appearances=data.appearances.withColumn("period", F.trunc("event_date", "year")))
-    grids = {"logistic_regression": MODEL_GRIDS["logistic_regression"]}
-    run = pipeline.training_run(data.bouts, pipeline.rated_profiles(yearly, "period"), P, grids)
-    row = pipeline.gate_row(run, 1, spark)
-    return monitor.quality_gate(row)
+    run = pipeline.training_run(data.bouts, pipeline.rated_profiles(yearly, "period"), P, derived.GRIDS)
+    return pipeline.save_run(run, derived.training_store(spark, sf), spark)
 
 
 @query()
 def run_report(spark, sf):
-    """One run with nested periods and test metrics, appended to the runs table and read back as JSON."""
-    table = models.with_split(derived.training_table(spark, sf), P)
-    ranges = metrics.date_ranges(table).agg(
-        F.map_from_entries(F.collect_list(F.struct("split", F.struct("start_date", "end_date", "n_bouts")))).alias("periods")
-    )
-    scores = model_logistic(spark, sf)
-    report = ranges.select(
-        F.lit("logistic_regression").alias("selected_model"), F.array(*[F.lit(f) for f in MODEL_FEATURES]).alias("feature_names"),
-        "periods", F.struct(*[scores.select(c).scalar().alias(c) for c in scores.columns]).alias("test_metrics"),
-    )
-    root = run_dir(spark, "reports")
-    monitor.append_run(report, root)
-    return monitor.run_document(spark.read.parquet(f"{root}/runs"))
-
-
+    """The nested report of the newest training run, read back from the table of runs, as JSON."""
+    derived.forecaster(spark, sf)
+    held = pipeline.runs(spark, derived.training_store(spark, sf))
+    newest = held.orderBy(F.desc("run_no")).limit(1).drop("saved_at", "build")
+    return monitor.run_document(newest)

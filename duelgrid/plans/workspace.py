@@ -26,3 +26,8 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
     if not path_exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def store(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The folder of a store that all jobs of this application on this source version share."""
+    return session_dir(spark, f"{name}|{source_version(spark, sf_dir)}")
