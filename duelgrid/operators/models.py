@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import calendar
 import datetime
+import hashlib
+import itertools
+import math
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
@@ -366,14 +369,14 @@ def feature_importance(model: BoutModel, train: DataFrame) -> list[tuple[str, fl
     return [(f, float(v)) for f, v in zip(model.features, model.model.featureImportances)]
 
 
-def with_row_index(df: DataFrame, key: str, seed: int, name: str, bits: int = 12) -> DataFrame:
-    """A dense 0-based index in a repeatable random order: the hash of (key, seed).
+def with_row_index(df: DataFrame, key: str, seed: int, name: str) -> DataFrame:
+    """A dense 0-based index in a repeatable random order: by the MD5 of (key, seed), then the key.
 
-    Keys are unique, so the leading hash bits cut the rows into even slices; each slice is numbered
-    on its own and starts where the slices before it end. Slice totals are at most 2^bits rows.
+    Keys are unique, so the leading three digits cut the rows into 4,096 even slices; each slice is numbered on its own
+    and starts where the slices before it end. Slice totals are at most 4,096 rows.
     """
-    draw = F.xxhash64(key, F.lit(seed))
-    sliced = df.withColumn("draw", draw).withColumn("slice", F.shiftrightunsigned(draw, 64 - bits))
+    draw = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    sliced = df.withColumn("draw", draw).withColumn("slice", F.substring("draw", 1, 3))
     totals = sliced.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
@@ -386,40 +389,65 @@ def with_row_index(df: DataFrame, key: str, seed: int, name: str, bits: int = 12
     )
 
 
+def permutation_rule(n: int, label: str) -> tuple[int, int]:
+    """Factor and shift of a bijection i -> (factor * i + shift) mod n that depends on `label` alone.
+
+    The factor is the first number from a drawn one on that has no divisor in common with n. Both stay near 2^20, so
+    that products with row indexes fit into 64 bits up to 2^42 rows.
+    """
+    digits = hashlib.md5(label.encode()).hexdigest()
+    factor = next(f for f in itertools.count(1 + int(digits[:5], 16)) if math.gcd(f, n) == 1)
+    return factor, int(digits[5:10], 16)
+
+
+def permuted_values(
+    indexed: DataFrame, n: int, columns: dict[str, list[str]], n_repeats: int = 5, seed: int = SEED, index: str = "i"
+) -> DataFrame:
+    """(repeat, group, receiver, donated) for every row, repeat and group: a permutation of its own for each of them.
+
+    `donated` are the donor's values of the group's columns; `receiver` is the index of the row that gets them. Rows are
+    narrow and no row is compared with another: the receiver follows from the donor's own index.
+    """
+    sent = []
+    for repeat in range(n_repeats):
+        for group, names in columns.items():
+            factor, shift = permutation_rule(n, f"{seed}:{group}:{repeat}")
+            sent.append(F.struct(
+                F.lit(repeat).alias("repeat"), F.lit(group).alias("group"),
+                ((F.col(index) * F.lit(factor) + F.lit(shift)) % F.lit(n)).alias("receiver"),
+                F.array(*[F.col(c) for c in names]).alias("donated"),
+            ))
+    return indexed.select(F.inline(F.array(*sent)))
+
+
 def permutation_importance(
     model: BoutModel, table: DataFrame, key: str = "bout_id", n_repeats: int = 5, groups: dict[str, list[str]] = FEATURE_GROUPS
 ) -> list[tuple[str, float]]:
-    """Mean increase in log loss when a group's columns are shuffled together.
+    """Mean increase in log loss when a group's columns are shuffled together, each group in its own order.
 
-    Rows meet the shuffled rows over two row indexes; all groups of one repeat are scored in one
-    pass over the joined rows.
+    Rows are indexed once and meet the values of all groups and repeats over one join on the index; all variants are
+    scored in one pass over it.
     """
-    rows = table.select(key, "label", *model.features)
-    base = symmetric_log_loss(model, rows)
     used = {g: [f"{f}_diff" for f in fs if f"{f}_diff" in model.features] for g, fs in groups.items()}
     used = {g: fs for g, fs in used.items() if fs}
-    total = {g: 0.0 for g in used}
-    for repeat in range(n_repeats):
-        fixed = with_row_index(rows, key, 0, "i")
-        other = with_row_index(rows, key, SEED + repeat, "i").select("i", *[F.col(c).alias(f"o_{c}") for c in model.features])
-        joined = fixed.join(other, "i")
-        variants = [
-            "struct({} AS `group`, {})".format(
-                "'" + g.replace("'", "\\'") + "'",
-                ", ".join(f"{'o_' + c if c in fs else c} AS {c}" for c in model.features),
-            )
-            for g, fs in used.items()
+    indexed = with_row_index(table.select(key, "label", *model.features), key, SEED, "i").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = indexed.count()
+        base = symmetric_log_loss(model, indexed)
+        donors = permuted_values(indexed, n, used, n_repeats)
+        joined = donors.join(indexed.withColumnRenamed("i", "receiver"), "receiver")
+        place = {c: (g, i) for g, fs in used.items() for i, c in enumerate(fs)}
+        inputs = [
+            F.when(F.col("group") == place[c][0], F.col("donated")[place[c][1]]).otherwise(F.col(c)).alias(c) if c in place else F.col(c)
+            for c in model.features
         ]
-        spread = joined.selectExpr("label", f"inline(array({', '.join(variants)}))")
-        losses = (
-            score_symmetric(model, spread)
-            .withColumn("q", F.greatest(F.least("p_a", F.lit(1 - 1e-6)), F.lit(1e-6)))
-            .groupBy("group")
-            .agg(F.avg(-F.when(F.col("label") == 1, F.log("q")).otherwise(F.log(1 - F.col("q")))).alias("loss"))
-        )
-        for r in losses.collect():
-            total[r["group"]] += r["loss"] - base
-    return sorted(((g, v / n_repeats) for g, v in total.items()), key=lambda t: -t[1])
+        scored = score_symmetric(model, joined.select("group", "label", *inputs))
+        q = F.greatest(F.least("p_a", F.lit(1 - 1e-6)), F.lit(1e-6))
+        loss = -F.when(F.col("label") == 1, F.log(q)).otherwise(F.log(1 - q))
+        rows = scored.groupBy("group").agg(F.avg(loss).alias("loss")).collect()
+    finally:
+        indexed.unpersist()
+    return sorted(((r["group"], r["loss"] - base) for r in rows), key=lambda t: -t[1])
 
 
 # --------------------------------------------------------------------------------- finish type

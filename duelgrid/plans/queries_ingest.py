@@ -194,7 +194,7 @@ def parse_cards(spark, sf):
 
 @query(f"{_CARD} SELECT *, notes <> '' AS is_title, CASE section_no WHEN 1 THEN 5 ELSE 3 END AS scheduled_rounds FROM card")
 def card_context(spark, sf):
-    return pages.card_context(pages.parse_cards(card_pages(spark, sf)))
+    return pages.card_context(pages.read_cards(card_pages(spark, sf)))
 
 
 # ------------------------------------------------------------------------- scalar expressions

@@ -6,9 +6,10 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from duelgrid.constants import FINISH_TYPES, MODEL_FEATURES, MODEL_GRIDS
+from duelgrid.constants import FINISH_TYPES, MODEL_FEATURES, MODEL_GRIDS, SEED
 from duelgrid.operators import matchup, metrics, models, monitor, outcomes, resolve, roster, scoring
 from duelgrid.plans import adapter, derived, pipeline
+from duelgrid.plans import sqlbase as S
 from duelgrid.plans.registry import query
 from duelgrid.session import run_dir, written
 from duelgrid.sources import model_store, pages, raw
@@ -169,6 +170,28 @@ def permutation_importance(spark, sf):
     return spark.createDataFrame(models.permutation_importance(_fit(spark, sf), validation), "feature_group string, log_loss_increase double")
 
 
+_DRAWN_GROUPS = ["age", "experience", "recent form"]
+_DRAWN = " UNION ALL ".join(f"SELECT '{g}' AS feature_group, {k} AS repeat" for g in _DRAWN_GROUPS for k in range(2))
+
+
+@query(f"""WITH {S.BOUTS}, held AS (SELECT bout_id FROM bouts WHERE winner_side IS NOT NULL AND event_date >= DATE '{P.validation}' AND event_date < DATE '{P.test}'),
+numbered AS (SELECT bout_id, row_number() OVER (ORDER BY md5(bout_id || ':{SEED}'), bout_id) - 1 AS i, count(*) OVER () AS n FROM held),
+size AS (SELECT count(*) AS n FROM held), drawn AS ({_DRAWN}), digits AS (SELECT *, md5('{SEED}:' || feature_group || ':' || repeat) AS h FROM drawn),
+rules AS (SELECT feature_group, repeat, CAST('0x' || substr(h, 6, 5) AS BIGINT) AS shift,
+  (SELECT min(f) FROM (SELECT unnest(range(1 + CAST('0x' || left(h, 5) AS BIGINT), 2000 + CAST('0x' || left(h, 5) AS BIGINT))) AS f) c, size WHERE gcd(f, size.n) = 1) AS factor
+  FROM digits)
+SELECT r.feature_group, CAST(r.repeat AS INTEGER) AS repeat, a.bout_id AS donor_id, b.bout_id AS receiver_id
+FROM rules r, numbered a JOIN numbered b ON b.i = (r.factor * a.i + r.shift) % a.n""")
+def permutation_draws(spark, sf):
+    """Which bout's values every validation bout gets, for three groups of inputs and two repeats."""
+    _, validation, _ = _periods(spark, sf)
+    indexed = written(models.with_row_index(validation.select("bout_id"), "bout_id", SEED, "i"), run_dir(spark, "indexed"))
+    sent = models.permuted_values(indexed, indexed.count(), {g: ["bout_id"] for g in _DRAWN_GROUPS}, 2)
+    return sent.join(indexed.select(F.col("i").alias("receiver"), F.col("bout_id").alias("receiver_id")), "receiver").select(
+        F.col("group").alias("feature_group"), "repeat", F.col("donated")[0].alias("donor_id"), "receiver_id"
+    )
+
+
 @query()
 def explain_occlusion(spark, sf):
     """Notable factors of every test bout, by group."""
@@ -186,9 +209,10 @@ def score_card(spark, sf):
 
     app, known = derived.appearances(spark, sf), adapter.entities(spark, sf)
     people = roster.build_roster(app, known)
-    pages.require_parsed(pages.card_guard(card_pages(spark, sf)))
+    read = written(pages.read_cards(card_pages(spark, sf)), run_dir(spark, "card-pages"))
+    pages.require_parsed(pages.extraction_guard(read))
     bout = ["page_id", "section_no", "place"]
-    card = written(pages.card_context(pages.parse_cards(card_pages(spark, sf))), run_dir(spark, "card"))
+    card = pages.card_context(read)
     sides = card.selectExpr(
         *bout, "weight_class", "inline(array(struct(1 AS side, entity_1 AS name), struct(2 AS side, entity_2 AS name)))"
     )

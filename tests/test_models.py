@@ -1,5 +1,6 @@
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,47 @@ def test_factors_in_the_row_equal_occlusion(spark, model, table, kind, params):
     assert all(f["input_values"] == [one["inputs"][place[f"{c}_diff"]] for c in FEATURE_GROUPS[f["group"]] if f"{c}_diff" in place] for f in one["factors"])
 
 
+@pytest.mark.parametrize("n", [1, 2, 12, 97, 5040])
+def test_every_group_is_permuted_on_its_own(spark, n):
+    rows = spark.range(n).selectExpr("id AS i", "id * 10D AS x", "id * 100D AS y")
+    sent = models.permuted_values(rows, n, {"one": ["x"], "two": ["y", "x"]}, 3).collect()
+    orders = {}
+    for r in sent:
+        orders.setdefault((r["group"], r["repeat"]), {})[r["receiver"]] = tuple(r["donated"])
+    assert len(orders) == 6 and all(sorted(o) == list(range(n)) for o in orders.values())
+    assert all(sorted(o.values()) == [(10.0 * i,) if g == "one" else (100.0 * i, 10.0 * i) for i in range(n)] for (g, _), o in orders.items())
+    if n > 90:
+        assert len({tuple(int(v[-1]) for _, v in sorted(o.items())) for o in orders.values()}) == 6
+
+
+def test_permutation_importance_equals_the_plain_definition(spark, table):
+    """Groups are exchanged one by one with numpy, in the orders that the rules give."""
+    rows = models.between(table, "2000-06-01", None)
+    fitted = models.fit_bout_model("logistic_regression", {"C": 1.0}, models.between(table, None, "2000-01-01"), MODEL_FEATURES)
+    got = dict(models.permutation_importance(fitted, rows, n_repeats=2))
+    frame = models.with_row_index(rows.select("bout_id", "label", *MODEL_FEATURES), "bout_id", models.SEED, "i").toPandas().sort_values("i", ignore_index=True)
+    n, weights, bias = len(frame), fitted.model.coefficients.toArray(), fitted.model.intercept
+    signs = np.array([-1.0 if f.endswith("_diff") else 1.0 for f in MODEL_FEATURES])
+
+    def loss(x):
+        ab, ba = (1 / (1 + np.exp(-(v @ weights + bias))) for v in (x, x * signs))
+        p = np.clip((ab + 1 - ba) / 2, 1e-6, 1 - 1e-6)
+        return -np.where(frame["label"] == 1, np.log(p), np.log(1 - p)).mean()
+
+    base, matrix = loss(frame[MODEL_FEATURES].to_numpy(float)), frame[MODEL_FEATURES].to_numpy(float)
+    for group, names in FEATURE_GROUPS.items():
+        at = [MODEL_FEATURES.index(f"{c}_diff") for c in names if f"{c}_diff" in MODEL_FEATURES]
+        if not at:
+            continue
+        rises = []
+        for repeat in range(2):
+            factor, shift = models.permutation_rule(n, f"{models.SEED}:{group}:{repeat}")
+            mixed = matrix.copy()
+            mixed[np.ix_((factor * np.arange(n) + shift) % n, at)] = matrix[:, at]
+            rises.append(loss(mixed) - base)
+        assert got[group] == pytest.approx(np.mean(rises), abs=1e-9), group
+
+
 def test_joint_outcome_sums_to_one_and_mirrors(spark):
     row = spark.sql("SELECT 0.7D AS p, array(0.2D, 0.3D, 0.5D) AS ga, array(0.6D, 0.1D, 0.3D) AS gb")
     ab = row.select(outcomes.six_way(F.col("p"), F.col("ga"), F.col("gb")).alias("j")).first()["j"]

@@ -29,7 +29,7 @@ OTHER = "{{MMAevent card|Only}}\n" + bout("Welterweight", "Uno Two", "Tre Four",
 
 
 def test_bouts_of_two_pages(spark):
-    card = pages.card_context(pages.parse_cards(table(spark, NIGHT, OTHER))).orderBy("page_id", "section_no", "place").collect()
+    card = pages.card_context(pages.read_cards(table(spark, NIGHT, OTHER))).orderBy("page_id", "section_no", "place").collect()
     shown = [(r["segment"], r["weight_class"], r["entity_1"], r["entity_2"], r["scheduled_rounds"], r["is_title"]) for r in card]
     assert shown == [
         ("Top half (Nine)", "Heavyweight", "Olaf Berg", "Tariq Odeh", 5, True),
@@ -82,6 +82,16 @@ def test_pages_that_cannot_be_read_raise(spark):
     pages.require_parsed(pages.card_guard(table(spark, NIGHT, OTHER, "")))
 
 
+def test_a_page_is_read_once_and_nothing_is_exchanged(spark):
+    """Bouts, context and guard; NULL texts and repeated pages have rows of their own."""
+    odd = spark.createDataFrame([(1, NIGHT), (1, NIGHT), (2, None), (3, "")], "page_id int, text string")
+    read = pages.read_cards(odd)
+    for df in (pages.parse_cards(odd), pages.card_context(read), pages.extraction_guard(read), pages.schedule_guard(odd)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, pages.card_guard(odd).collect())) == [(1, 4, 3, False)] * 2 + [(2, 0, 0, False), (3, 0, 0, False)]
+    assert pages.card_context(read).where("page_id = 1 AND scheduled_rounds = 5").count() == 2 and pages.parse_cards(odd).count() == 6
+
+
 def test_names_find_their_entities(spark):
     entities = spark.createDataFrame(
         [("o", "Olaf Berg", "olafberg", 240.0), ("t", "Tariq Odeh", "tariqodeh", 170.0), ("l1", "Li Na", "lina", 115.0), ("l2", "Li Na", "lina", 155.0),
