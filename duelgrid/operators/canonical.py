@@ -176,6 +176,28 @@ def source_quality(bouts: DataFrame, attached_stats: DataFrame) -> DataFrame:
     )
 
 
+def feature_quality(appearances: DataFrame, features: DataFrame, ratings: DataFrame, split: DataFrame) -> DataFrame:
+    """The rules of the feature step: both tables are keyed by (bout_id, entity_id), `split` holds (split, event_date)."""
+    key = ["bout_id", "entity_id"]
+    ends = split.groupBy("split").agg(F.min("event_date").alias("lo"), F.max("event_date").alias("hi"))
+    order = F.when(F.col("split") == "train", 1).when(F.col("split") == "validation", 2).when(F.col("split") == "test", 3)
+    bounds = ends.withColumn("pos", order).filter("pos IS NOT NULL")
+    later = bounds.select((F.col("pos") - 1).alias("pos"), F.col("lo").alias("next_lo"))
+    return (
+        _rule("appearance without features", appearances.join(features, key, "left_anti"))
+        .unionByName(_rule("appearance without rating", appearances.join(ratings, key, "left_anti")))
+        .unionByName(_rule("overlapping periods", bounds.join(later, "pos").filter("hi >= next_lo")))
+    )
+
+
+def forecast_quality(appearances: DataFrame, roster: DataFrame, as_of: DataFrame) -> DataFrame:
+    """The rules of a forecast: labels name one entity, and `as_of` (entity_id, as_of) lies behind all history."""
+    last_day = appearances.groupBy("entity_id").agg(F.max("event_date").alias("last_day"))
+    return _rule("display name used twice", duplicate_keys(roster, ["display_name"])).unionByName(
+        _rule("as-of date not after history", as_of.join(last_day, "entity_id").filter("as_of <= last_day"))
+    )
+
+
 def data_quality(
     bouts: DataFrame,
     attached_stats: DataFrame,
@@ -186,32 +208,12 @@ def data_quality(
     roster: DataFrame,
     as_of: DataFrame,
 ) -> DataFrame:
-    """One row per rule with the number of violations.
-
-    `split` holds (split, event_date), `as_of` holds (entity_id, as_of), `ratings` is keyed by
-    (bout_id, entity_id) like `features`.
-    """
-
-    key = ["bout_id", "entity_id"]
-    ends = split.groupBy("split").agg(F.min("event_date").alias("lo"), F.max("event_date").alias("hi"))
-    order = F.when(F.col("split") == "train", 1).when(F.col("split") == "validation", 2).when(F.col("split") == "test", 3)
-    bounds = ends.withColumn("pos", order).filter("pos IS NOT NULL")
-    later = bounds.select((F.col("pos") - 1).alias("pos"), F.col("lo").alias("next_lo"))
-    last_day = appearances.groupBy("entity_id").agg(F.max("event_date").alias("last_day"))
-    rules = [
-        _rule("same entity on both sides", bouts.filter("entity_1_id = entity_2_id")),
-        _rule("statistics name not in the bout", attached_stats.filter("side = 0")),
-        _rule("repeated bout, side and round", duplicate_keys(attached_stats, ["bout_id", "side", "round"])),
-        _rule("appearance without features", appearances.join(features, key, "left_anti")),
-        _rule("appearance without rating", appearances.join(ratings, key, "left_anti")),
-        _rule("overlapping periods", bounds.join(later, "pos").filter("hi >= next_lo")),
-        _rule("display name used twice", duplicate_keys(roster, ["display_name"])),
-        _rule("as-of date not after history", as_of.join(last_day, "entity_id").filter("as_of <= last_day")),
-    ]
-    out = rules[0]
-    for more in rules[1:]:
-        out = out.unionByName(more)
-    return out
+    """All rules: one row each with the number of violations."""
+    return (
+        source_quality(bouts, attached_stats)
+        .unionByName(feature_quality(appearances, features, ratings, split))
+        .unionByName(forecast_quality(appearances, roster, as_of))
+    )
 
 
 def require_none(violations: DataFrame) -> None:

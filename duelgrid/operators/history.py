@@ -249,15 +249,16 @@ def day_profiles(
     entities: DataFrame,
     ratings: DataFrame | None = None,
     priors: Priors = PRIORS,
+    mark_rated: bool = False,
 ) -> DataFrame:
     """The profile with which each entity enters each of its days.
 
     `ratings` holds (entity_id, event_date, glicko_rating, glicko_rd); without it everybody keeps
-    the starting rating.
+    the starting rating. `mark_rated` adds `has_rating`: whether the rating was found or filled in.
     """
     days = with_streak(with_day_runs(appearances, entity_days(appearances)))
     totals = history_totals(days)
-    return profile_columns(totals, entities, "event_date", ratings, priors)
+    return profile_columns(totals, entities, "event_date", ratings, priors, mark_rated)
 
 
 def profile_columns(
@@ -266,6 +267,7 @@ def profile_columns(
     date_col: str,
     ratings: DataFrame | None = None,
     priors: Priors = PRIORS,
+    mark_rated: bool = False,
 ) -> DataFrame:
     """Totals -> features, with the static attributes and the rating joined in."""
     joined = totals.join(one_per_entity(entities), "entity_id", "left")
@@ -277,12 +279,14 @@ def profile_columns(
     }
     out = joined.selectExpr("entity_id", date_col, *[f"{sql} AS {name}" for name, sql in features.items()])
     if ratings is None:
-        return out.selectExpr("*", f"{INITIAL_RATING!r}D AS glicko_rating", f"{INITIAL_RD!r}D AS glicko_rd")
+        filled = out.selectExpr("*", f"{INITIAL_RATING!r}D AS glicko_rating", f"{INITIAL_RD!r}D AS glicko_rd")
+        return filled.withColumn("has_rating", F.lit(False)) if mark_rated else filled
     rated = ratings.selectExpr("entity_id", date_col, "glicko_rating AS known_rating", "glicko_rd AS known_rd")
     return out.join(rated, ["entity_id", date_col], "left").selectExpr(
         *out.columns,
         f"coalesce(known_rating, {INITIAL_RATING!r}D) AS glicko_rating",
         f"coalesce(known_rd, {INITIAL_RD!r}D) AS glicko_rd",
+        *(["known_rating IS NOT NULL AND known_rd IS NOT NULL AS has_rating"] if mark_rated else []),
     )
 
 

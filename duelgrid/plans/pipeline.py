@@ -46,7 +46,7 @@ def rated_profiles(data: Canonical, period_col: str | None = None) -> DataFrame:
     """Profiles per entity-day with ratings, computed and written once for the whole run.
 
     `period_col` names a DATE column of the appearances as rating period; by default every date is
-    one.
+    one. A profile that had to be filled in with the starting rating ends the job.
     """
     spark = data.appearances.sparkSession
     period = period_col or "event_date"
@@ -54,7 +54,9 @@ def rated_profiles(data: Canonical, period_col: str | None = None) -> DataFrame:
     states = ratings.rate_periods(app, period)
     keys = ["entity_id", "event_date"] + ([period] if period_col else [])
     before = ratings.ratings_before(app.select(*keys), states, "event_date", period)
-    return written(history.day_profiles(app, data.entities, before), f"{run_dir(spark, 'profiles')}/day")
+    profiles = history.day_profiles(app, data.entities, before, mark_rated=True)
+    rules = {"appearance without rating": ~F.col("has_rating")}
+    return written(profiles, f"{run_dir(spark, 'profiles')}/day", rules).drop("has_rating")
 
 
 @dataclass(frozen=True)
@@ -86,7 +88,8 @@ def training_run(
     spark: SparkSession = bouts.sparkSession
     root = run_dir(spark, "training")
     features = MODEL_FEATURES if profile_features == PROFILE_FEATURES else matchup.input_columns(profile_features)
-    table = written(matchup.training_table(bouts, profiles, profile_features), f"{root}/table")
+    empty = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in features])
+    table = written(matchup.training_table(bouts, profiles, profile_features), f"{root}/table", {"bout without features": empty})
     finish_rows = written(matchup.finish_table(bouts, profiles), f"{root}/finish")
     train = models.between(table, periods.min_train, periods.validation)
     validation = models.between(table, periods.validation, periods.test)

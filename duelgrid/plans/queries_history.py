@@ -516,24 +516,42 @@ def prediction_warnings(spark, sf):
     return joined.select("m.bout_id", F.array_join(texts, "|").alias("warnings"))
 
 
-@query(f"""WITH {S.APPS}, last AS (SELECT entity_id, max(event_date) AS d FROM appearances GROUP BY 1)
-SELECT r AS rule, CASE r WHEN 'as-of date not after history' THEN (SELECT count(*) FROM last WHERE d >= DATE '2001-01-01')
-  WHEN 'repeated bout, side and round' THEN (SELECT count(*) FROM (SELECT 1 FROM lineitem JOIN bouts ON bout_id = CAST(l_orderkey AS VARCHAR)
-    AND CAST(l_suppkey AS VARCHAR) IN (entity_1_id, entity_2_id) GROUP BY l_orderkey, l_suppkey, l_linenumber HAVING count(*) > 1)) ELSE 0 END AS n_violations
-FROM (SELECT unnest(['same entity on both sides', 'statistics name not in the bout', 'repeated bout, side and round', 'appearance without features',
-  'appearance without rating', 'overlapping periods', 'display name used twice', 'as-of date not after history']) AS r)""")
+@query(f"""WITH {S.APPS}, last AS (SELECT entity_id, max(event_date) AS d FROM appearances GROUP BY 1),
+used AS (SELECT l_orderkey, l_linenumber, l_suppkey, CAST(l_suppkey AS VARCHAR) IN (entity_1_id, entity_2_id) AS inside FROM lineitem JOIN bouts ON bout_id = CAST(l_orderkey AS VARCHAR)),
+years AS (SELECT year(event_date) > min(year(event_date)) OVER (PARTITION BY entity_id) AS rated FROM appearances),
+shipped AS (SELECT l_orderkey, max(CAST(l_shipdate AS DATE)) AS day FROM lineitem GROUP BY 1),
+spans AS (SELECT split, min(day) AS lo, max(day) AS hi FROM (SELECT bout_id, {_SPLIT} AS split FROM bouts WHERE winner_side IS NOT NULL) b
+  JOIN shipped ON bout_id = CAST(l_orderkey AS VARCHAR) GROUP BY 1),
+names AS (SELECT left({S.NAME.format('entity_id')}, 5) AS label FROM last)
+SELECT 'same entity on both sides' AS rule, count(*) AS n_violations FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND b.l_suppkey = a.l_suppkey
+UNION ALL SELECT 'statistics name not in the bout', count(*) FROM used WHERE NOT inside
+UNION ALL SELECT 'repeated bout, side and round', count(*) FROM (SELECT 1 FROM used WHERE inside GROUP BY l_orderkey, l_suppkey, l_linenumber HAVING count(*) > 1)
+UNION ALL SELECT 'appearance without features', count(*) FROM appearances WHERE NOT has_stats
+UNION ALL SELECT 'appearance without rating', count(*) FROM years WHERE NOT rated
+UNION ALL SELECT 'overlapping periods', count(*) FROM (VALUES ('train', 'validation'), ('validation', 'test')) v(x, y) JOIN spans a ON a.split = x JOIN spans b ON b.split = y WHERE a.hi >= b.lo
+UNION ALL SELECT 'display name used twice', count(*) FROM (SELECT 1 FROM names GROUP BY label HAVING count(*) > 1)
+UNION ALL SELECT 'as-of date not after history', count(*) FROM last WHERE d >= DATE '2001-01-01'""")
 def data_quality(spark, sf):
-    """All rules; raw lines repeat a round, and the asked date lies inside the history."""
+    """All rules, each on data that break it.
+
+    Neighbouring lines of an order meet, all suppliers of an order count as named in its statistics, profiles exist only
+    where statistics do, ratings only from the second year on, periods hold shipping dates, labels are names cut to five
+    signs, and the asked date lies inside the history.
+    """
     app, b = derived.appearances(spark, sf), derived.bouts(spark, sf)
-    known = adapter.entities(spark, sf)
-    attached = adapter.table(spark, sf, "lineitem").join(
-        b.select(F.col("bout_id").cast("long").alias("l_orderkey"), "bout_id", "entity_1_id", "entity_2_id"), "l_orderkey"
-    ).filter("string(l_suppkey) IN (entity_1_id, entity_2_id)").selectExpr(
-        "bout_id", "IF(string(l_suppkey) = entity_1_id, 1, 2) AS side", "l_linenumber AS round"
+    lines = adapter.table(spark, sf, "lineitem")
+    following = lines.selectExpr("l_orderkey", "l_linenumber - 1 AS l_linenumber", "l_suppkey AS entity_2_id")
+    met = lines.join(following, ["l_orderkey", "l_linenumber"]).selectExpr("l_suppkey AS entity_1_id", "entity_2_id")
+    named = b.select(F.col("bout_id").cast("long").alias("l_orderkey"), "bout_id", "entity_1_id", "entity_2_id")
+    attached = lines.join(named, "l_orderkey").selectExpr(
+        "bout_id", "CASE string(l_suppkey) WHEN entity_1_id THEN 1 WHEN entity_2_id THEN 2 ELSE 0 END AS side", "l_linenumber AS round"
     )
-    features = app.select("bout_id", *history.DAY).join(derived.day_profiles(spark, sf), history.DAY)
-    split = models.with_split(matchup.oriented(b), adapter.PERIODS)
+    features = app.filter("has_stats").select("bout_id", *history.DAY).join(derived.day_profiles(spark, sf), history.DAY)
+    first = derived.rating_states(spark, sf).groupBy("entity_id").agg(F.min("last_day").alias("first_period"))
+    rated = derived.yearly(spark, sf).join(first, "entity_id").filter("first_period < period")
+    shipped = lines.groupBy(F.col("l_orderkey").cast("string").alias("bout_id")).agg(F.max(F.col("l_shipdate").cast("date")).alias("event_date"))
+    split = models.with_split(matchup.oriented(b), adapter.PERIODS).drop("event_date").join(shipped, "bout_id")
+    known = adapter.entities(spark, sf)
+    people = roster.build_roster(app, known).withColumn("display_name", F.substring("name", 1, 5))
     as_of = known.select("entity_id", F.lit("2001-01-01").cast("date").alias("as_of"))
-    return canonical.data_quality(
-        b, attached, app, features, features.filter("glicko_rating IS NOT NULL"), split, roster.build_roster(app, known), as_of
-    )
+    return canonical.data_quality(met, attached, app, features, rated, split, people, as_of)

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from duelgrid.constants import FINISH_TYPES, MODEL_FEATURES, MODEL_GRIDS, SEED
-from duelgrid.operators import matchup, metrics, models, monitor, outcomes, resolve, roster, scoring
+from duelgrid.operators import canonical, matchup, metrics, models, monitor, outcomes, resolve, roster, scoring
 from duelgrid.plans import adapter, derived, pipeline
 from duelgrid.plans import sqlbase as S
 from duelgrid.plans.registry import query
@@ -228,6 +228,7 @@ def score_card(spark, sf):
         "is_title", "scheduled_rounds",
     ), run_dir(spark, "card-matchups"))
     on_cards = matchups.select("as_of", F.explode(F.array("a_id", "b_id")).alias("entity_id")).distinct()
+    canonical.require_none(canonical.forecast_quality(app, people, on_cards))
     # names that nobody carries are debutants: they have no row and no history, so their profile is all priors
     debutants = on_cards.select("entity_id").distinct().join(known, "entity_id", "left_anti")
     profiles = derived.rated_profiles_as_of(spark, sf, known.unionByName(debutants, allowMissingColumns=True), on_cards)

@@ -2,13 +2,13 @@ import datetime
 import random
 
 import pytest
-from fixtures import day
+from fixtures import appearances_of, calendar_of, day, people_of
 from pyspark.sql import functions as F
 
 from duelgrid.constants import RAW_ENTITIES, RAW_EVENTS, RAW_RESULTS, RAW_STATS
-from duelgrid.operators import canonical, resolve
+from duelgrid.operators import canonical, history, resolve
 from duelgrid.plans import pipeline
-from duelgrid.session import run_dir
+from duelgrid.session import run_dir, written
 from duelgrid.sources import raw, tables
 
 PAIR = "10 of 20"
@@ -125,3 +125,31 @@ def test_resolution_equals_a_plain_loop(spark, seed):
                 left = [p for p in left if p[2] is not None and abs(p[2] - weight) == best]
             want = (left[0][0], "disambiguated") if len(left) == 1 else (f"amb_{name}_{bout}", "ambiguous_bout_scoped")
         assert got[bout] == want
+
+
+def test_rows_that_break_a_rule_end_the_step(spark):
+    """Counted while the table is written; a condition that is NULL counts as broken."""
+    rows = spark.createDataFrame([(1, 2.0), (2, None), (3, -1.0)], "k int, v double")
+    with pytest.raises(ValueError, match="negative: 2 rows"):
+        written(rows, run_dir(spark, "rules"), {"no key": F.col("k").isNull(), "negative": F.col("v") < 0})
+    kept = written(rows.filter("v > 0"), run_dir(spark, "rules"), {"no key": F.col("k").isNull(), "negative": F.col("v") < 0})
+    assert kept.collect() == [(1, 2.0)] and written(rows.limit(0), run_dir(spark, "rules"), {"any": F.lit(True)}).isEmpty()
+
+
+def test_profiles_without_a_rating_are_marked(spark):
+    app = appearances_of(spark, calendar_of(3, bouts=20, people=4))
+    people, asked = people_of(spark, [f"p{i}" for i in range(4)]), app.select("entity_id", "event_date").distinct()
+    rated = asked.filter("entity_id <> 'p1'").selectExpr("*", "1600D AS glicko_rating", "90D AS glicko_rd")
+    marked = history.day_profiles(app, people, rated, mark_rated=True)
+    want = {(r[0], r[1]): r[0] != "p1" for r in asked.collect()}
+    assert {(r["entity_id"], r["event_date"]): r["has_rating"] for r in marked.collect()} == want
+    assert not any(r[0] for r in history.day_profiles(app, people, mark_rated=True).select("has_rating").collect())
+
+
+def test_forecast_rules(spark):
+    app = appearances_of(spark, calendar_of(3, bouts=20, people=4))
+    last = app.groupBy("entity_id").agg(F.max("event_date").alias("as_of"))
+    labels = spark.createDataFrame([("p0", "A"), ("p1", "A"), ("p2", "B")], "entity_id string, display_name string")
+    got = {r["rule"]: r["n_violations"] for r in canonical.forecast_quality(app, labels, last).collect()}
+    assert got == {"display name used twice": 1, "as-of date not after history": 4}
+    canonical.require_none(canonical.forecast_quality(app, labels.filter("entity_id <> 'p1'"), last.withColumn("as_of", F.date_add("as_of", 1))))
