@@ -134,3 +134,24 @@ def test_late_bouts_rerate_from_their_period_on(spark, batch_rows):
     assert sorted(again.select(*shown).collect()) == sorted(ratings.rate_periods(app).select(*shown).collect())
     before = [r["last_day"] for r in states.where(F.col("last_day") < F.lit(dates[3])).select("last_day").distinct().collect()]
     assert before, "some periods are kept as they were"
+
+
+def test_a_bounded_lookup_moves_only_what_it_asks_for(spark, tmp_path, monkeypatch):
+    """The log itself is not shuffled for a batch of a bounded number of rows, however long it gets."""
+    log = ratings.StateLog(spark, str(tmp_path), 4)
+    log.add(spark.sql("SELECT string(id) AS entity_id, 1500D AS rating, 50D AS rd, DATE '2020-01-01' AS last_day FROM range(50)"))
+    asked = spark.range(3).selectExpr("string(id) AS entity_id").distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = log.latest(asked, few=True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    plain, said = ratings.StateLog.latest, []
+    monkeypatch.setattr(ratings.StateLog, "latest", lambda self, ids, few=False: said.append(few) or plain(self, ids, few))
+    app = ratings.opponents(appearances_of(spark, calendar_of(15, bouts=40, dates=6)))
+    ratings.rate_periods(app, batch_rows=1)
+    assert said and not any(said)
+    said.clear()
+    ratings.rate_periods(app, batch_rows=1000)
+    assert said == [True]
