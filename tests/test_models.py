@@ -211,3 +211,18 @@ def test_the_finish_model_sees_real_ratings(spark):
     last = derived.rating_states(spark, SF).groupBy("entity_id").agg(F.max_by("rating", "last_day").alias("rating"))
     now = derived.current_profiles(spark, SF).join(last, "entity_id").collect()
     assert now and all(r["glicko_rating"] == pytest.approx(r["rating"]) for r in now) and len({r["rating"] for r in now}) > 1
+
+
+def test_fits_keep_no_second_copy_of_their_rows(spark, table, monkeypatch):
+    """Classifiers keep blocks or bags of their own; large fits run one at a time."""
+    finish = derived.finish_table(spark, SF)
+
+    def refuse(*_):
+        raise AssertionError("rows are kept twice")
+
+    monkeypatch.setattr(type(table), "persist", refuse)
+    models.fit_bout_model("logistic_regression", {"C": 0.1}, models.between(table, None, "2000-01-01"), MODEL_FEATURES)
+    models.fit_finish_model(finish, 0.001)
+    models.production_refit("logistic_regression", {"C": 0.1}, "none", table, adapter.PERIODS, MODEL_FEATURES)
+    assert models.fits_at_once(1000, MODEL_FEATURES) == models.FITS_AT_ONCE and models.fits_at_once(50_000_000, MODEL_FEATURES) == 1
+    assert models.fits_at_once(0, MODEL_FEATURES) == models.FITS_AT_ONCE
