@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from duelgrid.constants import FEATURE_GROUPS, MODEL_FEATURES, SIMPLICITY_MARGIN
+from duelgrid.constants import FEATURE_GROUPS, FINISH_TYPES, MODEL_FEATURES, SIMPLICITY_MARGIN
 from duelgrid.operators import matchup, models, outcomes, scoring
 from duelgrid.plans import adapter, derived, pipeline
 
@@ -226,3 +226,65 @@ def test_fits_keep_no_second_copy_of_their_rows(spark, table, monkeypatch):
     models.production_refit("logistic_regression", {"C": 0.1}, "none", table, adapter.PERIODS, MODEL_FEATURES)
     assert models.fits_at_once(1000, MODEL_FEATURES) == models.FITS_AT_ONCE and models.fits_at_once(50_000_000, MODEL_FEATURES) == 1
     assert models.fits_at_once(0, MODEL_FEATURES) == models.FITS_AT_ONCE
+
+
+def close_inputs(spark, labels):
+    """Two inputs that nearly depend on each other, one that does not vary, and a label."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=400)
+    x = np.column_stack([a, a + 0.01 * rng.normal(size=400), np.full(400, 1.1), 50 + 9 * rng.normal(size=400)])
+    names = ["a_diff", "b_diff", "same", "c"]
+    return x, names, spark.createDataFrame([(*r, y) for r, y in zip(x.tolist(), labels)], [*names, "label"])
+
+
+def test_a_logistic_fit_ends_at_the_least_loss(spark):
+    """The gradient over both views vanishes; the search that stops at a relative gain of 1e-6 leaves 1e-5 and more."""
+    y = np.random.default_rng(4).integers(0, 2, 400)
+    x, names, rows = close_inputs(spark, y.tolist())
+    fitted = models.fit_bout_model("logistic_regression", {"C": 1.0}, rows, names).model
+    both, labels = np.vstack([x, x * [-1, -1, 1, 1]]), np.concatenate([y, 1 - y])
+    off = 1 / (1 + np.exp(-(both @ fitted.coefficients.toArray() + fitted.intercept))) - labels
+    scale = both.std(0, ddof=1)
+    scale[2] = 1.0
+    slope = ((both - both.mean(0)) / scale).T @ off / 800 + scale * fitted.coefficients.toArray() / 800
+    assert abs(off.mean()) < 1e-9 and np.abs(slope).max() < 1e-9 and fitted.coefficients[2] == 0
+
+
+def test_a_finish_fit_ends_at_the_least_loss(spark):
+    y = np.random.default_rng(5).integers(0, 3, 400)
+    x, names, rows = close_inputs(spark, y.tolist())
+    methods = F.element_at(F.array(*[F.lit(m) for m in FINISH_TYPES]), (F.col("label") + 1).cast("int"))
+    fitted = models.fit_finish_model(rows.withColumn("method", methods).drop("label"), 0.1, names).model
+    weights = fitted.coefficientMatrix.toArray()
+    margins = np.exp(x @ weights.T + fitted.interceptVector.toArray())
+    off = margins / margins.sum(1, keepdims=True) - np.eye(3)[y]
+    scale = x.std(0, ddof=1)
+    scale[2] = 1.0
+    slope = off.T @ ((x - x.mean(0)) / scale) / 400 + weights * scale / 40
+    assert np.abs(off.mean(0)).max() < 1e-9 and np.abs(slope).max() < 1e-9 and abs(fitted.interceptVector.toArray().sum()) < 1e-9
+
+
+def test_a_logistic_fit_takes_few_jobs(spark):
+    """Each pass of a search is a job; near dependence of the inputs does not add passes."""
+    _, names, rows = close_inputs(spark, np.random.default_rng(4).integers(0, 3, 400).tolist())
+    methods = F.element_at(F.array(*[F.lit(m) for m in FINISH_TYPES]), (F.col("label") + 1).cast("int"))
+    context = spark.sparkContext
+    context.setJobGroup("newton", "newton")
+    try:
+        models.fit_finish_model(rows.withColumn("method", methods).drop("label").coalesce(1), 1000.0, names)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("newton")) <= 16
+
+
+def test_a_finish_type_without_rows_leaves_the_fit_to_the_estimator(spark):
+    y = np.random.default_rng(6).integers(0, 2, 400)
+    _, names, rows = close_inputs(spark, y.tolist())
+    methods = F.element_at(F.array(*[F.lit(m) for m in FINISH_TYPES]), (F.col("label") + 1).cast("int"))
+    assert models.fit_finish_model(rows.withColumn("method", methods).drop("label"), 0.1, names).model.numClasses == 2
+
+
+def test_a_missing_input_ends_a_fit(spark):
+    rows = spark.createDataFrame([(0.5, 1), (None, 0), (0.2, 0)], "a_diff double, label int")
+    with pytest.raises(Exception, match="missing"):
+        models.fit_bout_model("logistic_regression", {"C": 1.0}, rows, ["a_diff"])
