@@ -234,7 +234,7 @@ def close_inputs(spark, labels):
     a = rng.normal(size=400)
     x = np.column_stack([a, a + 0.01 * rng.normal(size=400), np.full(400, 1.1), 50 + 9 * rng.normal(size=400)])
     names = ["a_diff", "b_diff", "same", "c"]
-    return x, names, spark.createDataFrame([(*r, y) for r, y in zip(x.tolist(), labels)], [*names, "label"])
+    return x, names, spark.createDataFrame([(*r, y) for r, y in zip(x.tolist(), labels)], [*names, "label"]).withColumn("event_date", F.current_date())
 
 
 def test_a_logistic_fit_ends_at_the_least_loss(spark):
@@ -285,6 +285,6 @@ def test_a_finish_type_without_rows_leaves_the_fit_to_the_estimator(spark):
 
 
 def test_a_missing_input_ends_a_fit(spark):
-    rows = spark.createDataFrame([(0.5, 1), (None, 0), (0.2, 0)], "a_diff double, label int")
+    rows = spark.createDataFrame([(0.5, 1), (None, 0), (0.2, 0)], "a_diff double, label int").withColumn("event_date", F.current_date())
     with pytest.raises(Exception, match="missing"):
         models.fit_bout_model("logistic_regression", {"C": 1.0}, rows, ["a_diff"])
