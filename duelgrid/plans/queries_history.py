@@ -250,11 +250,11 @@ FROM bouts m JOIN rated a ON a.entity_id = m.entity_1_id AND a.event_date = m.ev
 JOIN rated b ON b.entity_id = m.entity_2_id AND b.event_date = m.event_date""")
 def matchup_features(spark, sf):
     """The flagship: features from the canonical tables, both sides joined into one row per bout."""
-    profiles = _profiles(spark, sf)
+    inputs = history.day_inputs(derived.appearances(spark, sf), adapter.entities(spark, sf), derived.day_ratings(spark, sf)).drop("decided")
     pairs = derived.bouts(spark, sf).select(
         "bout_id", "event_date", F.col("entity_1_id").alias("a_id"), F.col("entity_2_id").alias("b_id")
     )
-    return rounded(matchup.matchup_features(pairs, profiles, features=PROFILE_FEATURES))
+    return rounded(matchup.matchup_features(pairs, inputs, features=PROFILE_FEATURES, derived=history.profile_features()))
 
 
 _TRAIN = f"""{S.RATED}, oriented AS (
