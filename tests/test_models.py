@@ -1,3 +1,4 @@
+import shutil
 from dataclasses import replace
 
 import numpy as np
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duelgrid.constants import FEATURE_GROUPS, FINISH_TYPES, MODEL_FEATURES, SIMPLICITY_MARGIN
 from duelgrid.operators import matchup, models, outcomes, scoring
-from duelgrid.plans import adapter, derived, pipeline
+from duelgrid.plans import adapter, derived, pipeline, workspace
 
 SF = "/root/testdata/sf0.001"
 
@@ -277,6 +278,26 @@ def test_a_logistic_fit_takes_few_jobs(spark):
     assert len(context.statusTracker().getJobIdsForGroup("newton")) <= 16
 
 
+def test_fits_on_nested_rows_share_one_copy(spark, table, monkeypatch):
+    """All logistic fits of a search or a refit take their steps together; each model is the one of a fit alone."""
+    packed, held = [], models.blocks_of
+    monkeypatch.setattr(models, "blocks_of", lambda *args: packed.append(1) or held(*args))
+    train = models.between(table, adapter.PERIODS.min_train, adapter.PERIODS.validation)
+    grid = [{"C": 0.01}, {"C": 1.0}]
+    folds = models.walk_forward({"logistic_regression": grid}, train, (1997, 1998, 1999), MODEL_FEATURES)
+    assert len(packed) == 1 and [(f.params["C"], f.year) for f in folds] == [(c, y) for c in (0.01, 1.0) for y in (1997, 1998, 1999)]
+    models.production_refit("logistic_regression", grid[0], "sigmoid", table, adapter.PERIODS, MODEL_FEATURES)
+    assert len(packed) == 2
+    models.finish_c_search(derived.finish_table(spark, SF), adapter.PERIODS, (0.001, 0.01, 0.1))
+    assert len(packed) == 3
+    sizes = models.yearly_rows(train)
+    n = sum(v for y, v in sizes.items() if y < 1998)
+    together = models.fit_years(train, MODEL_FEATURES, [(grid[0], n, 1998), (grid[1], sum(sizes.values()), None)])
+    alone = [models.fit_bout_model("logistic_regression", grid[0], models.between(train, None, "1998-01-01")), models.fit_bout_model("logistic_regression", grid[1], train)]
+    for a, b in zip(together, alone):
+        assert a.model.coefficients.toArray() == pytest.approx(b.model.coefficients.toArray(), abs=1e-9) and a.model.intercept == pytest.approx(b.model.intercept, abs=1e-9)
+
+
 def test_a_finish_type_without_rows_leaves_the_fit_to_the_estimator(spark):
     y = np.random.default_rng(6).integers(0, 2, 400)
     _, names, rows = close_inputs(spark, y.tolist())
@@ -284,6 +305,16 @@ def test_a_finish_type_without_rows_leaves_the_fit_to_the_estimator(spark):
     assert models.fit_finish_model(rows.withColumn("method", methods).drop("label"), 0.1, names).model.numClasses == 2
 
 
+def test_the_kept_table_writes_no_pairs_on_the_way(spark, tmp_path):
+    """Jobs that only fit winners write the columns they read, and not the inputs of both sides besides."""
+    source = f"{tmp_path}/source"
+    shutil.copytree(SF, source)
+    kept = derived.kept_training_table(spark, source)
+    assert workspace.staged(spark, source, "training_table") and not workspace.staged(spark, source, "pair_inputs")
+    want = derived.training_table(spark, source).select(*kept.columns)
+    assert workspace.staged(spark, source, "pair_inputs") and sorted(map(str, kept.collect())) == sorted(map(str, want.collect()))
+
+
 def test_a_missing_input_ends_a_fit(spark):
     rows = spark.createDataFrame([(0.5, 1), (None, 0), (0.2, 0)], "a_diff double, label int").withColumn("event_date", F.current_date())
     with pytest.raises(Exception, match="missing"):
