@@ -152,6 +152,20 @@ def test_walk_forward_equals_single_fits(table):
     assert best["logistic_regression"][1] == pytest.approx(min(means[:2])) and [best[k][1] for k in list(best)[1:]] == pytest.approx(means[2:])
 
 
+def test_rows_of_other_years_are_never_mirrored(table, monkeypatch):
+    """Scores of a year read that year: cut before rows get their mirror image, as a filter does not pass below it."""
+    seen, held = [], models.assemble
+    monkeypatch.setattr(models, "assemble", lambda rows, *args: seen.append(rows) or held(rows, *args))
+    train = models.between(table, adapter.PERIODS.min_train, adapter.PERIODS.validation)
+    models.walk_forward({"logistic_regression": [{"C": 0.1}]}, train, (1998, 1999), MODEL_FEATURES)
+    want = [models.between(train, f"{y}-01-01", f"{y + 1}-01-01").count() for y in (1998, 1999)]
+    assert sorted(rows.count() for rows in seen) == sorted(want)
+    seen.clear()
+    models.production_refit("logistic_regression", {"C": 0.1}, "sigmoid", table, adapter.PERIODS, MODEL_FEATURES)
+    years = [n for y, n in models.yearly_rows(models.between(table, adapter.PERIODS.min_train, None)).items() if y >= 2000]
+    assert sorted(rows.count() for rows in seen if "mirrored" in rows.columns) == sorted(years)
+
+
 def test_the_first_of_equal_search_points_is_taken():
     folds = [models.Fold("x", {"a": a}, y, v) for a, losses in ((1, (3, 5)), (2, (5, 1)), (3, (2, 4))) for y, v in zip((1, 2), losses)]
     assert models.best_points(folds) == {"x": ({"a": 2}, 3.0)}
